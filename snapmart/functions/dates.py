@@ -24,4 +24,4 @@ def months_before(c: Column, months: Column | int) -> Column:
 def date_in_name(c: Column) -> Column:
     """Date written as ``YYYY_MM_DD`` in a file name; NULL when it is none."""
     text = F.regexp_extract(c, r"(\d{4}_\d{2}_\d{2})\.[A-Za-z]+", 1)
-    return F.try_to_date(F.replace(text, F.lit("_"), F.lit("-")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.replace(text, F.lit("_"), F.lit("-")), "yyyy-MM-dd")
