@@ -7,7 +7,8 @@ of the same tables and gives the same columns and values.
 from importlib import import_module
 
 MODULES = [
-    "cleaning", "filters", "loan_queries", "join_queries",
+    "cleaning", "filters", "loan_queries", "join_queries", "aggregates",
+    "profiles", "associations",
 ]
 
 
