@@ -8,7 +8,7 @@ from importlib import import_module
 
 MODULES = [
     "cleaning", "filters", "loan_queries", "join_queries", "aggregates",
-    "profiles", "associations",
+    "profiles", "associations", "score_metrics", "snapshots", "models",
 ]
 
 
