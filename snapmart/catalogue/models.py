@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from snapmart.catalogue import roles as R
 from snapmart.catalogue.registry import query, table
-from snapmart.catalogue.snapshots import work_path
 from snapmart.operators import modeling as M
 from snapmart.operators import ranking as W
 from snapmart.operators.metrics import evaluate
 from snapmart.plans import training as P
 from snapmart.sources import artefacts
+from snapmart.sources.scratch import materialise
+from snapmart.sources.scratch import new_path as work_path
 from snapmart.sources.tables import read_table, write_predictions
 
 TRAIN_DATE = "1999-06-01"
@@ -170,11 +171,8 @@ def gbt_search(spark, d):
     data = applications(spark, d)
     prepared = M.fit_preprocessing(data, FEATURES)
     vectors = P.PipelineModel(stages=prepared.stages()).transform(data)
-    vectors = vectors.select("loan_id", "label", "features").persist()
-    try:
-        found = M.random_search(vectors, space=SPACE, draws=2)
-    finally:
-        vectors.unpersist()
+    vectors = materialise(vectors.select("loan_id", "label", "features"), "search")
+    found = M.random_search(vectors, space=SPACE, draws=2)
     rows = [(str(p), float(a), p == found.params) for p, a in found.trials]
     return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
 

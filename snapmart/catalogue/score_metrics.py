@@ -216,13 +216,18 @@ _DRIFT = """
 def _drift(spark, d):
     day = F.col("o_orderdate").cast("date")
     late = (F.col("o_orderkey") % 17 == 0) & (day > F.lit("1998-06-01").cast("date"))
-    prices = table(spark, d, "orders").select(
-        F.trunc(day, "month").alias("month"),
-        F.when(~late, F.col("o_totalprice")).alias("price"),
-        (F.col("o_custkey") % 7).cast("double").alias("few"),
-    )
     cut = F.lit("1997-01-01").cast("date")
-    return prices.where(F.col("month") < cut), prices.where(F.col("month") >= cut)
+
+    def prices(orders):
+        return orders.select(
+            F.trunc(day, "month").alias("month"),
+            F.when(~late, F.col("o_totalprice")).alias("price"),
+            (F.col("o_custkey") % 7).cast("double").alias("few"),
+        )
+
+    # The cut is on the stored date, so it reaches the parquet scan.
+    orders = table(spark, d, "orders")
+    return prices(orders.where(day < cut)), prices(orders.where(day >= cut))
 
 
 @query("q_psi", f"WITH {_DRIFT} {psi_sql('old', 'new', 'price', 'month')}")
@@ -307,7 +312,7 @@ _MONITOR = f"""
     predictions AS (
       SELECT CAST(o_orderkey AS VARCHAR) AS loan_id, CAST(o_custkey AS VARCHAR) AS Customer_ID,
              CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS snapshot_date,
-             'price_model' AS model_name, o_totalprice / 600000 AS model_predictions,
+             'price_model' AS model_name, o_totalprice / 700001 AS model_predictions,
              CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS DOUBLE) END AS customer_code
       FROM orders),
     labels_arrived AS (
@@ -352,7 +357,7 @@ def _monitoring(spark, d):
         F.col("o_custkey").cast("string").alias("Customer_ID"),
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("snapshot_date"),
         F.lit("price_model").alias("model_name"),
-        (F.col("o_totalprice") / 600000).alias("model_predictions"),
+        (F.col("o_totalprice") / 700001).alias("model_predictions"),
         F.when(F.col("o_orderkey") % 19 != 0, (F.col("o_custkey") % 50).cast("double")).alias("customer_code"),
     )
     labels = (

@@ -1,11 +1,7 @@
-"""Snapshot jobs and sources. Queries that write use the session's checkpoint
-folder, or a new temporary folder where none is set (tests)."""
+"""Snapshot jobs and sources; what they write goes to the shared scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from snapmart.catalogue import roles as R
@@ -14,13 +10,7 @@ from snapmart.operators import loans as L
 from snapmart.operators.cleaning import clean_attributes
 from snapmart.plans import jobs as T
 from snapmart.sources import tables as S
-
-
-def work_path(spark, name: str) -> str:
-    """A new path below the shared checkpoint folder of the session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="snapmart-")
-    return f"{root.rstrip('/')}/snapmart-{name}-{uuid.uuid4().hex}"
+from snapmart.sources.scratch import new_path as work_path
 
 
 def _monthly_orders(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.functions.tails import chi2_p_value, t_p_value
+from snapmart.operators.filters import all_present, complete_cases
 from snapmart.operators.order_stats import as_value
 from snapmart.operators.profiling import per_column
 
@@ -19,7 +20,7 @@ PAIRS_PER_PASS = 150
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of two columns' value pairs, NULLs excluded."""
-    return df.na.drop(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    return complete_cases(df, [a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
 def label_cells(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -36,7 +37,7 @@ def label_cells(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     )
     return (
         df.select(F.inline(cells))
-        .na.drop(subset=["a", "b"])
+        .where(all_present(["column", "a", "b"]))
         .groupBy("column", "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )

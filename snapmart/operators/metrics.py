@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from snapmart import schemas as S
 from snapmart.functions.numbers import ratio
+from snapmart.operators.filters import complete_cases
 from snapmart.operators.order_stats import as_value, bucketize, quantile_table, value_cuts
 from snapmart.operators.profiling import per_column
 
@@ -124,7 +125,7 @@ def calibration_gap(
     """Actual and predicted bad rate, their gap and the Brier score: plain means."""
     y, p = F.col(label).cast("double"), F.col(score)
     return (
-        df.na.drop(subset=[label, score])
+        complete_cases(df, [label, score])
         .groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("n_labels"),
@@ -145,7 +146,7 @@ def confusion(
 ) -> DataFrame:
     """Counts of actual against predicted class at the cutoff."""
     return (
-        df.na.drop(subset=[label, score])
+        complete_cases(df, [label, score])
         .groupBy(*by, F.col(label).alias("actual"), (F.col(score) >= cutoff).cast("int").alias("predicted"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -161,7 +162,7 @@ def confusion_row(
     """The four counts of the confusion matrix as columns of one row per group."""
     bad, hit = F.col(label) == 1, F.col(score) >= cutoff
     return (
-        df.na.drop(subset=[label, score])
+        complete_cases(df, [label, score])
         .groupBy(*by)
         .agg(
             F.count_if(bad & hit).alias("tp"),
@@ -279,10 +280,15 @@ def fit_baselines(
 
 
 def stability_index(
-    current: DataFrame, baselines: Mapping[str, Baseline], by: Sequence[str] = ()
+    current: DataFrame,
+    baselines: Mapping[str, Baseline],
+    by: Sequence[str] = (),
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Population stability index per group and column: (by..., column, n, psi).
 
+    ``also`` adds named aggregates of the same scan as columns.
+
     One scan and one small aggregate: the baseline side is literal shares, so
     nothing is joined. Shares are floored, not renormalised; missing values are
     a bin. NULL when the baseline has no value or the group has no row.
@@ -290,7 +296,10 @@ def stability_index(
     binned = bucketize(
         current.select(*by, *baselines), {c: b.cuts for c, b in baselines.items()}, "__bin_"
     )
-    counted = binned.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *bin_counts(baselines))
+    extra = [c.alias(name) for name, c in (also or {}).items()]
+    counted = binned.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), *bin_counts(baselines), *extra
+    )
     rows = []
     for c, base in baselines.items():
         index = F.lit(None).cast("double")
@@ -304,7 +313,7 @@ def stability_index(
         rows.append(
             F.struct(F.lit(c).alias("column"), F.col("__n").alias("n"), index.alias("psi"))
         )
-    return counted.select(*by, F.inline(F.array(*rows)))
+    return counted.select(*by, *(also or {}), F.inline(F.array(*rows)))
 
 
 def psi(

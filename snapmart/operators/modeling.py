@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapmart import schemas as S
+from snapmart.operators.filters import complete_cases
 from snapmart.operators.metrics import evaluate
 from snapmart.operators.order_stats import as_value, medians
 
@@ -90,46 +91,48 @@ def stratified_split(
 ) -> DataFrame:
     """Seeded split with the exact share per label: ``split`` = train or test.
 
-    Rows are ordered by a hash of their key. The hash space is cut into cells;
-    cell counts (labels x ``SPLIT_CELLS`` rows) tell in which cell each label's
-    cut falls, and only the rows of that cell are ranked. Keys identify rows.
+    Rows are ordered by (cell, hash, key), the cell being the hash modulo
+    ``SPLIT_CELLS``. Cell counts tell in which cell each label's cut falls; only
+    the rows of those cells are ranked, to find the last train row. The cuts
+    (one per label) come back as a map in a scalar subquery, so the table itself
+    is neither shuffled nor joined. Keys identify rows.
     """
-    hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    stratum = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    hashed = df.withColumns({"__h": F.xxhash64(F.col(key), F.lit(seed)), "__s": stratum})
     hashed = hashed.withColumn("__cell", F.pmod(F.col("__h"), F.lit(SPLIT_CELLS)))
-    counts = hashed.groupBy(label, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    by_label = Window.partitionBy(label)
-    up_to = F.sum("__n").over(by_label.orderBy("__cell"))
-    wanted = F.round(F.sum("__n").over(by_label) * F.lit(float(ratio))).cast("bigint")
-    cells = counts.select(
-        F.col(label).alias("__label"),
-        F.col("__cell").alias("__at"),
-        (up_to - F.col("__n")).alias("__before"),
-        wanted.alias("__wanted"),
-        "__n",
-    ).withColumn(
-        "__side",
-        F.when(F.col("__before") + F.col("__n") <= F.col("__wanted"), "train").when(
-            F.col("__before") >= F.col("__wanted"), "test"
-        ),
+
+    counts = hashed.groupBy("__s", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    of_label = Window.partitionBy("__s")
+    before = F.sum("__n").over(of_label.orderBy("__cell")) - F.col("__n")
+    wanted = F.round(F.sum("__n").over(of_label) * F.lit(float(ratio))).cast("bigint")
+    cut_cells = counts.select(
+        "__s", "__cell", "__n", before.alias("__before"), wanted.alias("__wanted")
+    ).where(
+        (F.col("__before") < F.col("__wanted"))
+        & (F.col("__before") + F.col("__n") >= F.col("__wanted"))
     )
-    tagged = hashed.join(
-        cells,
-        F.col(label).eqNullSafe(F.col("__label")) & (F.col("__cell") == F.col("__at")),
+    cut_cell = _label_map(
+        cut_cells, F.struct("__cell", (F.col("__wanted") - F.col("__before")).alias("__take"))
+    )[F.col("__s")]
+
+    in_cut_cell = (
+        hashed.select("__s", "__cell", "__h", F.col(key).alias("__k"), cut_cell.alias("__cut"))
+        .where(F.col("__cell") == F.col("__cut")["__cell"])
     )
-    rest = [c for c in df.columns]
-    settled = tagged.where(F.col("__side").isNotNull()).select(*rest, F.col("__side").alias("split"))
-    # The rank is cut off, not used as is, so no label's rows meet in one task:
-    # the ranked part is one of SPLIT_CELLS cells.
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("__h", key))
-    cut = (
-        tagged.where(F.col("__side").isNull())
-        .withColumn("__rank", rank + F.col("__before"))
-        .select(
-            *rest,
-            F.when(F.col("__rank") <= F.col("__wanted"), "train").otherwise("test").alias("split"),
-        )
+    rank = F.row_number().over(Window.partitionBy("__s").orderBy("__h", "__k"))
+    last_rows = in_cut_cell.withColumn("__rank", rank).where(
+        F.col("__rank") == F.col("__cut")["__take"]
     )
-    return settled.unionByName(cut)
+    last = _label_map(last_rows, F.struct("__cell", "__h", "__k"))[F.col("__s")]
+    here = F.struct(F.col("__cell"), F.col("__h"), F.col(key).alias("__k"))
+    side = F.when(here <= last, "train").otherwise("test")
+    return hashed.select(*df.columns, side.alias("split"))
+
+
+def _label_map(rows: DataFrame, value: Column) -> Column:
+    """One value per label as a map; ``rows`` holds one row per label."""
+    entries = F.collect_list(F.struct(F.col("__s"), value))
+    return rows.agg(F.map_from_entries(entries).alias("m")).scalar()
 
 
 # ---------------------------------------------------------------- preprocessing
@@ -328,7 +331,7 @@ def fit_platt(df: DataFrame, score: str, label: str = "label") -> Calibration:
     weighted rows, (1, t) and (0, 1 - t).
     """
     counts = (
-        df.na.drop(subset=[label, score])
+        complete_cases(df, [label, score])
         .groupBy(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapmart import schemas as S
 from snapmart.functions.numbers import clip_low
-from snapmart.operators.filters import known_at
+from snapmart.operators.filters import complete_cases, known_at
 from snapmart.operators.joins import delayed_labels
 from snapmart.operators.metrics import Baseline, evaluate, roc_auc, stability_index
 
@@ -69,13 +69,10 @@ def stability_rows(
     """Number of predictions, mean score, score and feature drift by month and model."""
     keys = ["model_name", "snapshot_date"]
     score = {"model_predictions": score_baseline}
-    volume = predictions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_predictions"), F.avg("model_predictions").alias("mean_pd")
+    volume = stability_index(
+        predictions, score, by=keys, also={"mean_pd": F.avg("model_predictions")}
     )
-    drift = stability_index(predictions, score, by=keys).select(
-        *keys, F.lit("psi_score").alias("metric_name"), F.col("psi").alias("metric_value")
-    )
-    rows = to_long(volume, keys, ["n_predictions", "mean_pd"]).unionByName(drift)
+    rows = to_long(volume, keys, {"n": "n_predictions", "mean_pd": "mean_pd", "psi": "psi_score"})
     if feature_baselines:
         # Feature drift depends on the month only; it is attached to the models
         # that scored the month (months x models rows).
@@ -181,7 +178,7 @@ def calibration_summary(df: DataFrame, label: str, raw: str, calibrated: str) ->
     """Bad rate against raw and calibrated scores, with the calibrated ranking."""
     y, p, q = (F.col(c).cast("double") for c in (label, raw, calibrated))
     auc = roc_auc(df, label=label, score=calibrated).select("auc").scalar()
-    return df.na.drop(subset=[label, raw, calibrated]).agg(
+    return complete_cases(df, [label, raw, calibrated]).agg(
         F.avg(y).alias("bad_rate"),
         F.avg(p).alias("mean_pred_raw"),
         F.avg(q).alias("mean_pred_calibrated"),

@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snapmart.operators.filters import all_present
+
 #: Upper bound of cells per column, which bounds what the driver receives.
 MAX_CELLS = 2000
 SKETCH_ACCURACY_PER_CELL = 20
@@ -104,8 +106,7 @@ def exact_quantiles(
     )
     counts = (
         celled.select(*by, F.inline(triples))
-        .where(F.col("value").isNotNull())
-        .na.drop(subset=by or None)
+        .where(all_present([*keys, "cell", "value"]))
         .groupBy(*keys, "cell", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

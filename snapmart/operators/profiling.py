@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.functions import numbers as N
+from snapmart.operators.filters import complete_cases
 from snapmart.operators.order_stats import (
     approx_quantiles,
     as_value,
@@ -243,7 +244,7 @@ def ratio_check(df: DataFrame, monthly: str, yearly: str) -> DataFrame:
 def bad_rate_by(df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     """Bad rate and row count per group; NULL groups are left out."""
     return (
-        df.na.drop(subset=list(keys))
+        complete_cases(df, keys)
         .groupBy(*keys)
         .agg(F.avg(label).alias("bad_rate"), F.count(F.lit(1)).alias("n"))
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from snapmart.operators import modeling as M
 from snapmart.operators.joins import features_with_labels
 from snapmart.operators.metrics import Baseline, evaluate, fit_baselines
 from snapmart.operators.monitoring import calibration_summary, split_summary
+from snapmart.sources.scratch import materialise
 
 
 @dataclass
@@ -57,21 +57,19 @@ def train_on(
 ) -> Trained:
     """Fit both candidates on ``split`` = train, choose by oot, calibrate on test.
 
-    ``data`` needs loan_id, label, split and the feature columns; it is kept in
-    memory and on disk while several fits read it.
+    ``data`` needs loan_id, label, split and the feature columns; it is written
+    to the shared scratch folder once, since every fit reads it again.
     """
-    kept = data.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = materialise(data, "training")
     train = kept.where(F.col("split") == "train")
     prep = M.fit_preprocessing(train, columns)
     stages = prep.stages()
     prepare = PipelineModel(stages=stages)
-    vectors = prepare.transform(train).select("loan_id", "label", "features")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        logistic = M.fit_logistic(vectors, vectors.count())
-        search = M.random_search(vectors, space=space, draws=draws, parallelism=parallelism)
-    finally:
-        vectors.unpersist()
+    vectors = materialise(
+        prepare.transform(train).select("loan_id", "label", "features"), "vectors"
+    )
+    logistic = M.fit_logistic(vectors, vectors.count())
+    search = M.random_search(vectors, space=space, draws=draws, parallelism=parallelism)
     candidates = {"logistic_regression": logistic, "boosted_trees": search.model}
 
     def scored(model) -> DataFrame:
