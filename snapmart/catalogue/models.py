@@ -155,7 +155,7 @@ def impute_scale(spark, d):
 @query("q_lr_scores")
 def lr_scores(spark, d):
     """Logistic regression on applications up to the cut, scored after it."""
-    data = M.cut_split(applications(spark, d), TRAIN_DATE)
+    data = materialise(M.cut_split(applications(spark, d), TRAIN_DATE), "applications")
     train = data.where(F.col("split") == "train")
     prepared = M.fit_preprocessing(train, FEATURES)
     pipeline = P.PipelineModel(stages=prepared.stages())

@@ -22,7 +22,8 @@ def to_number(c: Column, dtype: str) -> Column:
     if dtype in ("int", "bigint"):
         text = c.cast("string")
         whole = F.substring_index(text, ".", 1).try_cast(dtype)
-        return F.when(text.try_cast("double").isNotNull(), whole)
+        decimal = F.when(text.try_cast("double").isNotNull(), whole)
+        return F.coalesce(text.try_cast(dtype), decimal)
     return c.try_cast(dtype)
 
 

@@ -13,11 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], latest: str) -> DataFrame:
-    """One row per key: the latest, ties broken by all other columns descending."""
+def first_per_key(
+    df: DataFrame, keys: Sequence[str], latest: str | None = None, by_hash: bool = False
+) -> DataFrame:
+    """One row per key: the latest, ties broken by all other columns descending.
+
+    ``by_hash`` breaks ties by a hash of the whole row instead: as repeatable,
+    and one sort key in place of many on wide tables.
+    """
     rest = [c for c in df.columns if c not in {*keys, latest}]
-    order = [F.col(c).desc_nulls_last() for c in [latest, *rest]]
-    return top_k_per_group(df, keys, order, 1)
+    first = [F.col(latest).desc_nulls_last()] if latest else []
+    tie = [F.xxhash64(*rest)] if by_hash else [F.col(c).desc_nulls_last() for c in rest]
+    return top_k_per_group(df, keys, [*first, *tie], 1)
 
 
 def top_k_per_group(

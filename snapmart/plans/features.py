@@ -26,8 +26,8 @@ def encode_categories(df: DataFrame, codes: Mapping[str, Mapping] = GOLD_CODES)
 
 
 def one_row_per_customer_month(df: DataFrame) -> DataFrame:
-    """Customer and month identify a row; a repeated one keeps a fixed choice."""
-    return first_per_key(df.withColumn("__at", F.col("snapshot_date")), ["Customer_ID", "snapshot_date"], "__at").drop("__at")
+    """Customer and month identify a row; of repeated ones a fixed choice is kept."""
+    return first_per_key(df, ["Customer_ID", "snapshot_date"], by_hash=True)
 
 
 def feature_store(
