@@ -166,6 +166,37 @@ def load_audit(spark, d):
     )
 
 
+@query(
+    "q_inspect",
+    "SELECT 'orders' AS \"table\", count(*) AS n_rows, 6 AS n_columns FROM orders "
+    "UNION ALL SELECT 'events', count(*), 6 FROM events",
+)
+def inspect(spark, d):
+    out = None
+    for name in ("orders", "events"):
+        part = S.inspect(table(spark, d, name)).select(F.lit(name).alias("table"), "n_rows", "n_columns")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "q_dated_files",
+    f"""
+    WITH {_MONTHLY}
+    SELECT loan_id, o_totalprice, o_orderstatus, snapshot_date, CAST(date_trunc('year', snapshot_date) AS DATE) AS file_date
+    FROM monthly WHERE snapshot_date < DATE '1998-01-01'
+    """,
+)
+def dated_files(spark, d):
+    """Files that carry their date in the name, read up to a date."""
+    root = work_path(spark, "dated")
+    orders = _monthly_orders(spark, d)
+    years = [r["y"] for r in orders.select(F.year("snapshot_date").alias("y")).distinct().collect()]
+    for y in years:
+        orders.where(F.year("snapshot_date") == y).write.parquet(f"{root}/orders_{y}_01_01.parquet")
+    return S.read_dated_files(spark, f"{root}/*.parquet", "1997-12-31")
+
+
 @query("q_schema_drift")
 def schema_drift(spark, d):
     """Column-level differences between the given tables' footers."""

@@ -92,14 +92,14 @@ def load_audit(
     )
 
 
-def inspect(df: DataFrame, n: int = 5) -> dict:
-    """Row count, columns, types and a few rows (the rows in storage order)."""
-    return {
-        "rows": df.count(),
-        "columns": len(df.columns),
-        "dtypes": df.dtypes,
-        "head": df.limit(n).collect(),
-    }
+def inspect(df: DataFrame) -> DataFrame:
+    """Row count, column count and column types as one row."""
+    types = ", ".join(f"{name} {dtype}" for name, dtype in df.dtypes)
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(len(df.columns)).alias("n_columns"),
+        F.lit(types).alias("schema"),
+    )
 
 
 def schema_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
