@@ -15,17 +15,10 @@ from snapmart.operators.asof import asof_aggregate, cumulative_history
 from snapmart.plans.features import feature_store
 
 
-def _attributes_by_loan_day(spark, d):
-    """Cleaned attributes dated at each customer's loan days."""
-    days = R.loans(spark, d).where(F.col("mob") == 0).select("Customer_ID", "snapshot_date").distinct()
-    raw = R.raw_attributes(spark, d).drop("snapshot_date").join(days, "Customer_ID")
-    return C.clean_attributes(raw)
-
-
-def _financials_by_loan_day(spark, d):
-    days = R.loans(spark, d).where(F.col("mob") == 0).select("Customer_ID", "snapshot_date").distinct()
-    raw = R.raw_financials(spark, d).drop("snapshot_date").join(days, "Customer_ID")
-    return C.clean_financials(raw)
+def _at_loan_days(raw, loans):
+    """Customer rows dated at each of the customer's loan days."""
+    days = loans.where(F.col("mob") == 0).select("Customer_ID", "snapshot_date").distinct()
+    return raw.drop("snapshot_date").join(days, "Customer_ID")
 
 
 _AS_OF = """
@@ -64,10 +57,10 @@ _FULL = ", ".join(
     """,
 )
 def feature_join(spark, d):
-    out = feature_store(
-        R.loans(spark, d), _attributes_by_loan_day(spark, d), _financials_by_loan_day(spark, d),
-        R.clicks(spark, d), R.CLICKS,
-    )
+    loans = R.loans(spark, d)
+    attributes = C.clean_attributes(_at_loan_days(R.raw_attributes(spark, d), loans))
+    financials = C.clean_financials(_at_loan_days(R.raw_financials(spark, d), loans))
+    out = feature_store(loans, attributes, financials, R.clicks(spark, d), R.CLICKS)
     return out.withColumns({f"{c}_mean": F.round(f"{c}_mean", 6) for c in R.CLICKS})
 
 

@@ -5,8 +5,8 @@ the values are first counted, then spread over cells of about equal weight by
 cut points from a mergeable quantile sketch. The sketch only decides *where* the
 work happens; ranks come from exact counts, so the results are exact:
 
-1. sketch of every column in one pass; at most ``MAX_CELLS`` cut points per
-   column reach the driver,
+1. sketch of every column in one pass, merged in two levels; at most
+   ``MAX_CELLS`` cut points per column reach the driver,
 2. count per (group, column, cell, value), combined on the map side,
 3. running totals over the cells of a group (at most ``MAX_CELLS`` rows),
 4. a sort inside those cells only that hold a wanted rank.
@@ -24,7 +24,7 @@ from snapmart.operators.filters import all_present
 
 #: Upper bound of cells per column, which bounds what the driver receives.
 MAX_CELLS = 2000
-SKETCH_ACCURACY_PER_CELL = 20
+SKETCH_ACCURACY_PER_CELL = 5
 
 
 def default_cells(spark: SparkSession) -> int:
@@ -41,16 +41,26 @@ def as_value(name: str) -> Column:
 def value_cuts(
     df: DataFrame, columns: Sequence[str], n_cells: int | None = None
 ) -> dict[str, list[float]]:
-    """Sketched cut points per column: one pass, one bounded row to the driver."""
+    """Sketched cut points per column: one pass, one bounded row to the driver.
+
+    The map tasks' sketches are merged in as many groups as there are cells, so
+    no task receives the sketches of all map tasks; the groups' quantiles (cells
+    x cells numbers per column) are then reduced to one set of cuts.
+    """
     n = n_cells or default_cells(df.sparkSession)
     probs = [i / n for i in range(1, n)]
-    row = df.agg(
-        *[
-            F.percentile_approx(as_value(c), probs, n * SKETCH_ACCURACY_PER_CELL).alias(c)
-            for c in columns
-        ]
-    ).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    accuracy = max(n * SKETCH_ACCURACY_PER_CELL, 100)
+
+    def cuts(x: Column, name: str) -> Column:
+        return F.percentile_approx(x, probs, accuracy).alias(name)
+
+    values = [as_value(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    names = [f"v{i}" for i in range(len(columns))]
+    group = F.pmod(F.spark_partition_id(), F.lit(n)).alias("g")
+    partial = df.select(group, *values).groupBy("g").agg(*[cuts(F.col(v), v) for v in names])
+    spread = partial.select(F.explode(F.arrays_zip(*names)).alias("z")).select("z.*")
+    row = spread.agg(*[cuts(F.col(v), v) for v in names]).first()
+    return {c: sorted(set(row[v] or [])) for c, v in zip(columns, names)}
 
 
 def bucketize(df: DataFrame, splits: Mapping[str, Sequence[float]], prefix: str) -> DataFrame:

@@ -42,19 +42,23 @@ def feature_store(
 
     Months without new loans have no rows, hence no partition when written.
     ``stats=("mean", "std", "min", "max")`` gives the wide variant.
+
+    The sources are joined to the distinct (customer, month) pairs first, where
+    every side has one row per key. Only the last join sees the loans, so a
+    customer with very many loans skews one join, which adaptive execution splits.
     """
     spine = loans.where(F.col("mob") == 0).select("loan_id", "Customer_ID", "snapshot_date")
     keys = ["Customer_ID", "snapshot_date"]
-    out = spine.join(one_row_per_customer_month(attributes), keys, "left")
+    customers = spine.select(*keys).distinct()
+    wide = customers.join(one_row_per_customer_month(attributes), keys, "left")
     if financials is not None:
-        out = out.join(one_row_per_customer_month(financials), keys, "left")
+        wide = wide.join(one_row_per_customer_month(financials), keys, "left")
     if clicks is not None:
-        history = asof_aggregate(
-            spine.select(*keys).distinct(), clicks, "Customer_ID", click_columns, stats=stats
-        )
-        out = flag_source(
-            out.join(history, keys, "left"), "clickstream_count", "has_clickstream"
+        history = asof_aggregate(customers, clicks, "Customer_ID", click_columns, stats=stats)
+        wide = flag_source(
+            wide.join(history, keys, "left"), "clickstream_count", "has_clickstream"
         )
     else:
-        out = out.withColumn("has_clickstream", F.lit(0))
-    return encode_categories(out)
+        wide = wide.withColumn("has_clickstream", F.lit(0))
+    out = spine.join(encode_categories(wide), keys, "left")
+    return out.fillna(0, subset=["has_clickstream"])
