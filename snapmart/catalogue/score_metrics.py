@@ -351,7 +351,7 @@ _MONITOR = f"""
 """
 
 
-def _monitoring(spark, d):
+def _monitoring(spark, d, months=None):
     scored = table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("loan_id"),
         F.col("o_custkey").cast("string").alias("Customer_ID"),
@@ -374,7 +374,7 @@ def _monitoring(spark, d):
     features = scored.select("snapshot_date", "customer_code")
     return G.monitor(
         predictions, labels, features, baselines["model_predictions"],
-        {"customer_code": baselines["customer_code"]},
+        {"customer_code": baselines["customer_code"]}, months=months,
     )
 
 
@@ -406,8 +406,7 @@ def stability_rows(spark, d):
     """,
 )
 def monitoring_backfill(spark, d):
-    rows = P.between_dates(_monitoring(spark, d), "1997-01-01", "1998-12-01", "monitoring_date")
-    return _round(rows, 9, "metric_value")
+    return _round(_monitoring(spark, d, ("1997-01-01", "1998-12-01")), 9, "metric_value")
 
 
 @query(

@@ -31,13 +31,12 @@ def asof_aggregate(
 
     Adds ``<column>_<stat>`` and ``count_name`` (NULL when there is no fact).
     Facts on the spine date itself count. ``std`` is the sample deviation, NULL
-    for a single value.
+    for a single value. Time of day is dropped: history is known by calendar date.
     """
-    state = asof_state(
-        facts, key, columns, fact_date, stats, marks=spine.select(key, F.col(spine_date).alias("__d"))
-    )
+    on = F.col(spine_date).cast("date").alias("__d")
+    state = asof_state(facts, key, columns, fact_date, stats, marks=spine.select(key, on))
     values = state.where("__mark = 1").drop("__mark")
-    keyed = spine.withColumn("__d", F.col(spine_date))
+    keyed = spine.select("*", on)
     return (
         keyed.join(values.withColumnRenamed("__n", count_name), [key, "__d"], "left")
         .drop("__d")
@@ -70,7 +69,7 @@ def asof_state(
     if unknown:
         raise ValueError(f"unknown statistics: {sorted(unknown)}")
     rows = facts.select(
-        key, F.col(date).alias("__d"), *columns, F.lit(1).alias("__fact"), F.lit(0).alias("__mark")
+        key, F.col(date).cast("date").alias("__d"), *columns, F.lit(1).alias("__fact"), F.lit(0).alias("__mark")
     ).where(F.col(key).isNotNull() & F.col("__d").isNotNull())
     if marks is not None:
         marked = marks.where(F.col(key).isNotNull() & F.col("__d").isNotNull()).select(

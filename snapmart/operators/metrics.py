@@ -37,15 +37,18 @@ def evaluate(
     score: str = "model_predictions",
     cutoff: float = S.SCORE_CUTOFF,
     n_cells: int | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """All performance metrics per group in one chain of aggregates.
 
     Ties count half. A group with one class only has a NULL area. Rows with a
-    missing label or score are left out.
+    missing label or score are left out. ``cuts`` are cell edges for the scores
+    (they spread the work and do not change results); without them ``df`` is read
+    once more to find some.
     """
     by = list(by)
-    cuts = value_cuts(df, [score], n_cells)
-    celled = bucketize(df.select(*by, label, score), cuts, "__cell_")
+    edges = value_cuts(df, [score], n_cells) if cuts is None else {score: sorted(set(cuts))}
+    celled = bucketize(df.select(*by, label, score), edges, "__cell_")
     p = F.col("p")
     counts = (
         celled.select(*by, F.col(f"__cell_{score}").alias("cell"), as_value(score).alias("p"), label)

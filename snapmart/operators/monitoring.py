@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from snapmart import schemas as S
 from snapmart.functions.numbers import clip_low
-from snapmart.operators.filters import complete_cases, known_at
+from snapmart.operators.filters import as_date, between_dates, complete_cases, known_at
 from snapmart.operators.joins import delayed_labels
 from snapmart.operators.metrics import Baseline, evaluate, roc_auc, stability_index
+from snapmart.operators.order_stats import value_cuts
 
 PERFORMANCE_METRICS = [
     "n_labels", "bad_rate_actual", "bad_rate_predicted", "bad_rate_gap",
@@ -102,7 +103,9 @@ def performance_rows(
     """Performance of month m, dated at month m + delay when its labels arrive."""
     keys = ["model_name", "snapshot_date"]
     known = delayed_labels(predictions, labels, delay)
-    metrics = evaluate(known, by=keys, cutoff=cutoff)
+    # Cell edges come from the predictions alone, so the join runs once.
+    cuts = value_cuts(predictions, ["model_predictions"])["model_predictions"]
+    metrics = evaluate(known, by=keys, cutoff=cutoff, cuts=cuts)
     return to_long(metrics, keys, PERFORMANCE_METRICS).select(
         "model_name",
         F.add_months("snapshot_date", delay).alias("monitoring_date"),
@@ -123,14 +126,21 @@ def monitor(
     cutoff: float = S.SCORE_CUTOFF,
     months: tuple | None = None,
 ) -> DataFrame:
-    """Long monitoring table; ``months`` limits it to a closed monitoring range."""
-    rows = stability_rows(predictions, features, score_baseline, feature_baselines).unionByName(
-        performance_rows(predictions, labels, delay, cutoff)
-    )
+    """Long monitoring table; ``months`` limits it to a closed monitoring range.
+
+    The range is applied to the inputs: stability reads the predictions of those
+    months, performance the predictions whose labels arrive in them.
+    """
+    recent, due = predictions, predictions
     if months:
-        rows = rows.where(
-            F.col("monitoring_date").between(*[F.lit(str(m)).cast("date") for m in months])
-        )
+        recent = between_dates(predictions, *months)
+        features = between_dates(features, *months)
+        labels = between_dates(labels, *months)
+        first, last = [F.add_months(as_date(m), -delay) for m in months]
+        due = between_dates(predictions, first, last)
+    rows = stability_rows(recent, features, score_baseline, feature_baselines).unionByName(
+        performance_rows(due, labels, delay, cutoff)
+    )
     return with_status(rows)
 
 

@@ -43,6 +43,7 @@ def training_frame(
     known = labels.where(F.col("snapshot_date") <= F.lit(str(train_date)).cast("date"))
     tagged = M.tag_windows(features, train_date, delay, train_test_months, oot_months)
     joined = features_with_labels(tagged.where(F.col("split").isin("train_test", "oot")), known)
+    joined = materialise(joined, "joined")  # the split reads it several times
     mixed = joined.where(F.col("split") == "train_test").drop("split")
     return M.stratified_split(mixed, ratio=ratio).unionByName(joined.where(F.col("split") == "oot"))
 
@@ -76,7 +77,8 @@ def train_on(
         out = model.transform(prepare.transform(kept))
         return out.select("split", "label", M.score_of(model).alias("model_predictions"))
 
-    results = M.compare_candidates({n: scored(m) for n, m in candidates.items()})
+    scores = {n: materialise(scored(m), "scores") for n, m in candidates.items()}
+    results = M.compare_candidates(scores)
     best = M.choose_champion(results)
     champion = M.CreditModel(
         version,
@@ -85,14 +87,15 @@ def train_on(
         PipelineModel(stages=[*stages, candidates[best]]),
         M.Calibration(1.0, 0.0),
     )
-    raw = champion.raw_scores(kept)
-    champion.calibration = M.fit_platt(raw.where(F.col("split") == "test"), "raw_score")
+    champion.calibration = M.fit_platt(
+        scores[best].where(F.col("split") == "test"), "model_predictions"
+    )
     importance = M.importances(data, candidates[best], prep.columns)
     champion.top_features = [
         r["feature"]
         for r in importance.orderBy(F.col("importance").desc(), F.col("feature").desc()).limit(5).collect()
     ]
-    final = champion.calibrated(kept)
+    final = materialise(champion.calibrated(kept), "final")
     in_train = final.where(F.col("split") == "train")
     baselines = fit_baselines(in_train, ["model_predictions", *champion.top_features])
     return Trained(
@@ -129,6 +132,7 @@ def resilience(trained: Mapping[str, Trained], period: DataFrame) -> DataFrame:
             "model_predictions",
         )
         long = part if long is None else long.unionByName(part)
+    long = materialise(long, "period")
     return evaluate(long, by=["feature_set", "n_features"]).select(
         "feature_set",
         "n_features",
