@@ -1,15 +1,16 @@
-"""Exact order statistics without a single-task sort.
+"""Exact order statistics without a single-task sort or a full shuffle.
 
 Spark's exact percentile gathers every distinct value of a group in one task. Here
-the values are first counted, then spread over cells of about equal weight by
-cut points from a mergeable quantile sketch. The sketch only decides *where* the
-work happens; ranks come from exact counts, so the results are exact:
+values fall into cells of about equal weight by cut points from a mergeable
+quantile sketch. The sketch only decides *where* the work happens; ranks come from
+exact counts, so the results are exact:
 
 1. sketch of every column in one pass, merged in two levels; at most
    ``MAX_CELLS`` cut points per column reach the driver,
-2. count per (group, column, cell, value), combined on the map side,
-3. running totals over the cells of a group (at most ``MAX_CELLS`` rows),
-4. a sort inside those cells only that hold a wanted rank.
+2. rows per (group, column, cell): a shuffle of counts, with running totals over
+   the cells of a group,
+3. only the rows of cells that hold a wanted rank (two per quantile, out of all
+   cells) are counted by value, shuffled and sorted.
 """
 
 from __future__ import annotations
@@ -22,14 +23,19 @@ from pyspark.sql import functions as F
 
 from snapmart.operators.filters import all_present
 
-#: Upper bound of cells per column, which bounds what the driver receives.
+#: Bounds of the cells per column; the upper one bounds what the driver receives.
+MIN_CELLS = 64
 MAX_CELLS = 2000
 SKETCH_ACCURACY_PER_CELL = 5
+#: Wanted cells up to this many are handed to the tasks as a local table, whose
+#: size Spark knows; more are joined as the table they are.
+MAX_LOCAL_CELLS = 50_000
 
 
 def default_cells(spark: SparkSession) -> int:
-    """As many cells as shuffle partitions, so cells grow with the cluster."""
-    return max(2, min(MAX_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """A few cells per shuffle partition, so cells grow with the cluster."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_CELLS, min(MAX_CELLS, 4 * partitions))
 
 
 def as_value(name: str) -> Column:
@@ -114,15 +120,10 @@ def exact_quantiles(
             for c in columns
         ]
     )
-    counts = (
-        celled.select(*by, F.inline(triples))
-        .where(all_present([*keys, "cell", "value"]))
-        .groupBy(*keys, "cell", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    values = celled.select(*by, F.inline(triples)).where(all_present([*keys, "cell"]))
 
     over_cells = Window.partitionBy(*keys).orderBy("cell")
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_n"))
+    cells = values.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("cell_n"))
     cells = cells.select(
         *keys,
         "cell",
@@ -132,20 +133,29 @@ def exact_quantiles(
     )
     position = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array(*[f(h).cast("bigint") for h in position for f in (F.floor, F.ceil)])
-    wanted = cells.where(
-        F.exists(
-            ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_n"))
+    wanted = _local_if_small(
+        cells.where(
+            F.exists(
+                ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_n"))
+            )
+        ).drop("cell_n")
+    )
+    counts = (
+        values.join(wanted, [*keys, "cell"])
+        .groupBy(*keys, "cell", "value")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("before").alias("before"),
+            F.max("total").alias("total"),
         )
-    ).drop("cell_n")
+    )
 
     in_cell = (
         Window.partitionBy(*keys, "cell")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counts.join(wanted, [*keys, "cell"]).withColumn(
-        "last", F.col("before") + F.sum("n").over(in_cell) - 1
-    )
+    ranked = counts.withColumn("last", F.col("before") + F.sum("n").over(in_cell) - 1)
     first = F.col("last") - F.col("n") + 1
 
     def value_at(rank: Column) -> Column:
@@ -166,6 +176,14 @@ def exact_quantiles(
     return picked.select(*keys, "n", F.array(*quantiles).alias("q"))
 
 
+def _local_if_small(df: DataFrame) -> DataFrame:
+    """The same rows as a local table when there are few, else unchanged."""
+    rows = df.take(MAX_LOCAL_CELLS + 1)
+    if len(rows) > MAX_LOCAL_CELLS:
+        return df
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def quantile_table(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], n_cells: int | None = None
 ) -> dict[str, list[float]]:

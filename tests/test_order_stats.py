@@ -93,3 +93,11 @@ def test_approx_describe_has_same_shape(spark):
     exact, approx = P.describe(df, ["x"]), P.describe(df, ["x"], approx=True)
     assert exact.columns == approx.columns
     assert abs(exact.first()["p50"] - approx.first()["p50"]) <= 1
+
+
+def test_many_wanted_cells_are_joined_instead(spark, monkeypatch):
+    rows = [(f"g{i % 7}", float(i * i % 101)) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    small = sorted(map(str, O.exact_quantiles(df, ["x"], PROBS, by=["g"]).collect()))
+    monkeypatch.setattr(O, "MAX_LOCAL_CELLS", 3)
+    assert sorted(map(str, O.exact_quantiles(df, ["x"], PROBS, by=["g"]).collect())) == small
