@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from snapmart.llm.bpe_codec import bpe_round_trip
 from snapmart.llm.exact_dedup import exact_dedup
+from snapmart.llm.prefix_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, table_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{table_dir}/{name}.parquet")
 
@@ -43,3 +52,15 @@ def table(spark: SparkSession, table_dir: str, name: str) -> DataFrame:
 """)
 def op2(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup(table(spark, d, "documents")).drop("bucket")
+
+
+@query("op9_bpe_codec")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return bpe_round_trip(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts(
+        table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512
+    )
