@@ -36,13 +36,9 @@ class ChunkEncoder:
         parts = [chunks_of(t) for t in texts]
         distinct = set(chain.from_iterable(parts))
         if len(self.known) + len(distinct) > KNOWN:
-            new = distinct - self.known.keys()
-            if len(self.known) + len(new) > KNOWN:
-                self.known = {}
-                new = distinct
-        else:
-            new = distinct - self.known.keys()
-        fresh = list(new)
+            self.known = {}
+        known = self.known
+        fresh = [c for c in distinct if c not in known]
         self.known.update(zip(fresh, self.encode(fresh)))
         get = self.known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]

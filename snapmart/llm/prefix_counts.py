@@ -109,7 +109,8 @@ class PrefixCounter:
         distinct = set(chain.from_iterable(words))
         if len(self.known) + len(distinct) > KNOWN:
             self.known = {}
-        fresh = distinct - self.known.keys()
+        known = self.known
+        fresh = [w for w in distinct if w not in known]
         self.learn(fresh)
         get = self.known.__getitem__
         out = [sum(map(get, w)) + len(p) - 1 for w, p in zip(words, parts)]
@@ -118,7 +119,7 @@ class PrefixCounter:
                 del self.known[w]
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Solve new words, in batches of like length and bounded size."""
         fresh = sorted(words, key=len)
         at = 0

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from snapmart.llm.bpe_codec import bpe_round_trip
 from snapmart.llm.exact_dedup import exact_dedup
+from snapmart.llm.packing import pack
 from snapmart.llm.prefix_counts import token_counts
+from snapmart.llm.toxicity import scored_documents as toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +66,15 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(
         table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512
     )
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity_scores(
+        table(spark, d, "documents"), table(spark, d, "labels"), folds=3, held_fold=1, threshold=0.7
+    )
