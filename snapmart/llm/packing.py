@@ -217,6 +217,7 @@ def pack(
     )
     arrow = to_arrow_schema(out)
     stride = np.int64(1) << 42
+    names = cut.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table[:, 0] * stride + table[:, 1]
@@ -227,7 +228,7 @@ def pack(
             ahead = number - row[:, 1]
             sequence = row[:, 3] + ahead // row[:, 2]
             offset = row[:, 4] + ahead % row[:, 2] * length
-            columns = [batch.column(n) for n in cut.columns]
+            columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(sequence), pa.array(offset)], schema=arrow
             )
