@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from snapmart.llm.bpe_codec import bpe_round_trip
 from snapmart.llm.exact_dedup import exact_dedup
+from snapmart.llm.near_dedup import near_dedup
 from snapmart.llm.packing import pack
 from snapmart.llm.prefix_counts import token_counts
 from snapmart.llm.toxicity import scored_documents as toxicity_scores
@@ -78,3 +79,8 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return toxicity_scores(
         table(spark, d, "documents"), table(spark, d, "labels"), folds=3, held_fold=1, threshold=0.7
     )
+
+
+@query("op3_minhash_near_dedup")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup(table(spark, d, "documents"), words=4, percent=80)
