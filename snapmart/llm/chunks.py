@@ -16,6 +16,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: What Python's split() takes as white space beyond these.
 ODD = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(f"[^{SPACE}]+")
+#: The chunks of a text with their places.
+WORDS = _SPLIT.finditer
 
 #: Known chunks per worker process, and the longest chunk that is kept.
 KNOWN, LONG = 500_000, 200
@@ -25,6 +27,19 @@ def chunks_of(text: str) -> list[str]:
     return _SPLIT.findall(text) if ODD.search(text) else text.split()
 
 
+def key_of(chunk: str) -> tuple[str, str]:
+    """A chunk's word in lower case and its last full stop or comma, where they are encoded apart.
+
+    True of Latin letters: the patterns cut before the mark, lower-casing keeps letters
+    letters, and normalisation leaves both alone. Other chunks are keys of their own.
+    """
+    mark = chunk[-1] if chunk[-1] in ".," else ""
+    word = chunk[:-1] if mark else chunk
+    if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+        return word.lower(), mark
+    return chunk, ""
+
+
 class ChunkEncoder:
     """``encode(list of chunks)`` gives little-endian unsigned 32-bit ids per chunk."""
 
@@ -39,10 +54,14 @@ class ChunkEncoder:
             self.known = {}
         known = self.known
         fresh = [c for c in distinct if c not in known]
-        self.known.update(zip(fresh, self.encode(fresh)))
-        get = self.known.__getitem__
+        keys = [key_of(c) for c in fresh]
+        wanted = [k for k in {".", ",", *(k for k, _ in keys)} if k not in known]
+        known.update(zip(wanted, self.encode(wanted)))
+        known[""] = b""
+        known.update((c, known[k] + known[mark]) for c, (k, mark) in zip(fresh, keys))
+        get = known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        for c in fresh:
+        for c in {*fresh, *wanted}:
             if len(c) > LONG:
-                del self.known[c]
+                del known[c]
         return out
