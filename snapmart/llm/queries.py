@@ -10,7 +10,9 @@ from snapmart.llm.bpe_codec import bpe_round_trip
 from snapmart.llm.exact_dedup import exact_dedup
 from snapmart.llm.near_dedup import near_dedup
 from snapmart.llm.packing import pack
+from snapmart.llm.pii import find_pii
 from snapmart.llm.prefix_counts import token_counts
+from snapmart.llm.quality import quality
 from snapmart.llm.toxicity import scored_documents as toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +86,17 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, d: str) -> DataFrame:
     return near_dedup(table(spark, d, "documents"), words=4, percent=80)
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return find_pii(table(spark, d, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"
+    )
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return quality(
+        table(spark, d, "documents"), table(spark, d, "labels"), folds=5, held_fold=0, threshold=0.3
+    )
