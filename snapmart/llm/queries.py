@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from snapmart.llm.bpe_codec import bpe_round_trip
+from snapmart.llm.embedding_dedup import embedding_dedup
 from snapmart.llm.exact_dedup import exact_dedup
 from snapmart.llm.near_dedup import near_dedup
 from snapmart.llm.packing import pack
@@ -100,3 +101,8 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return quality(
         table(spark, d, "documents"), table(spark, d, "labels"), folds=5, held_fold=0, threshold=0.3
     )
+
+
+@query("op5_embedding_near_dedup")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup(table(spark, d, "embeddings"), threshold=0.98)
