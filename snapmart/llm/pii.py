@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from snapmart.llm.chunks import LONG, WORDS, chunks_of
-from snapmart.llm.text_map import built, map_texts
+from snapmart.llm.text_map import built, map_texts, replace_texts
 
 #: Labels of the CRF; the first is "no personal data".
 LABELS = ["outside", "person", "street", "national_id", "local_phone"]
@@ -459,23 +459,22 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return map_texts(docs, doc_id, text, f"{counts}, base_sha256 string, spans string", function)
 
 
-def mask_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the text with every span replaced by its kind in brackets."""
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with every span replaced by its kind in brackets; overlaps are replaced once."""
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+        if start >= at:
+            parts += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with masked texts, all other columns kept."""
     crf = train_crf()
 
-    def function(ids: list, texts: list) -> dict[str, list]:
+    def function(texts: list) -> list:
         tagger = built(("crf",), _make(crf))
-        out = []
-        for t, (_, every) in zip(texts, all_spans(texts, tagger)):
-            spans = sorted(every, key=lambda s: (s[1], -s[2], KINDS.index(s[0])))
-            parts, at = [], 0
-            for kind, start, end in spans:
-                if start >= at:
-                    parts += [t[at:start], f"[{kind}]"]
-                    at = end
-                elif end > at:  # the rest of an overlapping span goes too
-                    at = end
-            out.append("".join([*parts, t[at:]]))
-        return {"doc_id": ids, "masked": out}
-
-    return map_texts(docs, doc_id, text, "masked string", function)
+        return [masked(t, every) for t, (_, every) in zip(texts, all_spans(texts, tagger))]
+
+    return replace_texts(docs, text, function)

@@ -59,3 +59,31 @@ def map_texts(
                 )
 
     return frame.mapInArrow(run, out)
+
+
+def filter_texts(docs: DataFrame, text: str, keep: Callable[[list], list]) -> DataFrame:
+    """Whole rows of ``docs`` for whose texts ``keep(texts)`` is true, in one scan."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            mask = [k for _, some in slices(texts, texts) for k in keep(some)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def replace_texts(docs: DataFrame, text: str, function: Callable[[list], list]) -> DataFrame:
+    """``docs`` with each text replaced by its counterpart in ``function(texts)``; NULL stays."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            texts = [t or "" for t in old]
+            new = [t for _, some in slices(texts, texts) for t in function(some)]
+            kept = pa.array([None if o is None else n for o, n in zip(old, new)], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), kept)
+
+    return docs.mapInArrow(run, docs.schema)

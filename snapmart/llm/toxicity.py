@@ -17,6 +17,7 @@ rows get equal scores.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from snapmart.llm.chunks import chunks_of
 from snapmart.llm.labelled import fold, label_sample
-from snapmart.llm.text_map import built, map_texts
+from snapmart.llm.text_map import built, filter_texts, map_texts
 
 #: Size of the hashed feature space, as a power of two; feature 0 is the bias.
 BITS = 22
@@ -151,13 +152,8 @@ def train(
     return fit_ftrl([(at[int(i)].values.to_numpy(), y[int(i)]) for i in order])
 
 
-def toxicity(
-    docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """Per document: doc_id, score, predicted (score at or above ``threshold``)."""
-
-    def function(ids: list, texts: list) -> dict[str, list]:
+def _scorer(model: Model) -> Callable[[list], list[float]]:
+    def score(texts: list) -> list[float]:
         features = built(("toxicity features",), Features)
 
         def make() -> np.ndarray:
@@ -166,17 +162,37 @@ def toxicity(
             return dense
 
         dense = built(("toxicity weights", model.weight.tobytes(), model.index.tobytes()), make)
-        scores = []
+        out = []
         for t in texts:
             at = features(t)
             hit = np.unique(at[dense[at] != 0])
-            sum_ = model.bias + float(dense[hit].sum(dtype=np.float64))
-            scores.append(float(1 / (1 + np.exp(-np.clip(sum_, -30, 30)))))
+            total = model.bias + float(dense[hit].sum(dtype=np.float64))
+            out.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
+        return out
+
+    return score
+
+
+def toxicity(
+    docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Per document: doc_id, score, predicted (score at or above ``threshold``)."""
+    score = _scorer(model)
+
+    def function(ids: list, texts: list) -> dict[str, list]:
+        scores = score(texts)
         return {"doc_id": ids, "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
     return map_texts(docs, doc_id, text, "score double, predicted int", function)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns kept."""
+    score = _scorer(model)
+    return filter_texts(docs, text, lambda texts: [s < threshold for s in score(texts)])
+
+
 def scored_documents(
     docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.7,
     per_class: int = 5_000,
