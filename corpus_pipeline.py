@@ -33,15 +33,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return drop_toxic(docs, train(docs, labels, fold(F.col("doc_id"), 3) != 1), threshold=0.7)
 
 
+def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows whose doc_id is kept; a NULL doc_id is an id like others here."""
+    kept = decided.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return _staying(docs, exact_dedup(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked at five words and 0.8."""
-    kept = near_dedup(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _staying(docs, near_dedup(docs, words=5, percent=80))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@
 
 Sets are compared as 64-bit hashes of shingles. Defined cases: NULL, empty and blank
 texts have no shingles and stay alone; texts of fewer words than a shingle are one
-shingle; copies and repeated rows share a component; an empty table gives no rows.
+shingle; copies and repeated rows share a component; a row without doc_id stays alone,
+without component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def signatures(
         full = [i for i, s in enumerate(sets) if len(s)]
         out: dict[str, list] = {
             "doc_id": ids, "n_shingles": [len(s) for s in sets],
-            "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+            "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
             "signature": [b""] * len(sets), "keys": [[]] * len(sets),
         }
         if full:
@@ -216,10 +217,13 @@ def near_dedup(
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     least = percent / 100
     signed = stored(signatures(source, words, bands, rows), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(
         signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
+        .select(
+            "doc_id", "n_shingles",
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"),
+        ),
         "members",
     )
     reps = (
@@ -256,5 +260,5 @@ def near_dedup(
     return (
         member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
