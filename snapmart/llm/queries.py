@@ -14,6 +14,7 @@ from snapmart.llm.packing import pack
 from snapmart.llm.pii import find_pii
 from snapmart.llm.prefix_counts import token_counts
 from snapmart.llm.quality import quality
+from snapmart.llm.suffix_dedup import suffix_dedup
 from snapmart.llm.toxicity import scored_documents as toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +107,8 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_embedding_near_dedup")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return embedding_dedup(table(spark, d, "embeddings"), threshold=0.98)
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup(table(spark, d, "documents"), length=100)
