@@ -13,8 +13,8 @@ A string is a repeat where it also starts earlier: in a smaller doc_id, or earli
 the same document. The bytes that repeats cover are removed from the whole text.
 
 Defined cases: a NULL text is empty; texts shorter than the length lose nothing; ties
-don't occur, as positions differ; rows repeated with their doc_id are one document; an
-empty table gives no rows.
+don't occur, as positions differ; rows repeated with their doc_id count as one document
+and each get its result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def suffix_dedup(
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     source = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).dropDuplicates(["doc_id"])
+    )
     starts = repeats(source, length).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
