@@ -281,7 +281,7 @@ ruled AS (
 ),
 featured AS (
   SELECT * EXCLUDE (items),
-    {", ".join(f"{_count_sql('items', t)} AS {X.column_name_of(t, 'loan_type_')}" for t in S.LOAN_TYPES)},
+    {", ".join(f"{_count_sql('items', t)} AS {name}" for t, name in S.LOAN_TYPE_COLUMNS.items())},
     Num_Bank_Accounts + Num_Credit_Card + Num_of_Loan AS num_fin_products,
     CAST(CAST(Total_EMI_per_month AS DOUBLE) / nullif(CAST(Monthly_Inhand_Salary AS DOUBLE), 0) AS FLOAT) AS emi_to_salary,
     CAST(CAST(Outstanding_Debt AS DOUBLE) / nullif(CAST(Monthly_Inhand_Salary AS DOUBLE), 0) AS FLOAT) AS debt_to_salary,
@@ -504,7 +504,7 @@ def tag_rename(spark, d):
     "q_scalar_text",
     r"""
     SELECT doc_id,
-           regexp_replace(substring(text, 1, 80), '_+$', '') AS right_stripped,
+           regexp_replace(text, '_+$', '') AS right_stripped,
            regexp_replace(lang, '^[a-z]', 'x', 'g') AS replaced,
            regexp_extract(source, '([a-z]+)(\d+)', 2) AS src_number,
            regexp_matches(source, '^src[0-3]$') AS anchored,
@@ -521,7 +521,7 @@ def scalar_text(spark, d):
     c = F.col
     return table(spark, d, "documents").select(
         "doc_id",
-        F.regexp_replace(F.substring("text", 1, 80), r"_+$", "").alias("right_stripped"),
+        F.regexp_replace("text", r"_+$", "").alias("right_stripped"),
         F.regexp_replace("lang", "^[a-z]", "x").alias("replaced"),
         F.regexp_extract("source", r"([a-z]+)(\d+)", 2).alias("src_number"),
         c("source").rlike("^src[0-3]$").alias("anchored"),

@@ -50,16 +50,17 @@ def backfill(spark, d):
     f"""
     WITH {_MONTHLY}
     SELECT loan_id, CASE WHEN snapshot_date = DATE '1997-03-01' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
-           o_orderstatus, snapshot_date FROM monthly
+           o_orderstatus, snapshot_date FROM monthly WHERE snapshot_date <> DATE '1997-04-01'
     """,
 )
 def rerun_month(spark, d):
-    """One month written again with a changed rule; the other months stay."""
+    """One month written again with a changed rule, one by nothing; the other months stay."""
     path = work_path(spark, "rerun")
     source = _monthly_orders(spark, d)
     T.backfill(source, lambda df: df, path)
     changed = {"o_totalprice": -F.col("o_totalprice")}
     T.rerun_month(source, lambda df: df.withColumns(changed), path, "1997-03-01")
+    T.rerun_month(source, lambda df: df.where(F.lit(False)), path, "1997-04-01")
     return S.read_table(spark, path)
 
 
@@ -112,16 +113,17 @@ def bronze_to_silver(spark, d):
 
 _AVAILABLE = """
     spine AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS DATE) AS snapshot_date FROM orders),
-    f AS (SELECT DISTINCT CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS m FROM orders WHERE o_orderkey % 40 = 0),
-    l AS (SELECT DISTINCT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS m FROM lineitem WHERE l_linenumber = 7),
+    f AS (SELECT DISTINCT CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS m FROM orders WHERE o_orderstatus = 'F'),
+    l AS (SELECT DISTINCT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS m FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R'),
     available AS (SELECT snapshot_date, CAST(f.m IS NOT NULL AS INTEGER) AS features, CAST(l.m IS NOT NULL AS INTEGER) AS labels
                   FROM spine LEFT JOIN f ON f.m = snapshot_date LEFT JOIN l ON l.m = snapshot_date)
 """
 
 
 def _availability(spark, d):
-    features = _monthly_orders(spark, d).where(F.col("loan_id").cast("bigint") % 40 == 0)
-    labels = table(spark, d, "lineitem").where(F.col("l_linenumber") == 7).select(
+    """Months with finished orders, and with returned lines that are closed."""
+    features = _monthly_orders(spark, d).where(F.col("o_orderstatus") == "F")
+    labels = table(spark, d, "lineitem").where("l_linestatus = 'F' and l_returnflag = 'R'").select(
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("snapshot_date")
     )
     months = T.month_spine_of(table(spark, d, "orders"), "o_orderdate")
@@ -151,7 +153,7 @@ def gates(spark, d):
     "q_load_audit",
     f"""
     WITH {_AVAILABLE}, {_MONTHLY}
-    SELECT 'applications' AS "table", snapshot_date, count(loan_id) AS n
+    SELECT 'applications' AS "table", snapshot_date, CAST(count(loan_id) AS BIGINT) AS n
     FROM spine LEFT JOIN monthly USING (snapshot_date) GROUP BY snapshot_date
     UNION ALL
     SELECT 'finished', snapshot_date, count(loan_id)

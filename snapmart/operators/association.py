@@ -171,6 +171,9 @@ def association_ranking(
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r of every column pair (upper triangle), pairwise complete."""
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        empty = "feature_1 string, feature_2 string, correlation double"
+        return df.sparkSession.createDataFrame([], empty)
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = per_column(

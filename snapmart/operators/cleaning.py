@@ -77,12 +77,14 @@ def clean_clickstream(df: DataFrame) -> DataFrame:
 
 
 def loan_type_counts(
-    df: DataFrame, column: str = "Type_of_Loan", types: Sequence[str] = S.LOAN_TYPES
+    df: DataFrame,
+    column: str = "Type_of_Loan",
+    types: Mapping[str, str] = S.LOAN_TYPE_COLUMNS,
 ) -> DataFrame:
     """One count column per loan type in place of the multi-valued text."""
     split = df.withColumn(column, X.list_items(F.col(column)))
     counts = {
-        X.column_name_of(t, "loan_type_"): X.item_count(F.col(column), t) for t in types
+        name: X.item_count(F.col(column), t) for t, name in types.items()
     }
     return replace_columns(split, counts, drop=[column])
 

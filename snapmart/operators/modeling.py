@@ -263,20 +263,26 @@ def random_search(
     folds: int = S.SEARCH_FOLDS,
     seed: int = S.SEARCH_SEED,
     parallelism: int = 4,
+    max_bins: int = 32,
 ) -> SearchResult:
     """Boosted trees by random search with hash folds, scored by area under the curve.
 
     Fits are Spark jobs over the partitioned frame; ``parallelism`` of them run
-    at once. Persist ``train`` before calling.
+    at once. Persist ``train`` before calling. ``max_bins`` is how finely features
+    are cut before the trees choose among the cuts; areas are exact.
     """
     folded = train.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int"))
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=S.SPLIT_SEED)
+    gbt = GBTClassifier(
+        featuresCol="features", labelCol=label, seed=S.SPLIT_SEED, maxBins=max_bins
+    )
     params = draw_parameters(space, draws, seed)
     maps = [{gbt.getParam(k): v for k, v in p.items()} for p in params]
     fitted = CrossValidator(
         estimator=gbt,
         estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction"),
+        evaluator=BinaryClassificationEvaluator(
+            labelCol=label, rawPredictionCol="rawPrediction", numBins=0
+        ),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,

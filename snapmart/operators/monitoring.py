@@ -161,7 +161,7 @@ def csi_series(monitoring: DataFrame, floor: float = S.CSI_CHART_FLOOR) -> DataF
     return monitoring.where(F.col("metric_name").startswith("csi_")).select(
         "model_name",
         "prediction_month",
-        F.substring("metric_name", 5, 1000).alias("feature"),
+        F.substr("metric_name", F.lit(5)).alias("feature"),
         clip_low(F.col("metric_value"), floor).alias("csi"),
     )
 

@@ -15,6 +15,7 @@ exact counts, so the results are exact:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -27,9 +28,6 @@ from snapmart.operators.filters import all_present
 MIN_CELLS = 64
 MAX_CELLS = 2000
 SKETCH_ACCURACY_PER_CELL = 5
-#: Wanted cells up to this many are handed to the tasks as a local table, whose
-#: size Spark knows; more are joined as the table they are.
-MAX_LOCAL_CELLS = 50_000
 
 
 def default_cells(spark: SparkSession) -> int:
@@ -72,10 +70,13 @@ def value_cuts(
 def bucketize(df: DataFrame, splits: Mapping[str, Sequence[float]], prefix: str) -> DataFrame:
     """Left-closed bucket number of each column by binary search (JVM side).
 
-    ``splits`` are inner cut points; the outer edges are infinite. Missing
-    values get NULL.
+    ``splits`` are inner cut points; the outer edges are infinite, so infinite
+    values belong to the outer buckets. Missing values get NULL.
     """
-    full = {c: [float("-inf"), *cuts, float("inf")] for c, cuts in splits.items()}
+    full = {
+        c: [float("-inf"), *[x for x in cuts if math.isfinite(x)], float("inf")]
+        for c, cuts in splits.items()
+    }
     wide = [c for c, s in full.items() if len(s) > 2]
     out = df
     if wide:
@@ -133,7 +134,7 @@ def exact_quantiles(
     )
     position = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array(*[f(h).cast("bigint") for h in position for f in (F.floor, F.ceil)])
-    wanted = _local_if_small(
+    wanted = (
         cells.where(
             F.exists(
                 ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_n"))
@@ -176,14 +177,6 @@ def exact_quantiles(
     return picked.select(*keys, "n", F.array(*quantiles).alias("q"))
 
 
-def _local_if_small(df: DataFrame) -> DataFrame:
-    """The same rows as a local table when there are few, else unchanged."""
-    rows = df.take(MAX_LOCAL_CELLS + 1)
-    if len(rows) > MAX_LOCAL_CELLS:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def quantile_table(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], n_cells: int | None = None
 ) -> dict[str, list[float]]:

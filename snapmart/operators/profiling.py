@@ -74,24 +74,30 @@ def skewness(df: DataFrame, columns: Sequence[str], limit: float = 2.0) -> DataF
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Quartiles, fences and the rows beyond them, per column."""
+    """Quartiles, fences and the rows beyond them, per column.
+
+    A column without values has NULL quartiles and fences and no outliers.
+    """
     quartiles = quantile_table(df, columns, [0.25, 0.75])
     rows = []
     for c, q in quartiles.items():
-        if not q:
-            continue
-        q1, q3 = q
-        low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         x = as_value(c)
-        out = F.count_if((x < low) | (x > high))
+        if q:
+            q1, q3 = q
+            low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+            step = q3 - q1
+        else:
+            q1 = q3 = low = high = step = None
+        lit = [F.lit(v).cast("double") for v in (q1, q3, step, low, high)]
+        out = F.count_if((x < lit[3]) | (x > lit[4]))
         rows.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.lit(q1).alias("q1"),
-                F.lit(q3).alias("q3"),
-                F.lit(q3 - q1).alias("iqr"),
-                F.lit(low).alias("lower_bound"),
-                F.lit(high).alias("upper_bound"),
+                lit[0].alias("q1"),
+                lit[1].alias("q3"),
+                lit[2].alias("iqr"),
+                lit[3].alias("lower_bound"),
+                lit[4].alias("upper_bound"),
                 out.alias("n_outliers"),
                 N.ratio(out * 100, F.count(x)).alias("pct_outliers"),
             )
@@ -250,6 +256,27 @@ def bad_rate_by(df: DataFrame, keys: Sequence[str], label: str = "label") -> Dat
     )
 
 
+def _few_levels(df: DataFrame, columns: Sequence[str], most: int) -> set[str]:
+    """Columns with at most ``most`` distinct values, found in one aggregate of bounded size.
+
+    The smallest value, then the smallest above it and so on: each step is a minimum,
+    so a task keeps one number per column and no distinct values are shuffled.
+    """
+    found: dict[str, list[float]] = {c: [] for c in columns}
+    more = list(columns)
+    for _ in range(most + 1):
+        if not more:
+            break
+        row = df.agg(
+            *[
+                F.min(F.when(as_value(c) > found[c][-1], as_value(c)) if found[c] else as_value(c)).alias(f"v{i}")
+                for i, c in enumerate(more)
+            ]
+        ).first()
+        more = [c for i, c in enumerate(more) if row[f"v{i}"] is not None and not found[c].append(row[f"v{i}"])]
+    return set(columns) - set(more)
+
+
 def quartile_direction(
     df: DataFrame, columns: Sequence[str], label: str = "label", few_levels: int = 4
 ) -> DataFrame:
@@ -258,18 +285,11 @@ def quartile_direction(
     Features with few values are taken by value. The bin edges of each feature
     (five numbers) are the only data on the driver.
     """
-    levels = {
-        r["column"]: r["n_levels"]
-        for r in level_counts(df.select(*columns), columns)
-        .where(F.col("level").isNotNull())
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n_levels"))
-        .collect()
-    }
+    few = _few_levels(df, columns, few_levels)
     edges = quantile_table(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0])
     groups = []
     for c in columns:
-        by_value = levels.get(c, 0) <= few_levels
+        by_value = c in few
         x = as_value(c)
         group = x if by_value else N.quantile_bin(x, edges[c]).cast("double")
         groups.append(F.struct(F.lit(c).alias("feature"), group.alias("g"), F.col(label).alias("y")))

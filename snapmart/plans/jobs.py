@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmart.operators.filters import as_date, at_snapshot
-from snapmart.sources.tables import write_snapshots
+from snapmart.sources.tables import replace_partition, write_snapshots
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -43,9 +43,11 @@ def backfill(source: DataFrame, transform: Transform, path: str) -> None:
     write_snapshots(transform(source), path)
 
 
-def rerun_month(source: DataFrame, transform: Transform, path: str, day) -> None:
-    """The same job for one month; the other months' partitions stay."""
-    write_snapshots(transform(at_snapshot(source, day)), path)
+def rerun_month(
+    source: DataFrame, transform: Transform, path: str, day, key: str = "snapshot_date"
+) -> None:
+    """The same job for one month; the other months stay, and a result without rows empties the month."""
+    replace_partition(transform(at_snapshot(source, day)), path, {key: day})
 
 
 def availability(months: DataFrame, tables: Mapping[str, DataFrame], key: str = "snapshot_date") -> DataFrame:

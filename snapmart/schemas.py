@@ -143,17 +143,19 @@ FINANCIAL_RANGES = {
 SPENDING_LEVELS = [("Low_spent", 0), ("High_spent", 1)]
 PAYMENT_VALUE_LEVELS = [("Small_value", 0), ("Medium_value", 1), ("Large_value", 2)]
 
-LOAN_TYPES = [
-    "Auto Loan",
-    "Credit-Builder Loan",
-    "Debt Consolidation Loan",
-    "Home Equity Loan",
-    "Mortgage Loan",
-    "Not Specified",
-    "Payday Loan",
-    "Personal Loan",
-    "Student Loan",
-]
+# The loan types in the multi-valued text and their count columns.
+LOAN_TYPE_COLUMNS = {
+    "Auto Loan": "loan_type_auto_loan",
+    "Credit-Builder Loan": "loan_type_credit_builder_loan",
+    "Debt Consolidation Loan": "loan_type_debt_consolidation_loan",
+    "Home Equity Loan": "loan_type_home_equity_loan",
+    "Mortgage Loan": "loan_type_mortgage_loan",
+    "Not Specified": "loan_type_not_specified",
+    "Payday Loan": "loan_type_payday_loan",
+    "Personal Loan": "loan_type_personal_loan",
+    "Student Loan": "loan_type_student_loan",
+}
+LOAN_TYPES = list(LOAN_TYPE_COLUMNS)
 
 OCCUPATIONS = [
     "Accountant", "Architect", "Developer", "Doctor", "Engineer", "Entrepreneur",

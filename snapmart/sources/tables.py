@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def read_dated_files(spark: SparkSession, pattern: str, as_of=None) -> DataFrame
 def write_snapshots(
     df: DataFrame, path: str, keys: Sequence[str] = ("snapshot_date",)
 ) -> None:
-    """Overwrite exactly the partitions present in ``df``.
+    """Overwrite exactly the partitions present in ``df``; see ``replace_partition`` for reruns.
 
     Rows are rebalanced on the partition keys: small months become one file, a
     large month is split over several tasks by adaptive execution.
@@ -67,6 +68,20 @@ def write_snapshots(
     )
 
 
+def replace_partition(df: DataFrame, path: str, values: Mapping[str, object]) -> None:
+    """Overwrite one partition by what ``df`` holds of it, also where that is nothing.
+
+    ``values``: partition column to value, in the order of the table's folders. A
+    partition without rows stays as an empty file with the table's columns.
+    """
+    folder = path
+    part = df
+    for key, value in values.items():
+        part = part.where(F.col(key) == F.lit(value).cast(df.schema[key].dataType)).drop(key)
+        folder = f"{folder}/{key}={quote(str(value), safe=' ')}"
+    part.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     write_snapshots(predictions, path, ("model_name", "snapshot_date"))
 
@@ -80,16 +95,20 @@ def load_audit(
 ) -> DataFrame:
     """Rows per table and month, months without rows included as 0.
 
-    ``months`` is a month spine with the column ``key``.
+    ``months`` is a month spine with the column ``key``. Rows whose month is NULL or
+    outside the spine are counted too, so the counts sum up to the tables' rows.
     """
-    counts = None
+    names = F.array(*[F.lit(n) for n in layers])
+    counts = months.select(F.explode(names).alias("table"), key, F.lit(0).cast("long").alias("n"))
     for name, df in layers.items():
-        part = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit(name))
-        counts = part if counts is None else counts.unionByName(part)
-    wanted = months.select(key, F.explode(F.array(*[F.lit(n) for n in layers])).alias("table"))
-    return wanted.join(counts, [key, "table"], "left").select(
-        "table", key, F.coalesce("n", F.lit(0)).alias("n")
-    )
+        part = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.unionByName(part.select(F.lit(name).alias("table"), key, "n"))
+    return counts.groupBy("table", key).agg(F.sum("n").alias("n"))
+
+
+def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """Any ``n`` rows, as they are read."""
+    return df.limit(n)
 
 
 def inspect(df: DataFrame) -> DataFrame:

@@ -91,9 +91,8 @@ def test_behaviour_levels(spark):
 )
 def test_loan_type_counts(spark, text, counts):
     row = financial_rows(spark, Type_of_Loan=text)
-    for t in S.LOAN_TYPES:
-        name = X.column_name_of(t)
-        assert row[f"loan_type_{name}"] == counts.get(name, 0), name
+    for column in S.LOAN_TYPE_COLUMNS.values():
+        assert row[column] == counts.get(column.removeprefix("loan_type_"), 0), column
 
 
 def test_ratios_of_zero_and_missing(spark):

@@ -65,44 +65,32 @@ def test_hot_group_with_one_score(spark):
     assert got["hot"] == 0.5
 
 
-def test_hanley_mcneil(spark):
-    a, n1, n0 = 0.8, 100.0, 300.0
-    q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
-    want = np.sqrt((a * (1 - a) + (n1 - 1) * (q1 - a * a) + (n0 - 1) * (q2 - a * a)) / (n1 * n0))
-    got = spark.range(1).select(K.auc_standard_error(F.lit(a), F.lit(n1), F.lit(n0))).first()[0]
-    assert got == pytest.approx(want)
-
-
-def psi_of(expected, actual, bins=10):
-    e = np.array([x for x in expected if x is not None], dtype=float)
-    a = np.array([x for x in actual if x is not None], dtype=float)
-    edges = np.unique(np.quantile(e, np.linspace(0, 1, bins + 1)))
-    inner = edges[1:-1]
-    n_bins = max(len(edges) - 1, 0)
-
-    def shares(v, total, missing):
-        counts = [np.sum(np.searchsorted(inner, v, side="right") == i) for i in range(n_bins)]
-        return np.maximum(np.array([*counts, missing]) / total, 1e-4)
-
-    x = shares(e, len(expected), len(expected) - len(e))
-    y = shares(a, len(actual), len(actual) - len(a))
-    return float(np.sum((y - x) * np.log(y / x)))
-
-
-@pytest.mark.parametrize("kind", ["continuous", "discrete", "constant", "missing"])
-def test_psi_equals_numpy(spark, kind):
-    r = random.Random(11)
-    make = {
-        "continuous": (lambda: r.random(), lambda: r.random() ** 2),
-        "discrete": (lambda: float(r.randrange(4)), lambda: float(r.randrange(5))),
-        "constant": (lambda: 1.0, lambda: r.choice([1.0, 2.0, None])),
-        "missing": (lambda: r.random() if r.random() < 0.9 else None, lambda: r.random() if r.random() < 0.5 else None),
-    }[kind]
-    old, new = [make[0]() for _ in range(333)], [make[1]() for _ in range(400)]
+@pytest.mark.parametrize(
+    "area, positives, negatives, want",
+    [(0.8, 100.0, 300.0, 0.028321), (0.5, 10.0, 10.0, 0.132288), (1.0, 10.0, 10.0, 0.0)],
+)
+def test_area_error(spark, area, positives, negatives, want):
+    """Known values of the published formula."""
+    args = [F.lit(x) for x in (area, positives, negatives)]
+    got = spark.range(1).select(K.auc_standard_error(*args)).first()[0]
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "old, new, want",
+    [
+        # Halves become a fifth and four fifths: 0.3 ln 2.5 + 0.3 ln 1.6.
+        ([0.0] * 5 + [1.0] * 5, [0.0] * 2 + [1.0] * 8, 0.415888),
+        # A fifth goes missing, against a floored share: + 0.1 ln 1.2 + 0.1999 ln 2000.
+        ([0.0] * 5 + [1.0] * 5, [0.0] * 2 + [1.0] * 6 + [None] * 2, 1.812540),
+        # A constant baseline leaves the missing bin alone: 0.2499 ln 2500.
+        ([1.0] * 10, [1.0, 2.0, 1.0, None], 1.955229),
+        ([0.0] * 5 + [1.0] * 5, [1.0] * 3 + [0.0] * 3, 0.0),
+    ],
+)
+def test_psi_by_hand(spark, old, new, want):
     frame = lambda v: spark.createDataFrame([(x,) for x in v], "x double")
-    got = K.psi(frame(old), frame(new), ["x"]).first()["psi"]
-    assert got == pytest.approx(psi_of(old, new), abs=1e-12)
-    assert K.psi(frame(old), frame(old), ["x"]).first()["psi"] == pytest.approx(0.0, abs=1e-12)
+    assert K.psi(frame(old), frame(new), ["x"]).first()["psi"] == pytest.approx(want, abs=1e-6)
 
 
 def test_psi_without_baseline_or_current(spark):

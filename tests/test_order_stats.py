@@ -95,9 +95,16 @@ def test_approx_describe_has_same_shape(spark):
     assert abs(exact.first()["p50"] - approx.first()["p50"]) <= 1
 
 
-def test_many_wanted_cells_are_joined_instead(spark, monkeypatch):
-    rows = [(f"g{i % 7}", float(i * i % 101)) for i in range(700)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    small = sorted(map(str, O.exact_quantiles(df, ["x"], PROBS, by=["g"]).collect()))
-    monkeypatch.setattr(O, "MAX_LOCAL_CELLS", 3)
-    assert sorted(map(str, O.exact_quantiles(df, ["x"], PROBS, by=["g"]).collect())) == small
+def test_infinite_and_empty_columns(spark):
+    from snapmart.operators.association import correlation_matrix
+    from snapmart.operators.profiling import describe, iqr_outliers
+
+    rows = [(float(i), None) for i in range(50)] + [(float("inf"), None), (float("-inf"), None)]
+    df = spark.createDataFrame(rows, "x double, empty double")
+    got = {r["column"]: r for r in describe(df, ["x", "empty"]).collect()}
+    assert got["x"]["p50"] == 24.5 and got["x"]["max"] == float("inf")
+    assert got["empty"]["count"] == 0 and got["empty"]["p50"] is None
+    got = {r["column"]: r for r in iqr_outliers(df, ["x", "empty"]).collect()}
+    assert got["x"]["n_outliers"] == 2
+    assert got["empty"]["q1"] is None and got["empty"]["n_outliers"] == 0
+    assert correlation_matrix(df, ["x"]).columns == ["feature", "x"]

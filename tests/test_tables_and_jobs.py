@@ -115,3 +115,31 @@ def test_catalogue_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 120
     assert entry.entry(spark).count() > 0
+
+
+def test_rerun_without_rows_empties_the_month(spark):
+    path = scratch.new_path(spark, "empty")
+    df = months_frame(spark)
+    T.backfill(df, lambda d: d, path)
+    T.rerun_month(df, lambda d: d.where("x < 0"), path, "2024-02-01")
+    assert S.read_snapshot(spark, path, "2024-02-01").count() == 0
+    assert S.read_table(spark, path).count() == 6
+
+
+def test_replace_partition_by_model_and_month(spark):
+    path = scratch.new_path(spark, "predictions")
+    rows = [(m, dt.date(2024, k, 1), float(k)) for m in ("a", "b c") for k in (1, 2)]
+    df = spark.createDataFrame(rows, "model_name string, snapshot_date date, score double")
+    S.write_predictions(df, path)
+    S.replace_partition(df.where("score > 9"), path, {"model_name": "a", "snapshot_date": "2024-01-01"})
+    got = {(r["model_name"], r["snapshot_date"].month) for r in S.read_table(spark, path).collect()}
+    assert got == {("a", 2), ("b c", 1), ("b c", 2)}
+
+
+def test_audit_counts_every_row(spark):
+    df = spark.createDataFrame(
+        [(dt.date(2024, 1, 1),), (None,), (dt.date(2030, 1, 1),)], "snapshot_date date"
+    )
+    months = T.month_spine(spark, "2024-01-01", "2024-02-01")
+    got = {r["snapshot_date"]: r["n"] for r in S.load_audit({"t": df}, months).collect()}
+    assert got == {dt.date(2024, 1, 1): 1, dt.date(2024, 2, 1): 0, None: 1, dt.date(2030, 1, 1): 1}
