@@ -122,8 +122,10 @@ def _compare(threshold: float):
         key = group["key"].iloc[0]
         left = group[group["side"] == 0]
         right = group[group["side"] == 1]
-        same = right.empty
+        same = bool(group["low"].iloc[0] == group["high"].iloc[0])
         right = left if same else right
+        if left.empty or right.empty:
+            return pd.DataFrame([], columns=["rep", "links", "root"])
         a, b = np.stack(left["unit"]), np.stack(right["unit"])
         keys_a, keys_b = np.stack(left["keys"]), np.stack(right["keys"])
         ids_a, ids_b = left["rep"].to_numpy(), right["rep"].to_numpy()

@@ -7,15 +7,15 @@
    rounds together. Identical shingle sets are one class from here on.
 2. *Banding.* ``bands`` groups of ``rows`` slots are hashed; classes that share a
    band's value are candidates. With 32 bands of 5 rows a pair at similarity 0.8 is
-   missed with a chance of 3 in a million. A bucket is never expanded into all pairs:
-   its members are compared with its smallest one, and only members that are still in
-   different components afterwards are compared with each other.
-3. *Verification.* Candidates whose sizes or signatures rule a link out (an estimate
-   more than six standard deviations low) are left; all others are confirmed on the
-   full sets, which are computed from the whole texts again. Rows are sorted so that
-   a bucket's smallest member precedes the others: a task holds one set at a time.
-   Large buckets are dealt over several tasks.
-4. *Grouping.* Components of the confirmed links; the smallest doc_id stays.
+   missed with a chance of 3 in a million. A bucket is never expanded into pairs: its
+   members are tied to its smallest one, and what hangs together is a family.
+3. *Verification.* A family is compared in blocks, on full sets computed from the whole
+   texts again. Families of up to ``BLOCK`` classes are one block. Larger ones are
+   split by size class (two sets that are linked lie in the same or in neighbouring
+   ones) and dealt into blocks, and pairs of blocks meet, so a text is copied once per
+   ``BLOCK`` members and not per pair. A block pair hands on a spanning forest of its
+   links, never the pairs.
+4. *Grouping.* Components of the forest edges; the smallest doc_id stays.
 
 Sets are compared as 64-bit hashes of shingles. Defined cases: NULL, empty and blank
 texts have no shingles and stay alone; texts of fewer words than a shingle are one
@@ -30,21 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.llm.common import stored
-from snapmart.llm.components import components
+from snapmart.llm.components import UnionFind, components
 from snapmart.llm.text_map import built, map_texts
 
 KNOWN, LONG = 300_000, 200
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
-#: How far below the threshold a signature's estimate rules a link out.
-SLACK = 0.2
-#: Members of a bucket that one task compares with the bucket's smallest.
-BLOCK = 500
+#: Classes that are compared with each other in one go.
+BLOCK = 200
+#: Shingles per step of the intersection counts.
+COLUMNS = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +121,7 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 def signatures(
     docs: DataFrame, words: int, bands: int, rows: int, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, set_key, signature (binary), keys (one 64-bit value per band)."""
+    """doc_id, n_shingles, set_key, keys (one 64-bit value per band of the signature)."""
 
     def function(ids: list, texts: list) -> dict[str, list]:
         shingler = built(("shingles", words), lambda: Shingler(words))
@@ -130,7 +130,7 @@ def signatures(
         out: dict[str, list] = {
             "doc_id": ids, "n_shingles": [len(s) for s in sets],
             "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-            "signature": [b""] * len(sets), "keys": [[]] * len(sets),
+            "keys": [[]] * len(sets),
         }
         if full:
             found = super_minhash([sets[i] for i in full], bands * rows)
@@ -139,74 +139,125 @@ def signatures(
                 key = mix(key * _A + found.reshape(len(full), bands, rows)[:, :, r].astype(np.uint64))
             key = key.view(np.int64)
             for k, i in enumerate(full):
-                out["signature"][i], out["keys"][i] = found[k].tobytes(), key[k]
+                out["keys"][i] = key[k]
         return out
 
-    schema = "n_shingles bigint, set_key binary, signature binary, keys array<bigint>"
+    schema = "n_shingles bigint, set_key binary, keys array<bigint>"
     return map_texts(docs, doc_id, text, schema, function)
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that sizes and signatures don't rule out."""
-    side = reps.select("rep", "n_shingles", "signature")
-    joined = (
-        pairs.join(side.toDF("b", "n_b", "s_b"), "b")
-        .join(side.toDF("a", "n_a", "s_a"), "a")
-        .where(100 * F.least("n_a", "n_b") >= int(round(100 * least)) * F.greatest("n_a", "n_b"))
-    )
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a block's sets."""
+    n = len(sets)
+    if n <= 6:
+        out = np.zeros((n, n))
+        for i in range(n):
+            for j in range(i):
+                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one set alone can't be shared.
+    often = count > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = int(often.sum())
+    cuts = np.searchsorted(column, np.arange(0, total + COLUMNS, COLUMNS))
+    out = np.zeros((n, n), np.float32)
+    for k in range(len(cuts) - 1):
+        part = slice(cuts[k], cuts[k + 1])
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[owner[part], column[part] - k * COLUMNS] = 1
+        out += held @ held.T
+    return np.rint(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                    for c in ("s_a", "s_b")
-                )
-                keep = pa.array((x == y).mean(axis=1) >= least - SLACK)
-                yield batch.select(["a", "b"]).filter(keep)
 
-    return joined.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+def block_links(
+    ids: list[int], sides: list[int], sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
+    """A spanning forest of the links in one block (one side), or between two blocks."""
+    both = intersections(sets)
+    size = np.array([len(s) for s in sets], np.float64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    side = np.array(sides)
+    if len(set(sides)) > 1:
+        linked &= side[:, None] != side[None, :]
+    forest = UnionFind()
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        forest.union(ids[i], ids[j])
+    return [(x, root) for x in forest.parent if (root := forest.find(x)) != x]
 
 
-def _confirmed(
-    pairs: DataFrame, docs: DataFrame, words: int, percent: int
-) -> DataFrame:
-    """Pairs (a, b) whose full sets have at least ``percent`` per cent in common."""
-    heads = pairs.groupBy("a").agg(F.count("*").alias("n")).select(
-        "a", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-    )
-    dealt = pairs.join(heads, "a").select(
-        F.col("b").alias("doc_id"), F.col("a").alias("head"),
-        F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"),
+def _meetings(families: DataFrame) -> DataFrame:
+    """Families (family, rep, n_shingles) to rows (pair, side, rep): which blocks meet.
+
+    Blocks are (size class, number); a block meets itself, the others of its class and
+    those of the next class. Families that fit into one block have one class.
+    """
+    total = families.groupBy("family").agg(F.count("*").alias("total"))
+    classed = families.join(total, "family").withColumn(
+        "size", F.when(F.col("total") > BLOCK, F.floor(F.log("n_shingles") / F.log(F.lit(1.25)))).otherwise(0).cast("int")
     )
-    ends = heads.select(
-        F.col("a").alias("doc_id"), F.col("a").alias("head"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    counts = classed.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("sizes"))
+    placed = classed.join(sizes, "family")
+
+    def blocks(step: int) -> Column:
+        return F.coalesce(F.try_element_at("sizes", F.col("size") + step), F.lit(0))
+
+    def others(step: int) -> Column:
+        n = blocks(step)
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("rep"), blocks(0)).cast("int"))
+    here, at = F.col("size"), F.col("at")
+
+    def pair(c1: Column, a1: Column, c2: Column, a2: Column, side: Column) -> Column:
+        return F.struct(
+            c1.alias("c1"), a1.alias("a1"), c2.alias("c2"), a2.alias("a2"), side.cast("int").alias("side")
+        )
+
+    rows = F.concat(
+        F.transform(others(0), lambda o: pair(here, F.least(at, o), here, F.greatest(at, o), at > o)),
+        F.transform(others(1), lambda o: pair(here, at, here + 1, o, F.lit(0))),
+        F.transform(others(-1), lambda o: pair(here - 1, o, here, at, F.lit(1))),
     )
-    wanted = dealt.unionByName(ends)
+    return placed.select("family", "rep", F.inline(rows))
+
+
+def _confirmed(meetings: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Forest edges (a, b) of the links on full sets; texts travel to their blocks."""
+    keys = ["family", "c1", "a1", "c2", "a2"]
     texts = (
-        wanted.join(docs, "doc_id")
-        .repartition(F.col("head"), F.col("part"))
-        .sortWithinPartitions("head", "part", F.col("doc_id") != F.col("head"), "doc_id")
+        meetings.withColumnRenamed("rep", "doc_id").join(docs, "doc_id")
+        .repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "side", "doc_id")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = built(("shingles", words), lambda: Shingler(words))
-        head, own = None, np.zeros(0, np.uint64)
+        current, ids, sides, sets = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = block_links(ids, sides, sets, percent) if len(ids) > 1 else []
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            for i, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "head", "text"))):
-                found = shingler(text or "")
-                if i == h:
-                    head, own = h, found
-                elif head == h:
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(found) - both):
-                        a.append(h)
-                        b.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for *key, side, doc, text in zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "doc_id", "text"))):
+                if key != current:
+                    if current is not None and len(ids) > 1:
+                        yield links()
+                    current, ids, sides, sets = key, [], [], []
+                if not ids or ids[-1] != doc:
+                    ids.append(doc)
+                    sides.append(side)
+                    sets.append(shingler(text or ""))
+        yield links()
 
-    return texts.select("doc_id", "head", "text").mapInArrow(run, "a long, b long")
+    return texts.select(*keys, "side", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(
@@ -215,7 +266,6 @@ def near_dedup(
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    least = percent / 100
     signed = stored(signatures(source, words, bands, rows), "signatures")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(
@@ -234,29 +284,17 @@ def near_dedup(
     )
     entries = reps.select("rep", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(entries.join(buckets, "key").select("key", "rep", "head"), "buckets")
-
-    stars = shared.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(stored(_estimated(stars, signed.withColumnRenamed("doc_id", "rep"), least), "pairs"), source, words, percent), "links")
-    found = components(links)
-
-    # Members that the smallest of their bucket didn't bring together.
-    placed = (
-        shared.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", "head", F.coalesce("root", "rep").alias("root"))
+    ties = entries.join(buckets, "key").where("rep != head").select(
+        F.col("rep").alias("a"), F.col("head").alias("b")
+    )
+    tied = components(ties)
+    family = tied.select(F.col("node").alias("rep"), F.col("root").alias("family")).unionByName(
+        tied.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct()
     )
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    apart = stored(placed.where("rep != head").join(split.select("key"), "key"), "apart")
-    other = apart.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    rest = (
-        apart.select("key", F.col("rep").alias("a"), "root").join(other, "key")
-        .where("a < b and root != root_b").select("a", "b").distinct()
+    families = stored(
+        family.join(reps.select("rep", "n_shingles"), "rep").select("family", "rep", "n_shingles"), "families"
     )
-    rest = stored(_estimated(rest, signed.withColumnRenamed("doc_id", "rep"), least), "pairs")
-    if not rest.isEmpty():
-        more = stored(_confirmed(rest, source, words, percent), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    found = components(_confirmed(_meetings(families), source, words, percent))
     return (
         member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
