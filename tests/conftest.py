@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,7 +16,8 @@ def spark():
     session = build_session(
         "snapmart-tests", master="local[8]", shuffle_partitions=8,
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-           "spark.driver.memory": "6g"},
+           "spark.driver.memory": "6g",
+           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="snapmart-tests-")},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
