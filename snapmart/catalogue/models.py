@@ -21,6 +21,23 @@ TRAIN_DATE = "1999-06-01"
 SPACE = {"maxIter": [4, 6], "maxDepth": [2, 3], "stepSize": [0.1]}
 FEATURES = ["price", "balance", "n_events", "segment", "lines", "quantity", "mean_discount"]
 
+_APPS = """
+    ev AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+    ln AS (SELECT l_orderkey, max(CAST(l_returnflag = 'R' AS INTEGER)) AS label FROM lineitem GROUP BY 1),
+    apps AS (SELECT CAST(o_orderkey AS VARCHAR) AS loan_id, CAST(o_custkey AS VARCHAR) AS Customer_ID, label,
+                    CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS snapshot_date
+             FROM orders JOIN ln ON o_orderkey = l_orderkey)
+"""
+#: Rows per label that the split takes for training, and the rest.
+_SPLITS = """
+    mixed AS (SELECT label, count(*) AS n, CAST(round(count(*) * 0.8) AS BIGINT) AS k FROM apps
+              WHERE snapshot_date BETWEEN DATE '1998-01-01' AND DATE '1998-10-01' GROUP BY 1),
+    splits AS (SELECT 'train' AS split, CAST(sum(k) AS BIGINT) AS n_labels FROM mixed
+               UNION ALL SELECT 'test', CAST(sum(n - k) AS BIGINT) FROM mixed
+               UNION ALL SELECT 'oot', count(*) FROM apps
+               WHERE snapshot_date BETWEEN DATE '1998-11-01' AND DATE '1998-12-01')
+"""
+
 
 def applications(spark, d):
     """One application per order with customer, line and event features and a label."""
@@ -107,10 +124,27 @@ def cut_split(spark, d):
     return M.cut_split(days, TRAIN_DATE)
 
 
-@query("q_split")
+@query(
+    "q_split",
+    f"""
+    WITH {_APPS}, n AS (SELECT label, count(*) AS n, CAST(round(count(*) * 0.8) AS BIGINT) AS k FROM apps GROUP BY 1)
+    SELECT loan_id, label, k AS n_train, n - k AS n_test, TRUE AS one_side FROM apps JOIN n USING (label)
+    """,
+)
 def split(spark, d):
-    """The choice of rows is a Spark hash; the exact shares are tested."""
-    return M.stratified_split(applications(spark, d).select("loan_id", "label"))
+    """Every row on exactly one side, with the exact sizes of both sides of its label.
+
+    Which rows are taken is a Spark hash, so the side itself has no SQL form.
+    """
+    rows = M.stratified_split(applications(spark, d).select("loan_id", "label"))
+    sizes = rows.groupBy("label").agg(
+        F.count_if(F.col("split") == "train").alias("n_train"),
+        F.count_if(F.col("split") == "test").alias("n_test"),
+    )
+    sided = rows.groupBy("loan_id", "label").agg(
+        ((F.count_distinct("split") == 1) & F.bool_and(F.col("split").isin("train", "test"))).alias("one_side")
+    )
+    return sided.join(sizes, "label").select("loan_id", "label", "n_train", "n_test", "one_side")
 
 
 @query(
@@ -152,7 +186,22 @@ def impute_scale(spark, d):
     return fitted.apply(frame).withColumns({c: F.round(c, 8) for c in ("price", "n_events")})
 
 
-@query("q_lr_scores")
+@query(
+    "q_lr_scores",
+    f"""
+    WITH {_APPS}
+    SELECT CAST(o_orderkey AS VARCHAR) AS loan_id, label, TRUE AS is_probability
+    FROM orders JOIN ln ON o_orderkey = l_orderkey
+    WHERE CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) > DATE '1999-06-01'
+    """,
+)
+def lr_scores_stated(spark, d):
+    """Which applications are scored, and that each has a probability; the values are tested."""
+    return lr_scores(spark, d).select(
+        "loan_id", "label", F.col("model_predictions").between(0, 1).alias("is_probability")
+    )
+
+
 def lr_scores(spark, d):
     """Logistic regression on applications up to the cut, scored after it."""
     data = materialise(M.cut_split(applications(spark, d), TRAIN_DATE), "applications")
@@ -177,13 +226,42 @@ def gbt_search(spark, d):
     return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
 
 
-@query("q_candidates")
+@query(
+    "q_candidates",
+    f"""
+    WITH {_APPS}, {_SPLITS}
+    SELECT model, split, n_labels, TRUE AS is_area
+    FROM splits, (SELECT unnest(['logistic_regression', 'boosted_trees']) AS model)
+    """,
+)
 def candidates(spark, d):
-    """Area under the curve of both candidates on train, test and oot."""
-    return _training(spark, d).results
+    """Both candidates on train, test and oot: rows, and that the area is one; areas are tested."""
+    return _training(spark, d).results.select(
+        "model", "split", F.col("n_labels").cast("bigint").alias("n_labels"),
+        ((F.col("auc") > 0) & (F.col("auc") < 1)).alias("is_area"),
+    )
+
+
+@query(
+    "q_platt",
+    "SELECT doc_id, toxic AS label, TRUE AS is_probability, TRUE AS order_kept "
+    "FROM documents JOIN labels USING (doc_id)",
+)
+def platt_stated(spark, d):
+    """Calibration gives probabilities and keeps (or wholly turns) the order of the scores."""
+    scored = platt(spark, d).join(R.document_scores(spark, d).select("doc_id", "model_predictions"), "doc_id")
+    # A sigmoid is strictly monotone: equal scores share a value, and ranks agree.
+    bounds = scored.groupBy("model_predictions").agg(F.min("pd").alias("low"), F.max("pd").alias("high"))
+    spread = bounds.agg(
+        (F.max(F.col("high") - F.col("low")) == 0).alias("equal"),
+        (F.abs(F.corr("model_predictions", F.log(F.col("low") / (1 - F.col("low"))))) > 0.999999).alias("straight"),
+    )
+    kept = spread.select((F.col("equal") & F.col("straight")).alias("ok")).scalar()
+    return scored.select(
+        "doc_id", "label", F.col("pd").between(0, 1).alias("is_probability"), kept.alias("order_kept")
+    )
 
 
-@query("q_platt")
 def platt(spark, d):
     """Calibrated scores of the documents' length score."""
     docs = R.document_scores(spark, d)
@@ -240,7 +318,22 @@ def resilience(spark, d):
     return P.resilience(trained, apps.where(F.col("split") == "production"))
 
 
-@query("q_batch_score")
+@query(
+    "q_batch_score",
+    f"""
+    WITH {_APPS}
+    SELECT loan_id, Customer_ID, snapshot_date, 'credit_model_1999_06_01' AS model_name, TRUE AS is_probability
+    FROM apps WHERE snapshot_date >= DATE '1999-06-01'
+    """,
+)
+def batch_score_stated(spark, d):
+    """Which applications the stored scores hold, and that each is a probability; values are tested."""
+    return batch_score(spark, d).select(
+        "loan_id", "Customer_ID", "snapshot_date", "model_name",
+        F.col("model_predictions").between(0, 1).alias("is_probability"),
+    )
+
+
 def batch_score(spark, d):
     """Scoring backfill: all production months in one job, written by month."""
     trained = _training(spark, d)
@@ -250,7 +343,24 @@ def batch_score(spark, d):
     return read_table(spark, path)
 
 
-@query("q_artefact_roundtrip")
+@query(
+    "q_artefact_roundtrip",
+    f"""
+    WITH {_APPS}
+    SELECT count(*) AS n_labels, TRUE AS same_auc, TRUE AS same_brier FROM apps
+    WHERE snapshot_date BETWEEN DATE '1998-11-01' AND DATE '1998-12-01'
+    """,
+)
+def artefact_roundtrip_stated(spark, d):
+    """The loaded model scores the oot rows as the one that was saved."""
+    rows = artefact_roundtrip(spark, d)
+    return rows.agg(
+        F.max("n_labels").cast("bigint").alias("n_labels"),
+        (F.min("auc") == F.max("auc")).alias("same_auc"),
+        (F.min("brier") == F.max("brier")).alias("same_brier"),
+    )
+
+
 def artefact_roundtrip(spark, d):
     """Oot area before saving the artefacts and after loading them."""
     trained = _training(spark, d)
