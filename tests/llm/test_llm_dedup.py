@@ -181,6 +181,7 @@ def vectors():
             rows.append((v + scale * r.normal(size=16), k % 3))
     rows += [(rows[0][0], 0)] * 20 + [(rows[0][0], 1), (rows[0][0] * 2, 0), (rows[4][0], None)]
     rows = [([float(x) for x in v], label) for v, label in rows]
+    rows += [([1.0, 2.0], 0), ([1.0, 2.01], 0), ([3.0, -1.0], 0)]
     rows += [(None, 0), ([0.0] * 16, 0), ([0.0] * 16, 0), ([float("nan")] * 16, 0), ([1.0] + [None] * 15, 0), ([1.0, 0.0], 0)]
     return [(i, v, label) for i, (v, label) in enumerate(rows)]
 
