@@ -20,7 +20,7 @@ _SPLIT = re.compile(f"[^{SPACE}]+")
 WORDS = _SPLIT.finditer
 
 #: Known chunks per worker process, and the longest chunk that is kept.
-KNOWN, LONG = 500_000, 200
+KNOWN, LONG = 400_000, 200
 
 
 def chunks_of(text: str) -> list[str]:

@@ -13,15 +13,21 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Characters handled at a time in a worker; one longer text is a slice of its own.
 SLICE_CHARS = 2_000_000
 
-#: Per worker process: what ``make`` built, by key. Workers are reused over tasks.
+#: Per worker process: what ``make`` built, by key, the last used at the end. Workers
+#: are reused over tasks and queries, so only what one operator needs is kept.
 _BUILT: dict = {}
+MOST_BUILT = 2
 
 
 def built(key: tuple, make: Callable):
-    """Build once per worker process."""
-    if key not in _BUILT:
-        _BUILT[key] = make()
-    return _BUILT[key]
+    """Build once per worker process; others than the last ``MOST_BUILT`` used are let go."""
+    found = _BUILT.pop(key, None)
+    if found is None:
+        while len(_BUILT) >= MOST_BUILT:
+            del _BUILT[next(iter(_BUILT))]
+        found = make()
+    _BUILT[key] = found
+    return found
 
 
 def slices(ids: list, texts: list) -> Iterator[tuple[list, list]]:

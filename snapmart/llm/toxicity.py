@@ -101,10 +101,14 @@ def fit_ftrl(
     for at, _ in rows:
         seen[at] += 1
     seen[0] = least_docs
-    rows = [(at[seen[at] >= least_docs], y) for at, y in rows]
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    used = np.flatnonzero(seen >= least_docs)  # the bias comes first
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    rows = [(k[k >= 0], y) for k, y in ((number[at], y) for at, y in rows)]
+    del seen, number
+    z, n = np.zeros(len(used)), np.zeros(len(used))
     order = np.random.default_rng(7)
-    bound = np.full(1 << BITS, l1)
+    bound = np.full(len(used), l1)
     bound[0] = 0.0
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -120,11 +124,11 @@ def fit_ftrl(
             root = np.sqrt(n[at])
             z[at] += g - (np.sqrt(n[at] + g * g) - root) / alpha * w
             n[at] += g * g
-    every = weights(np.arange(1 << BITS))
+    every = weights(np.arange(len(used)))
     bias = float(every[0])
     every[0] = 0
-    index = np.flatnonzero(every)
-    return Model(index, every[index].astype(np.float32), bias)
+    on = np.flatnonzero(every)
+    return Model(used[on], every[on].astype(np.float32), bias)
 
 
 def train(
