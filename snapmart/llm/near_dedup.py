@@ -37,7 +37,7 @@ from snapmart.llm.common import stored
 from snapmart.llm.components import UnionFind, components
 from snapmart.llm.text_map import built, map_texts
 
-KNOWN, LONG = 300_000, 200
+KNOWN, LONG = 150_000, 200
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)

@@ -321,7 +321,7 @@ class Tagger:
         try:
             return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
         except KeyError:
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             for p in set(parts):
                 if p not in known and len(p) <= LONG:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Characters handled at a time in a worker; one longer text is a slice of its own.
-SLICE_CHARS = 2_000_000
+#: Characters handled at a time in a worker (one longer text is a slice of its own), and
+#: rows of an Arrow batch that are Python objects at a time.
+SLICE_CHARS, SLICE_ROWS = 1_000_000, 1_000
 
 #: Per worker process: what ``make`` built, by key, the last used at the end. Workers
 #: are reused over tasks and queries, so only what one operator needs is kept.
@@ -30,6 +31,11 @@ def built(key: tuple, make: Callable):
     return found
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
 def slices(ids: list, texts: list) -> Iterator[tuple[list, list]]:
     start = size = 0
     for i, text in enumerate(texts):
@@ -56,7 +62,7 @@ def map_texts(
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some_ids, some_texts in slices(ids, texts):
                 columns = function(some_ids, some_texts)
@@ -72,7 +78,7 @@ def filter_texts(docs: DataFrame, text: str, keep: Callable[[list], list]) -> Da
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             mask = [k for _, some in slices(texts, texts) for k in keep(some)]
             yield batch.filter(pa.array(mask, pa.bool_()))
@@ -85,7 +91,7 @@ def replace_texts(docs: DataFrame, text: str, function: Callable[[list], list])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             old = batch.column(at).to_pylist()
             texts = [t or "" for t in old]
             new = [t for _, some in slices(texts, texts) for t in function(some)]

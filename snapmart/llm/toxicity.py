@@ -33,7 +33,7 @@ from snapmart.llm.text_map import built, filter_texts, map_texts
 BITS = 22
 #: Word beginnings that are features of their own.
 STEMS = (4, 6)
-KNOWN, LONG = 300_000, 200
+KNOWN, LONG = 150_000, 200
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SKIP = np.uint64(0xC2B2AE3D27D4EB4F)
