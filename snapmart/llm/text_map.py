@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,12 +22,22 @@ _BUILT: dict = {}
 MOST_BUILT = 2
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, which workers of later stages would hold on to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def built(key: tuple, make: Callable):
     """Build once per worker process; others than the last ``MOST_BUILT`` used are let go."""
     found = _BUILT.pop(key, None)
     if found is None:
-        while len(_BUILT) >= MOST_BUILT:
+        if len(_BUILT) >= MOST_BUILT:
             del _BUILT[next(iter(_BUILT))]
+            _give_back()
         found = make()
     _BUILT[key] = found
     return found
