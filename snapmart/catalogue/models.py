@@ -16,9 +16,6 @@ from snapmart.sources.scratch import new_path as work_path
 from snapmart.sources.tables import read_table, write_predictions
 
 TRAIN_DATE = "1999-06-01"
-#: Small grid and few draws: the registered queries show the procedure, a job
-#: takes the full grid of ``schemas.GBT_SEARCH_SPACE``.
-SPACE = {"maxIter": [4, 6], "maxDepth": [2, 3], "stepSize": [0.1]}
 FEATURES = ["price", "balance", "n_events", "segment", "lines", "quantity", "mean_discount"]
 
 _APPS = """
@@ -68,12 +65,12 @@ def applications(spark, d):
     )
 
 
-def _training(spark, d, columns=FEATURES, draws=1):
+def _training(spark, d, columns=FEATURES):
     apps = applications(spark, d)
     tagged = M.tag_windows(apps, TRAIN_DATE)
     mixed = tagged.where(F.col("split") == "train_test").drop("split")
     data = M.stratified_split(mixed).unionByName(tagged.where(F.col("split") == "oot"))
-    return P.train_on(data, columns, "credit_model_1999_06_01", draws=draws, space=SPACE)
+    return P.train_on(data, columns, "credit_model_1999_06_01")
 
 
 @query(
@@ -221,7 +218,7 @@ def gbt_search(spark, d):
     prepared = M.fit_preprocessing(data, FEATURES)
     vectors = P.PipelineModel(stages=prepared.stages()).transform(data)
     vectors = materialise(vectors.select("loan_id", "label", "features"), "search")
-    found = M.random_search(vectors, space=SPACE, draws=2)
+    found = M.random_search(vectors)
     rows = [(str(p), float(a), p == found.params) for p, a in found.trials]
     return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
 
@@ -294,7 +291,7 @@ def _sets(spark, d):
     apps = M.tag_windows(applications(spark, d), TRAIN_DATE)
     mixed = apps.where(F.col("split") == "train_test").drop("split")
     data = M.stratified_split(mixed).unionByName(apps.where(F.col("split") == "oot"))
-    return P.compare_feature_sets(data, _SETS, draws=1, space=SPACE), apps
+    return P.compare_feature_sets(data, _SETS), apps
 
 
 @query("q_feature_sets")

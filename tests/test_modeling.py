@@ -8,9 +8,12 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
+from snapmart.catalogue.registry import QUERIES
 from snapmart.operators import modeling as M
 from snapmart.operators.metrics import evaluate
 from snapmart.plans import training as P
+from snapmart.schemas import GBT_SEARCH_SPACE
 from snapmart.sources import artefacts
 from snapmart.sources.scratch import materialise, new_path
 
@@ -153,3 +156,22 @@ def test_calibration_keeps_the_ranking(trained):
     final = t.model.calibrated(t.data)
     raw = evaluate(final, score="raw_score").first()["auc"]
     assert evaluate(final).first()["auc"] == pytest.approx(raw, abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["q_gbt_search", "q_candidates", "q_feature_sets"])
+def test_training_queries_search_the_full_grid(spark, small, monkeypatch, name):
+    class Searched(Exception):
+        pass
+
+    class Recorder:
+        def __init__(self, estimatorParamMaps, numFolds, **_):
+            self.maps, self.folds = estimatorParamMaps, numFolds
+
+        def fit(self, _):
+            names = {frozenset(p.name for p in m) for m in self.maps}
+            raise Searched(len(self.maps), self.folds, names)
+
+    monkeypatch.setattr(M, "CrossValidator", Recorder)
+    with pytest.raises(Searched) as found:
+        QUERIES[name](spark, small)
+    assert found.value.args == (50, 3, {frozenset(GBT_SEARCH_SPACE)})
