@@ -7,7 +7,9 @@ have a weight; these are what the scoring tasks get.
 
 The model is fitted on at most ``per_class`` labelled documents of each class (those
 with the smallest hash), a documented bound; their feature lists are the only rows
-that reach the driver. Every document is scored whole, in one scan.
+that reach the driver. Where a cap binds, the bias gives back the share of the classes
+over all usable labels, so that a score means the same at every size. Every document is
+scored whole, in one scan.
 
 Defined cases: a NULL or empty text has the score of the bias alone; labels without a
 document or without a value are left out; without labels every score is 0.5; repeated
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.llm.chunks import chunks_of
-from snapmart.llm.labelled import fold, label_sample
+from snapmart.llm.labelled import fold, label_sample, log_odds_of_sample
 from snapmart.llm.text_map import built, filter_texts, map_texts
 
 #: Size of the hashed feature space, as a power of two; feature 0 is the bias.
@@ -153,7 +155,10 @@ def train(
     table = rows.toArrow()
     order = np.argsort(np.array(table["doc_id"].to_pylist(), dtype=np.int64), kind="stable")
     at, y = table["at"].combine_chunks(), table["label"].to_pylist()
-    return fit_ftrl([(at[int(i)].values.to_numpy(), y[int(i)]) for i in order])
+    model = fit_ftrl([(at[int(i)].values.to_numpy(), y[int(i)]) for i in order])
+    if len(order):
+        model.bias -= log_odds_of_sample(labels, label, usable, per_class)
+    return model
 
 
 def _scorer(model: Model) -> Callable[[list], list[float]]:

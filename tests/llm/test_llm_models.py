@@ -183,3 +183,22 @@ def test_pipeline_stages(spark):
     empty = start.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+@pytest.mark.parametrize("per_class", [5_000, 150, 80])
+def test_toxicity_scores_hold_where_a_cap_binds(spark, per_class):
+    """'rude' is toxic in 2 of 5 documents, 'vile' always; no cap, one or both bind."""
+    r = random.Random(17)
+    rows = []
+    for i in range(1200):
+        kind = r.choices(["rude", "vile", "plain"], [20, 3, 77])[0]
+        toxic = kind == "vile" or kind == "rude" and r.random() < 0.4
+        rows.append((i, f"{kind} w{r.randrange(300)} w{r.randrange(300)}", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    n_toxic = sum(r[2] for r in rows)
+    assert 80 < n_toxic < 150
+    model = train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True), per_class=per_class)
+    cases = spark.createDataFrame([(1, "rude"), (2, "vile"), (3, "plain")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity(cases, model).collect()}
+    assert [got[i]["predicted"] for i in (1, 2, 3)] == [0, 1, 0]
+    assert 0.25 < got[1]["score"] < 0.55 and got[3]["score"] < 0.1
