@@ -201,9 +201,14 @@ def dated_files(spark, d):
 
 @query("q_schema_drift")
 def schema_drift(spark, d):
-    """Column-level differences between the given tables' footers."""
-    names = ["orders", "lineitem", "events", "customer"]
-    return S.schema_drift(S.schema_report(spark, {n: f"{d}/{n}.parquet" for n in names}))
+    """Differences between and within the months of a stored table; files of one month differ."""
+    path = work_path(spark, "months")
+    orders = _monthly_orders(spark, d)
+    S.write_snapshots(orders, path)
+    later = orders.where(F.col("snapshot_date") == "1997-03-01").drop("snapshot_date", "o_orderstatus")
+    later = later.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)"))
+    later.write.mode("append").parquet(f"{path}/snapshot_date=1997-03-01")
+    return S.schema_drift(S.schema_report(spark, S.partition_paths(spark, path)))
 
 
 @query(

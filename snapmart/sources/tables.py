@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,27 +124,64 @@ def inspect(df: DataFrame) -> DataFrame:
     )
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """All data files below a folder; only listed, not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return sorted(r["path"] for r in reader.load(path).select("path").collect())
+
+
+def partition_paths(spark: SparkSession, path: str) -> dict[str, str]:
+    """Folders of a partitioned table that hold files, by their ``key=value`` parts."""
+    folders = sorted({f.rsplit("/", 1)[0] for f in _files(spark, path)})
+    return {re.search(r"(?:[^/=]+=[^/]*/?)*$", f).group() or f: f for f in folders}
+
+
 def schema_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Column types of each partition, read from file footers: (part, column, type)."""
-    rows = [
-        (part, f.name, f.dataType.simpleString())
-        for part, path in paths.items()
-        for f in spark.read.parquet(path).schema.fields
-    ]
-    return spark.createDataFrame(rows, "part string, column string, type string")
+    """Column types of each partition by distinct schema: (part, schema, n_files, column, type).
+
+    The footer of every file is read, by one small job a file, several at a time.
+    ``schema`` numbers the distinct schemas of a part from 1, the most frequent first.
+    """
+
+    def footer(file: str) -> tuple:
+        literal = re.sub(r"([\\*?\[\]{}])", r"\\\1", file)
+        return tuple((f.name, f.dataType.simpleString()) for f in spark.read.parquet(literal).schema.fields)
+
+    rows = []
+    with ThreadPoolExecutor(8) as pool:
+        listed = dict(zip(paths, pool.map(lambda p: _files(spark, p), paths.values())))
+        for part, files in listed.items():
+            if not files:
+                raise ValueError(f"no files in {paths[part]}")
+        jobs = {part: [pool.submit(footer, f) for f in files] for part, files in listed.items()}
+        for part, found in jobs.items():
+            counted = Counter(job.result() for job in found)
+            for k, (schema, n) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0])), 1):
+                rows += [(part, k, n, name, kind) for name, kind in schema]
+    return spark.createDataFrame(rows, "part string, schema int, n_files long, column string, type string")
 
 
 def schema_drift(report: DataFrame) -> DataFrame:
-    """Columns that differ between partitions: several types, or missing in some.
+    """Columns that differ between or within partitions: several types, or missing in some files.
 
-    Empty when all partitions share one schema.
+    ``n_parts`` counts the partitions that have the column, ``n_mixed`` those of them in
+    which it is missing in some files or has several types. Empty when all files share
+    one schema.
     """
-    parts = report.agg(F.count_distinct("part").alias("n")).scalar()
+    total = report.agg(F.count_distinct("part", "schema").alias("n")).scalar()
+    schemas = report.groupBy("part").agg(F.count_distinct("schema").alias("n_schemas"))
+    by_part = report.groupBy("part", "column").agg(
+        F.collect_set("type").alias("types"), F.count_distinct("schema").alias("n_with")
+    ).join(schemas, "part")
+    mixed = (F.size("types") > 1) | (F.col("n_with") < F.col("n_schemas"))
     return (
-        report.groupBy("column")
+        by_part.groupBy("column")
         .agg(
-            F.sort_array(F.collect_set("type")).alias("types"),
-            F.count_distinct("part").alias("n_parts"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
+            F.count(F.lit(1)).alias("n_parts"),
+            F.count_if(mixed).alias("n_mixed"),
+            F.sum("n_with").alias("n_with"),
         )
-        .where((F.size("types") > 1) | (F.col("n_parts") < parts))
+        .where((F.size("types") > 1) | (F.col("n_with") < total))
+        .drop("n_with")
     )

@@ -143,3 +143,25 @@ def test_audit_counts_every_row(spark):
     months = T.month_spine(spark, "2024-01-01", "2024-02-01")
     got = {r["snapshot_date"]: r["n"] for r in S.load_audit({"t": df}, months).collect()}
     assert got == {dt.date(2024, 1, 1): 1, dt.date(2024, 2, 1): 0, None: 1, dt.date(2030, 1, 1): 1}
+
+
+def test_schema_drift_within_a_partition(spark):
+    path = scratch.new_path(spark, "mixed")
+    S.write_snapshots(months_frame(spark), path)
+    folder = f"{path}/snapshot_date=2024-02-01"
+    spark.createDataFrame([("l9", 1)], "loan_id string, x int").write.mode("append").parquet(folder)
+    spark.createDataFrame([("l9",)], "loan_id string").write.mode("append").parquet(folder)
+    parts = S.partition_paths(spark, path)
+    assert sorted(parts) == [f"snapshot_date=2024-0{k}-01" for k in (1, 2, 3)]
+    report = S.schema_report(spark, parts)
+    got = {(r["part"][-5:], r["schema"]) for r in report.collect()}
+    assert got == {("01-01", 1), ("02-01", 1), ("02-01", 2), ("02-01", 3), ("03-01", 1)}
+    drift = S.schema_drift(report).collect()
+    assert [(r["column"], r["types"], r["n_parts"], r["n_mixed"]) for r in drift] == [("x", ["double", "int"], 3, 1)]
+    assert S.schema_drift(S.schema_report(spark, {"one": folder})).count() == 1
+
+
+def test_schema_drift_query_reads_the_months(spark, small):
+    got = {r["column"]: (r["types"], r["n_mixed"]) for r in entry.queries()["q_schema_drift"](spark, small).collect()}
+    assert set(got) == {"o_totalprice", "o_orderstatus"}
+    assert got["o_totalprice"] == (["decimal(15,2)", "double"], 1) and got["o_orderstatus"][1] == 1
