@@ -101,6 +101,23 @@ def pit_full(spark, d):
     )
 
 
+@query(
+    "q_pit_full_applications",
+    f"""
+    WITH {R.LOANS}, {R.CLICKS_SQL},
+    spine AS (SELECT Customer_ID, snapshot_date FROM loans WHERE mob = 0)
+    {_AS_OF.format(aggs=_FULL)}
+    """,
+)
+def pit_full_applications(spark, d):
+    """All statistics at every application day that has click history."""
+    spine = R.loans(spark, d).where(F.col("mob") == 0).select("Customer_ID", "snapshot_date").distinct()
+    out = asof_aggregate(spine, R.clicks(spark, d), "Customer_ID", R.CLICKS, stats=("mean", "std", "min", "max"))
+    return out.where(F.col("clickstream_count").isNotNull()).withColumns(
+        {f"{c}_{s}": F.round(f"{c}_{s}", 6) for c in R.CLICKS for s in ("mean", "std")}
+    )
+
+
 _HISTORY = """
     WITH {clicks},
     spine AS (SELECT Customer_ID, snapshot_date FROM clicks)

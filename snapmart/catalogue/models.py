@@ -8,15 +8,21 @@ from snapmart.catalogue import roles as R
 from snapmart.catalogue.registry import query, table
 from snapmart.operators import modeling as M
 from snapmart.operators import ranking as W
+from snapmart.operators.asof import asof_aggregate
+from snapmart.operators.joins import features_with_labels
 from snapmart.operators.metrics import evaluate
 from snapmart.plans import training as P
+from snapmart.schemas import LABEL_DELAY_MONTHS
 from snapmart.sources import artefacts
 from snapmart.sources.scratch import materialise
 from snapmart.sources.scratch import new_path as work_path
 from snapmart.sources.tables import read_table, write_predictions
 
 TRAIN_DATE = "1999-06-01"
-FEATURES = ["price", "balance", "n_events", "segment", "lines", "quantity", "mean_discount"]
+#: Click history starts here: the k-th day of the events' month is the k-th month from it.
+CLICKS_FROM = "1997-07-01"
+CLICKS = ["n_events", *[f"{c}_mean" for c in R.CLICKS]]
+FEATURES = ["price", "balance", "segment", "lines", "quantity", "mean_discount", *CLICKS]
 
 _APPS = """
     ev AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
@@ -36,41 +42,72 @@ _SPLITS = """
 """
 
 
-def applications(spark, d):
-    """One application per order with customer, line and event features and a label."""
+def clicks(spark, d):
+    """The events as clicks, spread over the months of training and production."""
+    month = F.add_months(F.lit(CLICKS_FROM).cast("date"), F.dayofmonth("ts") - 1)
+    return table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("Customer_ID"),
+        month.alias("snapshot_date"),
+        *[F.when(F.col("event_type") == t, F.col("value")).alias(c) for c, t in zip(R.CLICKS, R.EVENT_TYPES)],
+    )
+
+
+def features(spark, d):
+    """One application per order: customer and line features, and the clicks up to its day."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).cast("double").alias("lines"),
         F.sum("l_quantity").alias("quantity"),
         F.avg("l_discount").alias("mean_discount"),
-        F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"),
-    )
-    events = table(spark, d, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("double").alias("n_events")
     )
     customers = table(spark, d, "customer").select(
         "c_custkey", F.col("c_acctbal").alias("balance"), F.length("c_mktsegment").cast("double").alias("segment")
     )
+    orders = table(spark, d, "orders").withColumns(
+        {"Customer_ID": F.col("o_custkey").cast("string"), "day": F.col("o_orderdate").cast("date")}
+    )
+    days = orders.select("Customer_ID", "day").distinct()
+    history = asof_aggregate(days, clicks(spark, d), "Customer_ID", R.CLICKS, spine_date="day")
     return (
-        table(spark, d, "orders")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(events, F.col("o_custkey") == F.col("user_id"), "left")
+        .join(history, ["Customer_ID", "day"], "left")
         .select(
             F.col("o_orderkey").cast("string").alias("loan_id"),
-            F.col("o_custkey").cast("string").alias("Customer_ID"),
-            F.trunc(F.col("o_orderdate").cast("date"), "month").alias("snapshot_date"),
+            "Customer_ID",
+            F.trunc("day", "month").alias("snapshot_date"),
             F.col("o_totalprice").alias("price"),
-            "balance", "n_events", "segment", "lines", "quantity", "mean_discount", "label",
+            "balance", "segment", "lines", "quantity", "mean_discount",
+            F.col("clickstream_count").cast("double").alias("n_events"),
+            *CLICKS[1:],
         )
     )
 
 
+def labels(spark, d):
+    """Label of each application, dated when it is observed."""
+    found = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.max((F.col("l_returnflag") == "R").cast("int")).alias("label")
+    )
+    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    return table(spark, d, "orders").join(found, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderkey").cast("string").alias("loan_id"),
+        "label",
+        F.add_months(month, LABEL_DELAY_MONTHS).alias("snapshot_date"),
+    )
+
+
+def applications(spark, d):
+    """Features with the label, whenever it is observed; for what is evaluated afterwards."""
+    return features_with_labels(features(spark, d), labels(spark, d))
+
+
+def training_data(spark, d):
+    """Applications whose label is known at the train date, tagged train, test or oot."""
+    return P.training_frame(features(spark, d), labels(spark, d), TRAIN_DATE)
+
+
 def _training(spark, d, columns=FEATURES):
-    apps = applications(spark, d)
-    tagged = M.tag_windows(apps, TRAIN_DATE)
-    mixed = tagged.where(F.col("split") == "train_test").drop("split")
-    data = M.stratified_split(mixed).unionByName(tagged.where(F.col("split") == "oot"))
-    return P.train_on(data, columns, "credit_model_1999_06_01")
+    return P.train_on(training_data(spark, d), columns, "credit_model_1999_06_01")
 
 
 @query(
@@ -133,7 +170,7 @@ def split(spark, d):
 
     Which rows are taken is a Spark hash, so the side itself has no SQL form.
     """
-    rows = M.stratified_split(applications(spark, d).select("loan_id", "label"))
+    rows = M.stratified_split(labels(spark, d).select("loan_id", "label"))
     sizes = rows.groupBy("label").agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
@@ -154,7 +191,7 @@ def split(spark, d):
     """,
 )
 def split_sizes(spark, d):
-    found = M.stratified_split(applications(spark, d).select("loan_id", "label"))
+    found = M.stratified_split(labels(spark, d).select("loan_id", "label"))
     return found.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,7 +251,7 @@ def lr_scores(spark, d):
 @query("q_gbt_search")
 def gbt_search(spark, d):
     """Random search over boosted trees: parameters and mean area of each draw."""
-    data = applications(spark, d)
+    data = training_data(spark, d).where(F.col("split") == "train")
     prepared = M.fit_preprocessing(data, FEATURES)
     vectors = P.PipelineModel(stages=prepared.stages()).transform(data)
     vectors = materialise(vectors.select("loan_id", "label", "features"), "search")
@@ -275,23 +312,22 @@ def calibration_of_champion(spark, d):
 def importance(spark, d):
     """Top five features of the champion, with the share of their group."""
     trained = _training(spark, d)
-    groups = {"customer": ["balance", "segment", "n_events"], "order": ["price", "lines", "quantity", "mean_*"]}
+    groups = {"customer": ["balance", "segment"], "clicks": CLICKS, "order": ["price", "lines", "quantity", "mean_*"]}
     shares = M.importance_by_group(trained.importance, groups).select(
         F.col("group"), F.col("share").alias("group_share")
     )
     top = W.top_k(trained.importance, [F.col("importance").desc(), F.col("feature")], 5)
-    group = F.when(F.col("feature").isin("balance", "segment", "n_events"), "customer").otherwise("order")
+    group = F.when(F.col("feature").isin("balance", "segment"), "customer")
+    group = group.when(F.col("feature").isin(CLICKS), "clicks").otherwise("order")
     return top.withColumn("group", group).join(shares, "group", "left")
 
 
-_SETS = {"all": FEATURES, "no events": [c for c in FEATURES if c != "n_events"]}
+_SETS = {"all": FEATURES, "no events": [c for c in FEATURES if c not in CLICKS]}
 
 
 def _sets(spark, d):
     apps = M.tag_windows(applications(spark, d), TRAIN_DATE)
-    mixed = apps.where(F.col("split") == "train_test").drop("split")
-    data = M.stratified_split(mixed).unionByName(apps.where(F.col("split") == "oot"))
-    return P.compare_feature_sets(data, _SETS), apps
+    return P.compare_feature_sets(training_data(spark, d), _SETS), apps
 
 
 @query("q_feature_sets")
@@ -334,7 +370,7 @@ def batch_score_stated(spark, d):
 def batch_score(spark, d):
     """Scoring backfill: all production months in one job, written by month."""
     trained = _training(spark, d)
-    apps = M.tag_windows(applications(spark, d), TRAIN_DATE)
+    apps = M.tag_windows(features(spark, d), TRAIN_DATE)
     path = work_path(spark, "predictions")
     write_predictions(M.score(apps.where(F.col("split") == "production"), trained.model), path)
     return read_table(spark, path)

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
+from snapmart.catalogue import models
 from snapmart.catalogue.registry import QUERIES
 from snapmart.operators import modeling as M
 from snapmart.operators.metrics import evaluate
@@ -175,3 +176,31 @@ def test_training_queries_search_the_full_grid(spark, small, monkeypatch, name):
     with pytest.raises(Searched) as found:
         QUERIES[name](spark, small)
     assert found.value.args == (50, 3, {frozenset(GBT_SEARCH_SPACE)})
+
+
+def test_applications_know_only_earlier_events(spark, small):
+    rows = models.applications(spark, small).select("loan_id", "n_events").collect()
+    orders = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate").collect()
+    clicks = [(r["Customer_ID"], r["snapshot_date"]) for r in models.clicks(spark, small).collect()]
+    want = {
+        str(o["o_orderkey"]): sum(c == str(o["o_custkey"]) and day <= o["o_orderdate"].date() for c, day in clicks) or None
+        for o in orders
+    }
+    assert {r["loan_id"]: r["n_events"] for r in rows} == {k: want[k] for k in (r["loan_id"] for r in rows)}
+    assert len(set(want.values())) > 5
+
+
+@pytest.mark.parametrize("name", ["q_gbt_search", "q_candidates", "q_resilience"])
+def test_training_queries_take_labels_known_at_the_train_date(spark, small, monkeypatch, name):
+    class Reached(Exception):
+        pass
+
+    def frame(features, labels, train_date):
+        assert "label" not in features.columns
+        dates = labels.join(features.select("loan_id", F.col("snapshot_date").alias("day")), "loan_id")
+        assert dates.where(F.months_between("snapshot_date", "day") != 6).count() == 0 < dates.count()
+        raise Reached(train_date)
+
+    monkeypatch.setattr(P, "training_frame", frame)
+    with pytest.raises(Reached, match=models.TRAIN_DATE):
+        QUERIES[name](spark, small)
