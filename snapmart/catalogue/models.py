@@ -22,7 +22,11 @@ TRAIN_DATE = "1999-06-01"
 #: Click history starts here: the k-th day of the events' month is the k-th month from it.
 CLICKS_FROM = "1997-07-01"
 CLICKS = ["n_events", *[f"{c}_mean" for c in R.CLICKS]]
-FEATURES = ["price", "balance", "segment", "lines", "quantity", "mean_discount", *CLICKS]
+#: Ratios taken over from another feature table; what they are made of stays.
+BORROWED = ["balance_to_price", "price_per_unit", "log_price"]
+FEATURES = ["price", "balance", "segment", "lines", "quantity", "mean_discount", *BORROWED, *CLICKS]
+#: Months of production in which no clicks arrive.
+OUTAGE = ("1999-07-01", "1999-12-01")
 
 _APPS = """
     ev AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
@@ -80,6 +84,11 @@ def features(spark, d):
             F.col("clickstream_count").cast("double").alias("n_events"),
             *CLICKS[1:],
         )
+        .withColumns({
+            "balance_to_price": F.try_divide("balance", "price"),
+            "price_per_unit": F.try_divide("price", "quantity"),
+            "log_price": F.log1p("price"),
+        })
     )
 
 
@@ -312,7 +321,7 @@ def calibration_of_champion(spark, d):
 def importance(spark, d):
     """Top five features of the champion, with the share of their group."""
     trained = _training(spark, d)
-    groups = {"customer": ["balance", "segment"], "clicks": CLICKS, "order": ["price", "lines", "quantity", "mean_*"]}
+    groups = {"customer": ["balance", "segment"], "clicks": CLICKS, "order": ["price", "lines", "quantity", "mean_*", *BORROWED]}
     shares = M.importance_by_group(trained.importance, groups).select(
         F.col("group"), F.col("share").alias("group_share")
     )
@@ -322,18 +331,28 @@ def importance(spark, d):
     return top.withColumn("group", group).join(shares, "group", "left")
 
 
-_SETS = {"all": FEATURES, "no events": [c for c in FEATURES if c not in CLICKS]}
+_SETS = {
+    "clicks + borrowed": FEATURES,
+    "clicks, no borrowed": [c for c in FEATURES if c not in BORROWED],
+    "no clicks + borrowed": [c for c in FEATURES if c not in CLICKS],
+    "no clicks, no borrowed": [c for c in FEATURES if c not in BORROWED + CLICKS],
+}
 
 
 def _sets(spark, d):
-    apps = M.tag_windows(applications(spark, d), TRAIN_DATE)
-    return P.compare_feature_sets(training_data(spark, d), _SETS), apps
+    return P.compare_feature_sets(training_data(spark, d), _SETS)
+
+
+def outage(spark, d):
+    """Applications of the outage with their labels; their click features are missing."""
+    rows = applications(spark, d).where(F.col("snapshot_date").between(*OUTAGE))
+    return rows.withColumns({c: F.lit(None).cast("double") for c in CLICKS})
 
 
 @query("q_feature_sets")
 def feature_sets(spark, d):
-    """Same training for two column sets: area on every split, best per set."""
-    trained, _ = _sets(spark, d)
+    """Same training for four column sets: the best candidate of each and its oot area."""
+    trained = _sets(spark, d)
     out = None
     for name, t in trained.items():
         best = W.best_per_group(
@@ -347,8 +366,8 @@ def feature_sets(spark, d):
 
 @query("q_resilience")
 def resilience(spark, d):
-    trained, apps = _sets(spark, d)
-    return P.resilience(trained, apps.where(F.col("split") == "production"))
+    """With and without clicks, with and without borrowed features, over an outage of the clicks."""
+    return P.resilience(_sets(spark, d), outage(spark, d))
 
 
 @query(

@@ -204,3 +204,17 @@ def test_training_queries_take_labels_known_at_the_train_date(spark, small, monk
     monkeypatch.setattr(P, "training_frame", frame)
     with pytest.raises(Reached, match=models.TRAIN_DATE):
         QUERIES[name](spark, small)
+
+
+def test_resilience_compares_four_sets_over_an_outage(spark, small, monkeypatch):
+    sets, draw = models._SETS, M.random_search
+    clicks, borrowed = set(models.CLICKS), set(models.BORROWED)
+    assert {(clicks <= set(c), borrowed <= set(c)) for c in sets.values()} == {(a, b) for a in (True, False) for b in (True, False)}
+    assert all(not clicks & set(c) or clicks <= set(c) for c in sets.values())
+    period = models.outage(spark, small)
+    row = period.agg(F.min("snapshot_date"), F.max("snapshot_date"), *[F.count(c) for c in models.CLICKS]).first()
+    assert tuple(row) == (dt.date(1999, 7, 1), dt.date(1999, 12, 1), *[0] * len(clicks))
+    monkeypatch.setattr(M, "random_search", lambda v, **_: draw(v, draws=1, folds=2, space=SPACE))
+    got = {r["feature_set"]: r for r in QUERIES["q_resilience"](spark, small).collect()}
+    assert {k: r["n_features"] for k, r in got.items()} == {k: len(c) for k, c in sets.items()}
+    assert all(0 < r["auc_period"] < 1 and r["pd_gap_period"] is not None for r in got.values())
