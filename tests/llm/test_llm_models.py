@@ -202,3 +202,18 @@ def test_toxicity_scores_hold_where_a_cap_binds(spark, per_class):
     got = {r["doc_id"]: r for r in toxicity(cases, model).collect()}
     assert [got[i]["predicted"] for i in (1, 2, 3)] == [0, 1, 0]
     assert 0.25 < got[1]["score"] < 0.55 and got[3]["score"] < 0.1
+
+
+def test_pipeline_decides_on_rows(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = c + " end"
+    rows = [(1, a), (1, a), (9, a), (2, b), (2, a), (None, a), (None, b), (None, c), (None, c), (None, near), (3, "x"), (3, "x"), (3, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda df: sorted(((r[0] or 0, r[1]) for r in df.collect()))
+    exact = corpus_pipeline.stored(corpus_pipeline.drop_copies(spark, docs, SMALL), "t")
+    assert order(exact) == sorted([(9, a), (2, b), (3, c), (3, "x"), (0, near)])
+    left = corpus_pipeline.drop_near_copies(spark, exact, SMALL)
+    got = order(left)
+    assert left.columns == docs.columns and len(got) == 4
+    assert {(9, a), (2, b), (3, "x")} < set(got)
+    assert sum(t in (c, near) for _, t in got) == 1
