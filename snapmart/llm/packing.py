@@ -100,25 +100,37 @@ class _Stock:
         """How often the parts can be taken together."""
         return min(int(self.left[p]) // parts.count(p) for p in set(parts))
 
-    def pair(self, gap: int, first: int) -> tuple[int, ...] | None:
-        a = self.pair_at.get(gap)
-        if a is None:
+    def pair(self, gap: int, taken: tuple[int, ...], most: int) -> tuple[int, ...] | None:
+        """Two lengths that fill the gap beside ``taken``, the first at most ``most`` and the longer."""
+        top, low = self.pair_at.get(gap), (gap - 1) // 2
+        if top is None:
             return None
-        for a in range(min(a, gap - 1), (gap - 1) // 2, -1):
-            if self.left[a] and self.left[gap - a] and self.times((first, a, gap - a)):
+        # Stock only falls, so an entry that is used up is lowered for good.
+        while top > low and not (self.left[top] and self.left[gap - top]):
+            top -= 1
+        if top <= low:
+            self.pair_at.pop(gap)
+            return None
+        self.pair_at[gap] = top
+        high = min(top, most)
+        if high <= low:
+            return None
+        both = (self.left[low + 1 : high + 1] > 0) & (self.left[gap - high : gap - low][::-1] > 0)
+        for at in np.flatnonzero(both)[::-1].tolist():
+            a = low + 1 + at
+            if self.times((*taken, a, gap - a)):
                 return a, gap - a
-        self.pair_at.pop(gap)
         return None
 
     def triple(self, gap: int, first: int) -> tuple[int, ...] | None:
         for a in self.have:
+            if 3 * a < gap:
+                break
             if a > gap - 2 or not self.left[a]:
                 continue
-            b = self.pair_at.get(gap - a)
-            if b is not None and b <= a:
-                parts = (a, b, gap - a - b)
-                if self.times((first, *parts)):
-                    return parts
+            rest = self.pair(gap - a, (first, a), a)
+            if rest is not None:
+                return a, *rest
         return None
 
 
@@ -136,7 +148,7 @@ def plan(lengths: dict[int, int], size: int) -> list[Template]:
         gap = size - first
         while counts[first]:
             parts: tuple[int, ...] | None = (gap,) if stock.times((first, gap)) else None
-            parts = parts or stock.pair(gap, first) or stock.triple(gap, first)
+            parts = parts or stock.pair(gap, (first,), gap - 1) or stock.triple(gap, first)
             if parts is None:
                 break
             often = stock.times((first, *parts))

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from snapmart.llm.bpe import Merges
 from snapmart.llm.bpe_codec import Codec, bpe_round_trip
-from snapmart.llm.packing import pack, plan, slots
+from snapmart.llm.packing import _Stock, pack, plan, slots
 from snapmart.llm.prefix_counts import (
     PrefixCounter, fit_chars, prefix_table, token_counts, tokens_of_prefix,
 )
@@ -148,3 +148,11 @@ def test_empty_table(spark):
     assert bpe_round_trip(none, WORD).count() == 0
     assert token_counts(none, BYTE, 5).count() == 0
     assert pack(none, WORD).count() == 0
+
+
+def test_triples_are_found_as_stock_runs_down():
+    counts = np.zeros(21, np.int64)
+    counts[[14, 11, 5, 3, 1]] = 1, 1, 1, 3, 1
+    stock = _Stock(counts)
+    counts[[14, 5, 1]] = 0
+    assert stock.triple(9, 11) == (3, 3, 3)
