@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from snapmart.llm import merkle, oracle, sharding
 from snapmart.llm.bpe_codec import bpe_round_trip
+from snapmart.llm.common import ascii_lower
 from snapmart.llm.embedding_dedup import embedding_dedup
 from snapmart.llm.exact_dedup import exact_dedup
 from snapmart.llm.near_dedup import near_dedup
@@ -112,3 +115,16 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup(table(spark, d, "documents"), length=100)
+
+
+@query("op11_hash_tree_shards", oracle.shards(sharding.layout(40), sharding.layout(41)))
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.assign(table(spark, d, "documents"), sharding.layout(40), sharding.layout(41))
+
+
+@query("op13_merkle_manifest", oracle.merkle())
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Every third row (by the checksum of its doc_id) claims a text in lower case."""
+    fields = [F.when(F.col(f).isNotNull(), ascii_lower(F.col(f))) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    every_third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.audit(table(spark, d, "documents"), F.when(every_third, merkle.leaf_digest(fields)))
