@@ -39,12 +39,18 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {
     b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))
 }
+_BYTE_OF = {c: b for b, c in _BYTE_CHARS.items()}
 #: Distinct words remembered per worker process, and the longest that is kept.
 KNOWN, LONG = 500_000, 200
 #: Characters of new words solved together.
 BATCH_CHARS = 50_000
 
 
+def byte_of(char: str) -> int | None:
+    """The byte that a character of the vocabulary stands for."""
+    return _BYTE_OF.get(char)
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         self.merges = Merges(path)

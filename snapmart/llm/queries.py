@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmart.llm import merkle, oracle, sharding
+from snapmart.llm.alignment import align_documents
 from snapmart.llm.bpe_codec import bpe_round_trip
 from snapmart.llm.common import ascii_lower
 from snapmart.llm.embedding_dedup import embedding_dedup
@@ -122,6 +123,13 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
     return sharding.assign(table(spark, d, "documents"), sharding.layout(40), sharding.layout(41))
 
 
+@query("op12_token_alignment")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return align_documents(
+        table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
 @query("op13_merkle_manifest", oracle.merkle())
 def op13(spark: SparkSession, d: str) -> DataFrame:
     """Every third row (by the checksum of its doc_id) claims a text in lower case."""
