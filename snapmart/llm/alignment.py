@@ -15,10 +15,13 @@
    hot key, and neither the table of pairs nor any other is sent to all tasks but the
    largest count per B id, at most one row per entry of the vocabulary.
 
-Tokens come from the libraries. A text is cut at single spaces between other characters
-and every distinct chunk is encoded once per worker: tokenizer A's words never reach
-over such a space, and B's pieces hold a space only as their first character or among
-spaces alone. Memory of chunks is bounded and starts anew when full.
+Tokens come from the libraries. A text is cut at single spaces between other characters:
+tokenizer A's words never reach over such a space, and B's pieces hold a space only as
+their first character or among spaces alone, so both sides end there together and no
+group reaches over. New chunks of many texts are laid end to end, encoded and walked
+once as one pair of arrays; a text is its chunks' groups in order. That a chunk is given
+back byte by byte is checked, with halving to find those that are not. Memory of chunks
+is bounded and starts anew when full.
 
 Defined cases: texts that are NULL, empty or not given back by the joined tokens have no
 tokens, zeros, and '' for the groups; repeated rows are documents of their own and count
@@ -32,8 +35,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +55,7 @@ BUCKET_CHARS = 8_000_000
 #: Known chunks per worker process, and the longest chunk that is kept.
 KNOWN, LONG = 300_000, 200
 
-#: A place where a space is not between two other characters.
+#: White space that is not alone between two other characters.
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -91,15 +94,17 @@ def runs(a: list[int], b: list[int]) -> list[Run]:
     return out
 
 
-@dataclass
-class Aligned:
-    """One text's tokens, its links' last tokens (places) and its groups as text."""
+class Aligned(NamedTuple):
+    """A chunk or a text: tokens of both sides, groups, groups as text, keys of the linked pairs."""
 
-    a: np.ndarray
-    b: np.ndarray
-    ends_a: list[int] = field(default_factory=list)
-    ends_b: list[int] = field(default_factory=list)
-    groups: str = ""
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    pairs: bytes
+
+
+NOTHING = Aligned(0, 0, 0, "", b"")
 
 
 class Aligner:
@@ -116,7 +121,7 @@ class Aligner:
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.names = [str(i) for i in range(max(size_a, self.size_b))]
-        self.known: tuple[dict[str, bytes], dict[str, bytes], set[str]] = ({}, {}, set())
+        self.known: dict[str, Aligned | None] = {}
 
     @staticmethod
     def _entry(token: str | None) -> bytes:
@@ -129,58 +134,76 @@ class Aligner:
         return bytes([int(code[1], 16)]) if code else piece.replace("▁", " ").encode()
 
     def learn(self, chunks: list[str]) -> None:
-        """Both tokenizers' ids of new chunks; those whose bytes are not given back are set apart."""
-        in_a, in_b, lost = self.known
-        found_a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        for chunk, a, b in zip(chunks, found_a, self.b.encode(chunks, num_threads=1)):
-            a, body = a.ids, f" {chunk}".encode()
-            if any(b"".join(map(table.__getitem__, ids)) != body for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-                lost.add(chunk)
-            in_a[chunk], in_b[chunk] = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        """New chunks, laid end to end with a space before each; None where bytes are not given back."""
+        text = " ".join(chunks)
+        body = f" {text}".encode()
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text, num_threads=1)
+        if all(b"".join(map(table.__getitem__, ids)) == body for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+            self._learn(chunks, a, b)
+        elif len(chunks) == 1:
+            self.known[chunks[0]] = None
+        else:
+            half = len(chunks) // 2
+            self.learn(chunks[:half])
+            self.learn(chunks[half:])
+
+    def _learn(self, chunks: list[str], a: list[int], b: list[int]) -> None:
+        names = self.names
+        text_a, text_b = [names[t] for t in a], [names[t] for t in b]
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        last_a: list[int] = []
+        last_b: list[int] = []
+        groups: list[str] = []
+        for i, j, size, after_a, after_b in runs(ends_a.tolist(), ends_b.tolist()):
+            if size:
+                last_a += range(i, i + size)
+                last_b += range(j, j + size)
+                groups += map("|".join, zip(text_a[i : i + size], text_b[j : j + size]))
+            i, j = i + size, j + size
+            if i < after_a:
+                last_a.append(after_a - 1)
+                last_b.append(after_b - 1)
+                groups.append(",".join(text_a[i:after_a]) + "|" + ",".join(text_b[j:after_b]))
+        # Both sides end at every chunk's end, so the chunks' groups are runs of groups.
+        borders = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        pairs = ids_a[last_a] * self.size_b + ids_b[last_b]
+        cuts = [
+            [0, *np.searchsorted(ends, borders, "right").tolist()] for ends in (ends_a, ends_b, ends_a[last_a])
+        ]
+        for k, chunk in enumerate(chunks):
+            (a0, a1), (b0, b1), (g0, g1) = ((c[k], c[k + 1]) for c in cuts)
+            self.known[chunk] = Aligned(
+                a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), pairs[g0:g1].tobytes()
+            )
 
     def align(self, texts: list[str]) -> list[Aligned]:
         cut = [chunks_of(t) if t else [] for t in texts]
         distinct = set(chain.from_iterable(cut))
-        if len(self.known[0]) + len(distinct) > KNOWN:
-            self.known = ({}, {}, set())
-        in_a, in_b, lost = self.known
-        fresh = [c for c in distinct if c not in in_a]
-        if fresh:
-            self.learn(fresh)
+        if len(self.known) + len(distinct) > KNOWN:
+            self.known = {}
+        known = self.known
+        fresh = [c for c in distinct if c not in known]
+        # Chunks with white space at their ends would meet their neighbours.
+        alone = {c for c in fresh if not c or c[0].isspace() or c[-1].isspace()}
+        for c in alone:
+            self.learn([c])
+        if len(fresh) > len(alone):
+            self.learn([c for c in fresh if c not in alone])
         out = []
         for chunks in cut:
-            fine = chunks and (not lost or lost.isdisjoint(chunks))
-            a, b = (
-                np.frombuffer(b"".join(map(table.__getitem__, chunks if fine else ())), "<u4").astype(np.int64)
-                for table in (in_a, in_b)
-            )
-            out.append(self._grouped(Aligned(a, b)))
+            found = [known[c] for c in chunks]
+            if not found or None in found:
+                out.append(NOTHING)
+                continue
+            n_a, n_b, n_groups, groups, pairs = zip(*found)
+            out.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(pairs)))
         for c in fresh:
             if len(c) > LONG:
-                del in_a[c], in_b[c]
-                lost.discard(c)
+                del known[c]
         return out
 
-    def _grouped(self, text: Aligned) -> Aligned:
-        if not len(text.a):
-            return text
-        names, ends_a, ends_b, groups = self.names, text.ends_a, text.ends_b, []
-        a, b = ([names[t] for t in ids.tolist()] for ids in (text.a, text.b))
-        for i, j, size, after_a, after_b in runs(
-            np.cumsum(self.length_a[text.a]).tolist(), np.cumsum(self.length_b[text.b]).tolist()
-        ):
-            if size:
-                ends_a += range(i, i + size)
-                ends_b += range(j, j + size)
-                groups += map("|".join, zip(a[i : i + size], b[j : j + size]))
-            i, j = i + size, j + size
-            if i < after_a:
-                ends_a.append(after_a - 1)
-                ends_b.append(after_b - 1)
-                groups.append(",".join(a[i:after_a]) + "|" + ",".join(b[j:after_b]))
-        text.groups = ";".join(groups)
-        return text
-
 
 # ------------------------------------------------------------------ places in a dictionary
 
@@ -235,11 +258,11 @@ def aligned_buckets(
                     bucket, rows, keys, chars = bucket + 1, [], [], 0
                 chars += size
                 for i, found in zip(some_ids, aligner.align(some_texts)):
-                    n = len(found.ends_a)
-                    keys.append(found.a[found.ends_a] * aligner.size_b + found.b[found.ends_b] if n else np.zeros(0, np.int64))
+                    keys.append(np.frombuffer(found.pairs, np.int64))
                     rows.append({
-                        "doc_id": i, "n_a": len(found.a), "n_b": len(found.b), "n_groups": n, "n_links": n,
-                        "groups_sha256": hashlib.sha256(found.groups.encode()).hexdigest() if n else "",
+                        "doc_id": i, "n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_groups,
+                        "n_links": len(keys[-1]),
+                        "groups_sha256": hashlib.sha256(found.groups.encode()).hexdigest() if found.groups else "",
                         "groups": found.groups if keep_groups else None,
                     })
         if rows:
