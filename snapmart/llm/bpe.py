@@ -17,6 +17,9 @@ import json
 import numpy as np
 
 NEVER = np.int64(1) << 40
+#: Symbols up to which a heap does not pay; what a pair that never merges has.
+SHORT = 24
+_NO_MERGE = (1 << 60, -1)
 
 
 class Merges:
@@ -77,6 +80,8 @@ class Merges:
     def merged(self, ids: list[int], log: dict | None = None) -> list[int]:
         """Exact merging: lowest rank first, leftmost first; a heap over a linked list."""
         n = len(ids)
+        if n <= SHORT and log is None:
+            return self._merged_short(list(ids))
         ids = list(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -105,6 +110,23 @@ class Merges:
                         heapq.heappush(heap, (hit[0], p, ids[p], ids[q]))
         return [t for t, dead in zip(ids, gone) if not dead]
 
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """The same for few symbols: the lowest of all ranks, again and again."""
+        get, none = self.rank.get, _NO_MERGE
+        hits = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while hits:
+            best = min(hits)  # ranks differ, so of equal ones all are the same merge
+            if best is none:
+                break
+            i = hits.index(best)
+            ids[i : i + 2] = [best[1]]
+            del hits[i]
+            if i:
+                hits[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(hits):
+                hits[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
     def _histories(self) -> None:
         """For every token: is it what merging gives for its symbols, and from which two parts."""
         self.sound = np.zeros(self.size, bool)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 from snapmart.llm.bpe import Merges
 from snapmart.llm.chunks import ChunkEncoder
+from snapmart.llm.key_table import SubstringTable
+from snapmart.llm.prefix_counts import BYTES, byte_of
 from snapmart.llm.text_map import built, map_texts
 
 
@@ -35,23 +37,45 @@ class Codec:
         self.normalise = library.normalizer.normalize_str
         self.words = library.pre_tokenizer.pre_tokenize_str
         self.merges = Merges(path)
+        suffix = self.merges.suffix
+        inner, ended = {}, {}
+        for entry, i in self.merges.vocab.items():
+            is_end = bool(suffix) and entry.endswith(suffix)
+            codes = [byte_of(c) for c in (entry[: -len(suffix)] if is_end else entry)]
+            if codes and None not in codes:
+                (ended if is_end or not suffix else inner)[bytes(codes)] = i
+                if not suffix:
+                    inner[bytes(codes)] = i
+        self.inner, self.ended = SubstringTable(inner), SubstringTable(ended)
+        # Whether small letters are one word as they are, so that the library need not be asked.
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.letters_stay = self.normalise(letters) == letters and [w for w, _ in self.words(letters)] == [letters]
         self.special = re.compile("|".join(map(re.escape, self.merges.specials)))
-        self.encoder = ChunkEncoder(self.encode_chunks)
+        self.encoder = ChunkEncoder(self.encode_chunks, self.words_of)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         return self.encoder(texts)
 
-    def decode(self, ids: bytes) -> str:
-        """The library's decoding where the file names no decoder: tokens joined by spaces."""
-        return " ".join(map(self.merges.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids and their decoding, which is the tokens joined by spaces where the file names no decoder."""
+        return self.encoder.both(texts)
+
+    def words_of(self, ids: bytes) -> str:
+        """A chunk's tokens, each with a space behind it."""
+        return "".join([f"{self.merges.text_of[i]} " for i in memoryview(ids).cast("I")])
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        plain = [i for i, c in enumerate(chunks) if not self.special.search(c)]
         out = [b""] * len(chunks)
+        letters, others = [], []
+        for i, c in enumerate(chunks):
+            (letters if self.letters_stay and c.isascii() and c.isalpha() and c.islower() else others).append(i)
+        for i, ids in zip(letters, self.encode_words([chunks[i] for i in letters])):
+            out[i] = array("I", ids).tobytes()
+        plain = [i for i in others if not self.special.search(chunks[i])]
         for i, ids in zip(plain, self._plain([chunks[i] for i in plain])):
             out[i] = array("I", ids).tobytes()
-        for i in set(range(len(chunks))) - set(plain):
+        for i in set(others) - set(plain):
             ids, at = [], 0
             for m in self.special.finditer(chunks[i]):
                 ids += self._plain([chunks[i][at : m.start()]])[0]
@@ -79,30 +103,47 @@ class Codec:
             out[k] += found
         return out
 
-    def speculate(self, word: str) -> list[int]:
-        """Greedy longest match; empty where a symbol is unknown."""
-        vocab, suffix, longest = self.merges.vocab, self.merges.suffix, self.merges.longest
-        at, n, out = 0, len(word), []
-        while at < n:
-            end = min(n, at + longest)
-            while end > at:
-                token = vocab.get(word[at:end] + suffix if end == n else word[at:end])
-                if token is not None:
-                    break
-                end -= 1
-            else:
-                return []
-            out.append(token)
-            at = end
-        return out
+    def speculate(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words at once: word numbers and tokens, in order.
+
+        Words with a symbol that no entry has are left out from there on; their tokens do
+        not cover them, which ``encode_words`` sees.
+        """
+        bodies = [w.translate(BYTES).encode("latin-1") for w in words]
+        sizes = np.array([len(b) for b in bodies], np.int64)
+        first = np.cumsum(sizes) - sizes
+        longest = np.zeros(int(sizes.sum()) + 1, np.int64)
+        entry = np.full(len(longest), -1, np.int64)
+        for table, ends in ((self.inner, False), (self.ended, True)):
+            word, start, end, token = table.find(bodies)
+            fits = (end == sizes[word]) == ends
+            place, size, token = (first[word] + start)[fits], (end - start)[fits], token[fits]
+            # Sizes rise, so the last one written at a place is the longest.
+            order = np.argsort(size, kind="stable")
+            place, size, token = place[order], size[order], token[order]
+            longer = size > longest[place]
+            longest[place[longer]], entry[place[longer]] = size[longer], token[longer]
+        at, active, owners, tokens = first.copy(), np.flatnonzero(sizes > 0), [], []
+        while len(active):
+            here = at[active]
+            known = entry[here] >= 0
+            active, here = active[known], here[known]
+            owners.append(active)
+            tokens.append(entry[here])
+            at[active] = here + longest[here]
+            active = active[at[active] < first[active] + sizes[active]]
+        none = np.zeros(0, np.int64)
+        owner, token = np.concatenate([*owners, none]), np.concatenate([*tokens, none])
+        order = np.argsort(owner, kind="stable")
+        self._covered = at == first + sizes
+        return owner[order], token[order]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         merges = self.merges
-        proposed = [self.speculate(w) for w in words]
-        counts = np.array([len(p) for p in proposed], np.int64)
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(words)), counts)
-        fine = counts > 0
+        # Symbols are bytes written as characters; words with others are merged as they are.
+        plain = [i for i, w in enumerate(words) if w and (w.isascii() or None not in map(byte_of, w))]
+        owner, flat = self.speculate([words[i] for i in plain])
+        fine = self._covered
         if len(flat):
             fine[owner[~merges.sound[flat]]] = False
             inside = owner[1:] == owner[:-1]
@@ -111,15 +152,22 @@ class Codec:
             )
             apart = merges.compatible(pairs // merges.size, pairs % merges.size)[back]
             fine[owner[1:][inside][~apart]] = False
-        for i in np.flatnonzero(~fine).tolist():
-            # Symbols outside the vocabulary have no token, as in the library.
-            known = merges.symbols(words[i])
-            if known is None:
-                last = len(words[i]) - 1
-                symbols = (c + merges.suffix * (k == last) for k, c in enumerate(words[i]))
-                known = [merges.vocab[s] for s in symbols if s in merges.vocab]
-            proposed[i] = merges.merged(known)
-        return proposed
+        cuts = np.searchsorted(owner, np.arange(len(plain) + 1)).tolist()
+        tokens, proposed = flat.tolist(), [None] * len(words)
+        for k, i in enumerate(plain):
+            if fine[k]:
+                proposed[i] = tokens[cuts[k] : cuts[k + 1]]
+        return [self._merged(w) if p is None else p for w, p in zip(words, proposed)]
+
+    def _merged(self, word: str) -> list[int]:
+        """Exact merging; symbols outside the vocabulary have no token, as in the library."""
+        merges = self.merges
+        known = merges.symbols(word)
+        if known is None:
+            last = len(word) - 1
+            symbols = (c + merges.suffix * (k == last) for k, c in enumerate(word))
+            known = [merges.vocab[s] for s in symbols if s in merges.vocab]
+        return merges.merged(known)
 
 
 def bpe_round_trip(
@@ -130,19 +178,15 @@ def bpe_round_trip(
 
     def function(ids: list, texts: list) -> dict[str, list]:
         codec = built(("codec", tokenizer), lambda: Codec(tokenizer))
-        encoded = codec.encode(texts)
+        encoded, decoded = codec.round_trip(texts)
         out: dict[str, list] = {
             "doc_id": ids, "n_tokens": [len(e) // 4 for e in encoded],
             "ids_sha256": [hashlib.sha256(e).hexdigest() for e in encoded],
+            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
         }
         if keep_ids:
-            out["decoded"] = [codec.decode(e) for e in encoded]
+            out["decoded"] = decoded
             out["ids"] = [np.frombuffer(e, "<u4").astype(np.int32) for e in encoded]
-            out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in out["decoded"]]
-        else:
-            out["decoded_sha256"] = [
-                hashlib.sha256(codec.decode(e).encode()).hexdigest() for e in encoded
-            ]
         return out
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"

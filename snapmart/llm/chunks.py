@@ -1,15 +1,16 @@
 """Whitespace-separated chunks, encoded once per distinct chunk of a worker.
 
 For a tokenizer that drops white space and never joins over it, a text's tokens are
-its chunks' tokens in order. Distinct chunks are encoded in batches; the memory of
-known chunks is bounded and starts anew when full.
+its chunks' tokens in order. Distinct chunks are encoded in batches; what is remembered
+of them is bounded.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from itertools import chain
+from typing import Any
 
 #: The characters that the tokenizer's patterns take as white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -19,8 +20,8 @@ _SPLIT = re.compile(f"[^{SPACE}]+")
 #: The chunks of a text with their places.
 WORDS = _SPLIT.finditer
 
-#: Known chunks per worker process, and the longest chunk that is kept.
-KNOWN, LONG = 400_000, 200
+#: Entries of a generation of remembered chunks or words, and the longest that is kept.
+KNOWN, LONG = 120_000, 200
 
 
 def chunks_of(text: str) -> list[str]:
@@ -40,28 +41,87 @@ def key_of(chunk: str) -> tuple[str, str]:
     return chunk, ""
 
 
+class Recent:
+    """What was solved lately: two generations, the older one let go when the newer is full.
+
+    What is asked for again moves to the newer one, so frequent entries stay while the
+    many that occur once pass through. At most about twice ``KNOWN`` are held.
+    """
+
+    def __init__(self) -> None:
+        self.new: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def take(self, keys: Iterable[str]) -> tuple[dict[str, Any], list[str]]:
+        """Entries that are known, and keys that are not."""
+        found, missing = {}, []
+        new, old = self.new.get, self.old.get
+        for k in keys:
+            v = new(k)
+            if v is None:
+                v = old(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                self.new[k] = v
+            found[k] = v
+        return found, missing
+
+    def add(self, entries: Mapping[str, Any]) -> None:
+        """Remember entries that are not too long, for as long as they are of use."""
+        if len(self.new) + len(entries) > KNOWN:
+            self.old, self.new = self.new, {}
+        self.new.update((k, v) for k, v in entries.items() if len(k) <= LONG)
+        while len(self.new) > KNOWN:  # more at once than a generation holds
+            self.new.popitem()
+
+
 class ChunkEncoder:
-    """``encode(list of chunks)`` gives little-endian unsigned 32-bit ids per chunk."""
+    """Ids of whole texts from those of their distinct chunks, and words of ids if asked for.
+
+    ``encode`` gives little-endian unsigned 32-bit ids per chunk; ``decode`` (optional)
+    the words of ids, each with a space behind it.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
-        self.known: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], decode: Callable[[bytes], str] | None = None):
+        self.encode, self.decode = encode, decode
+        self.chunks, self.keys = Recent(), Recent()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.both(texts)[0]
+
+    def both(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids, and words joined by spaces (empty without ``decode``), of every text."""
         parts = [chunks_of(t) for t in texts]
-        distinct = set(chain.from_iterable(parts))
-        if len(self.known) + len(distinct) > KNOWN:
-            self.known = {}
-        known = self.known
-        fresh = [c for c in distinct if c not in known]
-        keys = [key_of(c) for c in fresh]
-        wanted = [k for k in {".", ",", *(k for k, _ in keys)} if k not in known]
-        known.update(zip(wanted, self.encode(wanted)))
-        known[""] = b""
-        known.update((c, known[k] + known[mark]) for c, (k, mark) in zip(fresh, keys))
-        get = known.__getitem__
+        here, fresh = self.chunks.take(set(chain.from_iterable(parts)))
+        if fresh:
+            solved = self._solved(fresh)
+            here.update(solved)
+            self.chunks.add(solved)
+        get = {c: ids for c, (ids, _) in here.items()}.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        for c in {*fresh, *wanted}:
-            if len(c) > LONG:
-                del known[c]
+        if self.decode is None:
+            return out, [""] * len(texts)
+        get_words = {c: words for c, (_, words) in here.items()}.__getitem__
+        return out, ["".join(map(get_words, p))[:-1] for p in parts]
+
+    def _solved(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        """New chunks, by the keys that they share."""
+        keys = [key_of(c) for c in chunks]
+        entries, wanted = self.keys.take({".", ",", *(k for k, _ in keys)})
+        decode = self.decode or (lambda ids: "")
+        new = {k: (ids, decode(ids)) for k, ids in zip(wanted, self.encode(wanted))}
+        self.keys.add(new)
+        entries.update(new)
+        entries[""] = (b"", "")
+        out = {}
+        for chunk, (key, mark) in zip(chunks, keys):
+            ids, words = entries[key]
+            if mark:
+                last, end = entries[mark]
+                ids, words = ids + last, words + end
+            out[chunk] = (ids, words)
         return out

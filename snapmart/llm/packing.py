@@ -47,10 +47,28 @@ def _library(path: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(path).encode_batch_fast
-    return ChunkEncoder(
-        lambda chunks: [array("I", e.ids).tobytes() for e in encode(chunks, add_special_tokens=False)]
-    )
+    library = Tokenizer.from_file(path)
+    suffix = library.model.end_of_word_suffix
+    ends = np.zeros(library.get_vocab_size(), bool)
+    if suffix:
+        ends[[i for t, i in library.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        """Words of letters as one text, cut where a token ends a word; other chunks one by one."""
+        words = [c for c in chunks if c.isalpha()]
+        ids = np.array(library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(words):  # some are several words, or hold what the vocabulary lacks
+            words, ids = [], ids[:0]
+        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        out = {c: data[a:b] for c, a, b in zip(words, at, at[1:])}
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, (
+            array("I", e.ids).tobytes() for e in library.encode_batch_fast(rest, add_special_tokens=False)
+        )))
+        return [out[c] for c in chunks]
+
+    return ChunkEncoder(encode)
 
 
 def pieces(
@@ -64,10 +82,10 @@ def pieces(
         out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for i, encoded in zip(ids, encoder(texts)):
             data = encoded + end
-            for k, at in enumerate(range(0, len(data), 4 * size)):
+            for piece, at in enumerate(range(0, len(data), 4 * size)):
                 part = data[at : at + 4 * size]
                 out["doc_id"].append(i)
-                out["piece"].append(k)
+                out["piece"].append(piece)
                 out["start"].append(at // 4)
                 out["length"].append(len(part) // 4)
                 out["ids_crc32"].append(zlib.crc32(part))

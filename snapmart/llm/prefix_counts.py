@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.llm.bpe import Merges
-from snapmart.llm.chunks import SPACE
+from snapmart.llm.chunks import SPACE, Recent
+from snapmart.llm.key_table import SubstringTable
 from snapmart.llm.text_map import built, map_texts
 
 #: The tokenizer's word pattern, with its white space written out.
@@ -40,8 +41,8 @@ _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {
     b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))
 }
 _BYTE_OF = {c: b for b, c in _BYTE_CHARS.items()}
-#: Distinct words remembered per worker process, and the longest that is kept.
-KNOWN, LONG = 500_000, 200
+#: The same for ``str.translate``; the result is bytes in Latin-1.
+BYTES = {ord(c): b for c, b in _BYTE_OF.items()}
 #: Characters of new words solved together.
 BATCH_CHARS = 50_000
 
@@ -58,9 +59,12 @@ class PrefixCounter:
             self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials)))
         self.split = regex.compile(WORDS).findall
-        self.known: dict[str, int] = {}
+        self.known = Recent()
         sound = self.merges.sound
-        self.entries = {t: i for t, i in self.merges.vocab.items() if sound[i]}
+        # Entries of vocabularies by bytes; a byte's character is no other byte's.
+        self.entries = SubstringTable({
+            bytes(map(byte_of, t)): i for t, i in self.merges.vocab.items() if sound[i]
+        })
 
     # Words ------------------------------------------------------------------
 
@@ -69,21 +73,11 @@ class PrefixCounter:
 
         All words advance together: the entries that end at a length are tested at once.
         """
-        get, longest = self.entries.get, self.merges.longest
-        bodies = ["".join(map(_BYTE_CHARS.__getitem__, w.encode())) for w in words]
-        found: list[tuple[int, int, int, int]] = []
-        for w, body in enumerate(bodies):
-            n = len(body)
-            found += [
-                (w, start, end, token)
-                for start in range(n)
-                for end in range(start + 1, min(n, start + longest) + 1)
-                if (token := get(body[start:end])) is not None
-            ]
+        bodies = [w.encode() for w in words]
         width = max(map(len, bodies)) + 1
         last = np.full((len(words), width), -1, np.int64)
         count = np.zeros((len(words), width), np.int32)
-        word, start, end, token = np.array(found, np.int64).T
+        word, start, end, token = self.entries.find(bodies)
         order = np.argsort(end, kind="stable")
         cuts = np.searchsorted(end[order], np.arange(width + 1))
         for at in range(1, width):
@@ -112,31 +106,28 @@ class PrefixCounter:
         parts = [self.special.split(t) for t in texts]
         words = [[w for p in some for w in self.split(p)] if len(some) > 1 else self.split(some[0])
                  for some in parts]
-        distinct = set(chain.from_iterable(words))
-        if len(self.known) + len(distinct) > KNOWN:
-            self.known = {}
-        known = self.known
-        fresh = [w for w in distinct if w not in known]
-        self.learn(fresh)
-        get = self.known.__getitem__
-        out = [sum(map(get, w)) + len(p) - 1 for w, p in zip(words, parts)]
-        for w in fresh:
-            if len(w) > LONG:
-                del self.known[w]
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        """Solve new words, in batches of like length and bounded size."""
+        here, fresh = self.known.take(set(chain.from_iterable(words)))
+        if fresh:
+            solved = self.learn(fresh)
+            here.update(solved)
+            self.known.add(solved)
+        get = here.__getitem__
+        return [sum(map(get, w)) + len(p) - 1 for w, p in zip(words, parts)]
+
+    def learn(self, words: list[str]) -> dict[str, int]:
+        """Tokens of words, solved in batches of like length and bounded size."""
         fresh = sorted(words, key=len)
-        at = 0
+        at, solved = 0, {}
         while at < len(fresh):
             end = at + 1
             while end < len(fresh) and (end + 1 - at) * len(fresh[end]) <= BATCH_CHARS:
                 end += 1
             batch = fresh[at:end]
             counts = self.byte_counts(batch)
-            self.known.update((w, int(counts[i, len(w.encode())])) for i, w in enumerate(batch))
+            sizes = [len(w.encode()) for w in batch]
+            solved.update(zip(batch, counts[np.arange(len(batch)), sizes].tolist()))
             at = end
+        return solved
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of every prefix of a text: element i belongs to the first i + 1 characters."""

@@ -16,10 +16,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: rows of an Arrow batch that are Python objects at a time.
 SLICE_CHARS, SLICE_ROWS = 1_000_000, 1_000
 
-#: Per worker process: what ``make`` built, by key, the last used at the end. Workers
-#: are reused over tasks and queries, so only what one operator needs is kept.
+#: Per worker process: what ``make`` built, by key. Workers are reused over tasks and
+#: queries, so only what one operator needs is kept.
 _BUILT: dict = {}
-MOST_BUILT = 2
 
 
 def _give_back() -> None:
@@ -32,15 +31,17 @@ def _give_back() -> None:
 
 
 def built(key: tuple, make: Callable):
-    """Build once per worker process; others than the last ``MOST_BUILT`` used are let go."""
-    found = _BUILT.pop(key, None)
-    if found is None:
-        if len(_BUILT) >= MOST_BUILT:
-            del _BUILT[next(iter(_BUILT))]
+    """Build once per worker process; what another operator built is let go first.
+
+    An operator is the first word of its keys' names.
+    """
+    if key not in _BUILT:
+        operator = key[0].split()[0]
+        if any(held[0].split()[0] != operator for held in _BUILT):
+            _BUILT.clear()
             _give_back()
-        found = make()
-    _BUILT[key] = found
-    return found
+        _BUILT[key] = make()
+    return _BUILT[key]
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from snapmart.llm.bpe import Merges
 from snapmart.llm.bpe_codec import Codec, bpe_round_trip
+from snapmart.llm.key_table import KeyTable, SubstringTable
 from snapmart.llm.packing import _Stock, pack, plan, slots
 from snapmart.llm.prefix_counts import (
     PrefixCounter, fit_chars, prefix_table, token_counts, tokens_of_prefix,
@@ -63,9 +64,34 @@ def test_speculation_and_merging_both_happen():
     words = ["the", "hello", "unbelievably", "strengthlessness", "zzxqy"]
     library = Tokenizer.from_file(WORD)
     assert codec.encode_words(words) == [library.encode(w, add_special_tokens=False).ids for w in words]
-    guesses = [codec.speculate(w) == e for w, e in zip(words, codec.encode_words(words))]
-    assert any(guesses) and not all(codec.speculate(w) == codec.encode_words([w])[0] for w in (
+    guess = lambda w: codec.speculate([w])[1].tolist()
+    guesses = [guess(w) == e for w, e in zip(words, codec.encode_words(words))]
+    assert any(guesses) and not all(guess(w) == codec.encode_words([w])[0] for w in (
         "ingouhethere", "hathonreer", "erntheedly", "wondethrouable"))
+    # All at once is each by itself.
+    owner, tokens = codec.speculate(words)
+    assert [tokens[owner == i].tolist() for i in range(len(words))] == [guess(w) for w in words]
+
+
+def test_entries_in_words_by_packed_bytes():
+    r = random.Random(9)
+    entries = {bytes(r.choice(b"ab\x00\xff") for _ in range(r.randrange(1, 14))): i for i in range(300)}
+    words = [bytes(r.choice(b"ab\x00\xff") for _ in range(r.randrange(0, 25))) for _ in range(200)] + [b"", max(entries, key=len)]
+    got = sorted(zip(*(x.tolist() for x in SubstringTable(entries).find(words))))
+    assert got == sorted(
+        (w, s, e, entries[word[s:e]]) for w, word in enumerate(words) for s in range(len(word))
+        for e in range(s + 1, len(word) + 1) if word[s:e] in entries
+    )
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    table = KeyTable(keys[:3000], np.arange(3000))
+    assert table.find(keys).tolist() == [*range(3000), *[-1] * (len(keys) - 3000)]
+
+
+def test_short_and_long_merging_agree():
+    merges, r = Merges(BYTE), random.Random(6)
+    for _ in range(300):
+        ids = merges.symbols("".join(r.choice("theinger aond") for _ in range(r.randrange(1, 20))).replace(" ", "Ġ"))
+        assert merges._merged_short(list(ids)) == merges.merged(ids, {})
 
 
 def test_counts_equal_the_library(spark):
