@@ -20,8 +20,8 @@ tokenizer A's words never reach over such a space, and B's pieces hold a space o
 their first character or among spaces alone, so both sides end there together and no
 group reaches over. New chunks of many texts are laid end to end, encoded and walked
 once as one pair of arrays; a text is its chunks' groups in order. That a chunk is given
-back byte by byte is checked, with halving to find those that are not. Memory of chunks
-is bounded and starts anew when full.
+back byte by byte is checked, with halving to find those that are not. What is remembered
+of chunks is bounded.
 
 Defined cases: texts that are NULL, empty or not given back by the joined tokens have no
 tokens, zeros, and '' for the groups; repeated rows are documents of their own and count
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from snapmart.llm.chunks import Recent
 from snapmart.llm.common import stored
 from snapmart.llm.prefix_counts import byte_of
 from snapmart.llm.text_map import built, parts, slices
@@ -53,7 +54,6 @@ from snapmart.llm.text_map import built, parts, slices
 #: Characters of a bucket (one longer text is a bucket of its own).
 BUCKET_CHARS = 8_000_000
 #: Known chunks per worker process, and the longest chunk that is kept.
-KNOWN, LONG = 300_000, 200
 
 #: White space that is not alone between two other characters.
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
@@ -105,6 +105,8 @@ class Aligned(NamedTuple):
 
 
 NOTHING = Aligned(0, 0, 0, "", b"")
+#: What a chunk has whose bytes are not given back.
+LOST = (-1, -1, -1, "", b"")
 
 
 class Aligner:
@@ -121,7 +123,7 @@ class Aligner:
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.names = [str(i) for i in range(max(size_a, self.size_b))]
-        self.known: dict[str, Aligned | None] = {}
+        self.known = Recent()
 
     @staticmethod
     def _entry(token: str | None) -> bytes:
@@ -133,22 +135,22 @@ class Aligner:
         code = _BYTE_PIECE.fullmatch(piece)
         return bytes([int(code[1], 16)]) if code else piece.replace("▁", " ").encode()
 
-    def learn(self, chunks: list[str]) -> None:
-        """New chunks, laid end to end with a space before each; None where bytes are not given back."""
+    def learn(self, chunks: list[str]) -> dict[str, tuple]:
+        """New chunks, laid end to end with a space before each; ``LOST`` where bytes are not given back."""
+        if not chunks:
+            return {}
         text = " ".join(chunks)
         body = f" {text}".encode()
         a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         b = self.b.encode(text, num_threads=1)
         if all(b"".join(map(table.__getitem__, ids)) == body for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-            self._learn(chunks, a, b)
-        elif len(chunks) == 1:
-            self.known[chunks[0]] = None
-        else:
-            half = len(chunks) // 2
-            self.learn(chunks[:half])
-            self.learn(chunks[half:])
-
-    def _learn(self, chunks: list[str], a: list[int], b: list[int]) -> None:
+            return self._solved(chunks, a, b)
+        if len(chunks) == 1:
+            return {chunks[0]: LOST}
+        half = len(chunks) // 2
+        return {**self.learn(chunks[:half]), **self.learn(chunks[half:])}
+
+    def _solved(self, chunks: list[str], a: list[int], b: list[int]) -> dict[str, Aligned]:
         names = self.names
         text_a, text_b = [names[t] for t in a], [names[t] for t in b]
         ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
@@ -167,41 +169,37 @@ class Aligner:
                 last_b.append(after_b - 1)
                 groups.append(",".join(text_a[i:after_a]) + "|" + ",".join(text_b[j:after_b]))
         # Both sides end at every chunk's end, so the chunks' groups are runs of groups.
-        borders = np.cumsum([len(c.encode()) + 1 for c in chunks])
-        pairs = ids_a[last_a] * self.size_b + ids_b[last_b]
-        cuts = [
-            [0, *np.searchsorted(ends, borders, "right").tolist()] for ends in (ends_a, ends_b, ends_a[last_a])
-        ]
-        for k, chunk in enumerate(chunks):
-            (a0, a1), (b0, b1), (g0, g1) = ((c[k], c[k + 1]) for c in cuts)
-            self.known[chunk] = Aligned(
-                a1 - a0, b1 - b0, g1 - g0, ";".join(groups[g0:g1]), pairs[g0:g1].tobytes()
-            )
+        borders = np.cumsum([len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in chunks])
+        pairs = (ids_a[last_a] * self.size_b + ids_b[last_b]).tobytes()
+        cuts = [np.searchsorted(ends, borders, "right") for ends in (ends_a, ends_b, ends_a[last_a])]
+        counts = [np.diff(c, prepend=0).tolist() for c in cuts]
+        out, at = {}, 0
+        for chunk, n_a, n_b, n in zip(chunks, *counts):
+            end = at + n
+            out[chunk] = (n_a, n_b, n, ";".join(groups[at:end]), pairs[8 * at : 8 * end])
+            at = end
+        return out
 
     def align(self, texts: list[str]) -> list[Aligned]:
         cut = [chunks_of(t) if t else [] for t in texts]
-        distinct = set(chain.from_iterable(cut))
-        if len(self.known) + len(distinct) > KNOWN:
-            self.known = {}
-        known = self.known
-        fresh = [c for c in distinct if c not in known]
-        # Chunks with white space at their ends would meet their neighbours.
-        alone = {c for c in fresh if not c or c[0].isspace() or c[-1].isspace()}
-        for c in alone:
-            self.learn([c])
-        if len(fresh) > len(alone):
-            self.learn([c for c in fresh if c not in alone])
+        known, fresh = self.known.take(set(chain.from_iterable(cut)))
+        if fresh:
+            # Chunks with white space at their ends would meet their neighbours.
+            alone = {c for c in fresh if not c or c[0].isspace() or c[-1].isspace()}
+            solved = self.learn([c for c in fresh if c not in alone])
+            for c in alone:
+                solved.update(self.learn([c]))
+            known.update(solved)
+            self.known.add(solved)
+        get, lost = known.__getitem__, LOST in known.values()
         out = []
         for chunks in cut:
-            found = [known[c] for c in chunks]
-            if not found or None in found:
+            found = list(map(get, chunks))
+            if not found or (lost and LOST in found):
                 out.append(NOTHING)
                 continue
             n_a, n_b, n_groups, groups, pairs = zip(*found)
             out.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(pairs)))
-        for c in fresh:
-            if len(c) > LONG:
-                del known[c]
         return out
 
 

@@ -8,7 +8,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from snapmart.llm import alignment
+from snapmart.llm import chunks
 from snapmart.llm.alignment import Aligner, align_documents, aligned_buckets, packed, pair_counts, runs, unpacked
 from snapmart.llm.queries import tokenizer_path
 
@@ -105,13 +105,15 @@ def test_places_are_packed_by_planes():
         assert unpacked(packed(np.array(places, np.int64))).tolist() == places
 
 
-def test_known_chunks_are_bounded_and_start_anew(monkeypatch):
+def test_known_chunks_are_bounded(monkeypatch):
     aligner = Aligner(A, B)
     rows = [t for t in texts(40) if t]
     whole = [x.groups for x in aligner.align(rows)]
-    monkeypatch.setattr(alignment, "KNOWN", 5)
+    monkeypatch.setattr(chunks, "KNOWN", 5)
     assert [aligner.align([t])[0].groups for t in rows] == whole
-    assert all(len(c) <= alignment.LONG for c in aligner.known)
+    fresh = Aligner(A, B)
+    assert [fresh.align([t])[0].groups for t in rows] == whole
+    assert len(fresh.known) <= 10 and all(len(c) <= chunks.LONG for c in [*fresh.known.new, *fresh.known.old])
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(None, "one text"), (None, "one text"), ("x", "")]])
