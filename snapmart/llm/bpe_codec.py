@@ -18,10 +18,11 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from snapmart.llm.bpe import Merges
-from snapmart.llm.chunks import ChunkEncoder
+from snapmart.llm.chunks import ChunkEncoder, Laid
 from snapmart.llm.key_table import SubstringTable
 from snapmart.llm.prefix_counts import BYTES, byte_of
 from snapmart.llm.text_map import built, map_texts
@@ -53,13 +54,12 @@ class Codec:
         self.special = re.compile("|".join(map(re.escape, self.merges.specials)))
         self.encoder = ChunkEncoder(self.encode_chunks, self.words_of)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        return self.encoder(texts)
+    def round_trip(self, texts: pa.Array) -> list[Laid]:
+        """Little-endian unsigned 32-bit ids of whole texts, and their tokens, each with a space behind it.
 
-    def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids and their decoding, which is the tokens joined by spaces where the file names no decoder."""
-        return self.encoder.both(texts)
+        Where the file names no decoder, the library decodes by joining tokens with spaces.
+        """
+        return self.encoder(texts)
 
     def words_of(self, ids: bytes) -> str:
         """A chunk's tokens, each with a space behind it."""
@@ -176,20 +176,21 @@ def bpe_round_trip(
 ) -> DataFrame:
     """Per document: n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also ids and decoded."""
 
-    def function(ids: list, texts: list) -> dict[str, list]:
+    def function(ids: list, texts: pa.Array) -> dict[str, list]:
         codec = built(("codec", tokenizer), lambda: Codec(tokenizer))
-        encoded, decoded = codec.round_trip(texts)
+        encoded, words = codec.round_trip(texts)
+        decoded = [w[:-1] for w in words]
         out: dict[str, list] = {
             "doc_id": ids, "n_tokens": [len(e) // 4 for e in encoded],
             "ids_sha256": [hashlib.sha256(e).hexdigest() for e in encoded],
-            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
+            "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in decoded],
         }
         if keep_ids:
-            out["decoded"] = decoded
+            out["decoded"] = [str(t, "utf-8") for t in decoded]
             out["ids"] = [np.frombuffer(e, "<u4").astype(np.int32) for e in encoded]
         return out
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         schema += ", ids array<int>, decoded string"
-    return map_texts(docs, doc_id, text, schema, function)
+    return map_texts(docs, doc_id, text, schema, function, as_array=True)

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Mapping
-from itertools import chain
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: The characters that the tokenizer's patterns take as white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: What Python's split() takes as white space beyond these.
@@ -22,6 +26,8 @@ WORDS = _SPLIT.finditer
 
 #: Entries of a generation of remembered chunks or words, and the longest that is kept.
 KNOWN, LONG = 120_000, 200
+#: Chunks that stay when a table of arrays, about 30 bytes each, has twice as many.
+TABLE = 250_000
 
 
 def chunks_of(text: str) -> list[str]:
@@ -34,7 +40,7 @@ def key_of(chunk: str) -> tuple[str, str]:
     True of Latin letters: the patterns cut before the mark, lower-casing keeps letters
     letters, and normalisation leaves both alone. Other chunks are keys of their own.
     """
-    mark = chunk[-1] if chunk[-1] in ".," else ""
+    mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
     word = chunk[:-1] if mark else chunk
     if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
         return word.lower(), mark
@@ -79,6 +85,78 @@ class Recent:
             self.new.popitem()
 
 
+class ChunkTable:
+    """Values of chunks, looked up and laid out as Arrow arrays; only new chunks are Python strings.
+
+    ``solve`` gives, for new chunks, one list per type. Solved chunks are kept as arrays;
+    when there are twice ``TABLE`` of them, those used last stay.
+    """
+
+    def __init__(self, solve: Callable[[list[str]], list[list]], types: list[pa.DataType]):
+        self.solve, self.types = solve, types
+        self.keys = pa.array([], pa.string())
+        self.values = [pa.array([], t) for t in types]
+        self.used = np.zeros(0, np.int64)
+        self.clock = 0
+
+    def __call__(self, flat: pa.Array) -> list[pa.Array]:
+        """The values of every occurrence, in order."""
+        coded = flat.dictionary_encode()
+        distinct, n = coded.dictionary, len(self.keys)
+        at = pc.index_in(distinct, value_set=self.keys)
+        new = distinct.filter(at.is_null())
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        self.clock += 1
+        self.used[place[place >= 0]] = self.clock
+        values = self.values
+        if len(new):
+            place[place < 0] = n + np.arange(len(new))
+            solved = self.solve(new.to_pylist())
+            values = [pa.concat_arrays([old, pa.array(v, t)]) for old, v, t in zip(values, solved, self.types)]
+            self._keep(new, values)
+        return [v.take(pa.array(place[coded.indices.to_numpy()])) for v in values]
+
+    def _keep(self, new: pa.Array, values: list[pa.Array]) -> None:
+        """Remember new chunks that are not too long; make room if there are too many."""
+        keys = pa.concat_arrays([self.keys, new])
+        used = np.append(self.used, np.full(len(new), self.clock))
+        stay = pc.binary_length(keys).to_numpy() <= LONG
+        if stay.sum() > 2 * TABLE:
+            last = np.where(stay, used, -1)
+            stay = np.zeros(len(keys), bool)
+            stay[np.argpartition(last, len(keys) - TABLE)[len(keys) - TABLE :]] = True
+            stay &= last >= 0
+        if not stay.all():
+            kept = pa.array(np.flatnonzero(stay))
+            keys, values, used = keys.take(kept), [v.take(kept) for v in values], used[stay]
+        self.keys, self.values, self.used = keys, values, used
+
+
+@dataclass(frozen=True)
+class Laid:
+    """Texts' bytes, one after the other, and the bytes before each of them."""
+
+    data: memoryview
+    at: list[int]
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def __getitem__(self, i: int) -> memoryview:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        return self.data[self.at[i] : self.at[i + 1]]
+
+
+def _laid(values: pa.Array, cuts: np.ndarray) -> Laid:
+    """Runs of ``values``, bounded by ``cuts``, each joined."""
+    if not len(values):
+        return Laid(memoryview(b""), [0] * len(cuts))
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return Laid(memoryview(data) if data is not None else memoryview(b""), bounds[cuts].tolist())
+
+
 class ChunkEncoder:
     """Ids of whole texts from those of their distinct chunks, and words of ids if asked for.
 
@@ -88,40 +166,27 @@ class ChunkEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], decode: Callable[[bytes], str] | None = None):
         self.encode, self.decode = encode, decode
-        self.chunks, self.keys = Recent(), Recent()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return self.both(texts)[0]
-
-    def both(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids, and words joined by spaces (empty without ``decode``), of every text."""
-        parts = [chunks_of(t) for t in texts]
-        here, fresh = self.chunks.take(set(chain.from_iterable(parts)))
-        if fresh:
-            solved = self._solved(fresh)
-            here.update(solved)
-            self.chunks.add(solved)
-        get = {c: ids for c, (ids, _) in here.items()}.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        if self.decode is None:
-            return out, [""] * len(texts)
-        get_words = {c: words for c, (_, words) in here.items()}.__getitem__
-        return out, ["".join(map(get_words, p))[:-1] for p in parts]
-
-    def _solved(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        self.keys = Recent()
+        self.table = ChunkTable(self._solved, [pa.binary(), *([pa.string()] if decode else [])])
+
+    def __call__(self, texts: pa.Array) -> list[Laid]:
+        """Ids of every text; with ``decode`` also its words, each with a space behind it."""
+        if pc.any(pc.match_substring_regex(texts, ODD.pattern)).as_py():
+            cut = pa.array([chunks_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            cut = pc.utf8_split_whitespace(texts)
+        cuts = cut.offsets.to_numpy().astype(np.int64)
+        return [_laid(v, cuts - cuts[0]) for v in self.table(cut.flatten())]
+
+    def _solved(self, chunks: list[str]) -> list[list]:
         """New chunks, by the keys that they share."""
         keys = [key_of(c) for c in chunks]
-        entries, wanted = self.keys.take({".", ",", *(k for k, _ in keys)})
+        # White space at a text's ends leaves empty chunks.
+        entries, wanted = self.keys.take({".", ",", *(k for k, _ in keys)} - {""})
         decode = self.decode or (lambda ids: "")
         new = {k: (ids, decode(ids)) for k, ids in zip(wanted, self.encode(wanted))}
         self.keys.add(new)
-        entries.update(new)
-        entries[""] = (b"", "")
-        out = {}
-        for chunk, (key, mark) in zip(chunks, keys):
-            ids, words = entries[key]
-            if mark:
-                last, end = entries[mark]
-                ids, words = ids + last, words + end
-            out[chunk] = (ids, words)
-        return out
+        entries |= {**new, "": (b"", "")}
+        both = [(entries[key], entries[mark]) for key, mark in keys]
+        ids = [a + b for (a, _), (b, _) in both]
+        return [ids, [a + b for (_, a), (_, b) in both]] if self.decode else [ids]

@@ -77,22 +77,24 @@ def pieces(
     """doc_id and its pieces: piece, start, length, ids_crc32."""
     end = array("I", [END]).tobytes()
 
-    def function(ids: list, texts: list) -> dict[str, list]:
+    def function(ids: list, texts: pa.Array) -> dict[str, list]:
         encoder = built(("library", tokenizer), lambda: _library(tokenizer))
         out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for i, encoded in zip(ids, encoder(texts)):
-            data = encoded + end
-            for piece, at in enumerate(range(0, len(data), 4 * size)):
-                part = data[at : at + 4 * size]
+        (encoded,) = encoder(texts)
+        for i, body in zip(ids, encoded):
+            whole = len(body) // 4 + 1
+            for piece, at in enumerate(range(0, whole, size)):
+                stop = min(at + size, whole)
+                checksum = zlib.crc32(body[4 * at : 4 * stop])
                 out["doc_id"].append(i)
                 out["piece"].append(piece)
-                out["start"].append(at // 4)
-                out["length"].append(len(part) // 4)
-                out["ids_crc32"].append(zlib.crc32(part))
+                out["start"].append(at)
+                out["length"].append(stop - at)
+                out["ids_crc32"].append(zlib.crc32(end, checksum) if stop == whole else checksum)
         return out
 
     schema = "piece int, start bigint, length bigint, ids_crc32 bigint"
-    return map_texts(docs, doc_id, text, schema, function)
+    return map_texts(docs, doc_id, text, schema, function, as_array=True)
 
 
 class _Stock:

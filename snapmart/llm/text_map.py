@@ -6,7 +6,9 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +17,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Characters handled at a time in a worker (one longer text is a slice of its own), and
 #: rows of an Arrow batch that are Python objects at a time.
 SLICE_CHARS, SLICE_ROWS = 1_000_000, 1_000
+#: Bytes of a slice that stays an Arrow array.
+SLICE_BYTES = 2_000_000
 
 #: Per worker process: what ``make`` built, by key. Workers are reused over tasks and
 #: queries, so only what one operator needs is kept.
@@ -60,13 +64,24 @@ def slices(ids: list, texts: list) -> Iterator[tuple[list, list]]:
         yield ids[start:], texts[start:]
 
 
+def array_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (second column) have about ``SLICE_BYTES``; a longer text is one of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = before = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
 def map_texts(
     docs: DataFrame, doc_id: str, text: str, schema: str,
-    function: Callable[[list, list], dict[str, list]],
+    function: Callable[[list, list], dict[str, list]], as_array: bool = False,
 ) -> DataFrame:
     """``function(ids, texts)`` gives the columns of ``schema`` for one slice.
 
-    A NULL text arrives as an empty one. ``doc_id`` keeps its type.
+    A NULL text arrives as an empty one. ``doc_id`` keeps its type. With ``as_array``
+    the texts stay an Arrow array.
     """
     frame = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -75,13 +90,20 @@ def map_texts(
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in parts(whole)):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some_ids, some_texts in slices(ids, texts):
-                columns = function(some_ids, some_texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
+        def handled() -> Iterator[dict[str, list]]:
+            for batch in (part for whole in batches for part in parts(whole)):
+                if as_array:
+                    for some in array_slices(batch):
+                        yield function(some.column(0).to_pylist(), some.column(1))
+                else:
+                    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                    for some_ids, some_texts in slices(ids, texts):
+                        yield function(some_ids, some_texts)
+
+        for columns in handled():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[f.name], f.type) for f in arrow], schema=arrow
+            )
 
     return frame.mapInArrow(run, out)
 

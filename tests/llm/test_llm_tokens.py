@@ -5,12 +5,16 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from snapmart.llm import chunks
 from snapmart.llm.bpe import Merges
 from snapmart.llm.bpe_codec import Codec, bpe_round_trip
+from snapmart.llm.chunks import ChunkTable
 from snapmart.llm.key_table import KeyTable, SubstringTable
 from snapmart.llm.packing import _Stock, pack, plan, slots
 from snapmart.llm.prefix_counts import (
@@ -87,6 +91,32 @@ def test_entries_in_words_by_packed_bytes():
     assert table.find(keys).tolist() == [*range(3000), *[-1] * (len(keys) - 3000)]
 
 
+def test_chunk_table_forgets_what_was_used_least(monkeypatch):
+    monkeypatch.setattr(chunks, "TABLE", 3)
+    asked = []
+
+    def solve(new):
+        asked.extend(new)
+        return [[c.encode() for c in new], [len(c) for c in new]]
+
+    table = ChunkTable(solve, [pa.binary(), pa.int64()])
+    for line in ("a bb a", "bb c d e", "a f g", "", "x" * 300 + " a", "h i j k l m n bb"):
+        flat = pa.array(line.split(), pa.string())
+        ids, sizes = table(flat)
+        assert ids.to_pylist() == [c.encode() for c in line.split()] and sizes.to_pylist() == list(map(len, line.split()))
+        assert len(table.keys) <= 6 and all(len(k) < 300 for k in table.keys.to_pylist())
+    assert asked.count("a") == 1 and asked[:4] == ["a", "bb", "c", "d"]
+
+
+def test_arrow_splits_where_python_does():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    for text in (f"a{'b'.join(every)}", " lead", "trail ", "", "  ", "a  b"):
+        if chunks.ODD.search(text):
+            text = chunks.ODD.sub("", text)
+        got = [c for c in pc.utf8_split_whitespace(pa.array([text])).to_pylist()[0] if c]
+        assert got == chunks.chunks_of(text) == text.split()
+
+
 def test_short_and_long_merging_agree():
     merges, r = Merges(BYTE), random.Random(6)
     for _ in range(300):
