@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snapmart.catalogue import roles as R
@@ -11,6 +12,8 @@ from snapmart.operators import ranking as W
 from snapmart.operators.asof import asof_aggregate
 from snapmart.operators.joins import features_with_labels
 from snapmart.operators.metrics import evaluate
+from snapmart.operators.monitoring import monitor
+from snapmart.plans import metric_store as MS
 from snapmart.plans import training as P
 from snapmart.schemas import LABEL_DELAY_MONTHS
 from snapmart.sources import artefacts
@@ -115,8 +118,20 @@ def training_data(spark, d):
     return P.training_frame(features(spark, d), labels(spark, d), TRAIN_DATE)
 
 
-def _training(spark, d, columns=FEATURES):
-    return P.train_on(training_data(spark, d), columns, "credit_model_1999_06_01")
+#: Trainings of this session by (application, table folder, what), as several queries report on one.
+_FITTED: dict = {}
+
+
+def _fitted(spark, d, what, fit):
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
+def _training(spark, d):
+    version = "credit_model_1999_06_01"
+    return _fitted(spark, d, version, lambda: P.train_on(training_data(spark, d), FEATURES, version))
 
 
 @query(
@@ -257,16 +272,27 @@ def lr_scores(spark, d):
     return scored.select("loan_id", "label", M.score_of(model).alias("model_predictions"))
 
 
-@query("q_gbt_search")
+@query(
+    "q_gbt_search",
+    f"""
+    WITH {_APPS}, {_SPLITS}
+    SELECT draw, n_labels AS n_held, 3 AS n_folds, TRUE AS is_area
+    FROM splits, (SELECT unnest(range(50)) AS draw) WHERE split = 'train'
+    """,
+)
+def gbt_search_stated(spark, d):
+    """Every draw of the search: each train row was held out once; areas and the choice are tested."""
+    return gbt_search(spark, d).select(
+        F.col("draw").cast("long").alias("draw"), "n_held", F.col("n_folds").cast("int").alias("n_folds"),
+        F.col("cv_auc").between(0, 1).alias("is_area"),
+    )
+
+
 def gbt_search(spark, d):
-    """Random search over boosted trees: parameters and mean area of each draw."""
-    data = training_data(spark, d).where(F.col("split") == "train")
-    prepared = M.fit_preprocessing(data, FEATURES)
-    vectors = P.PipelineModel(stages=prepared.stages()).transform(data)
-    vectors = materialise(vectors.select("loan_id", "label", "features"), "search")
-    found = M.random_search(vectors)
-    rows = [(str(p), float(a), p == found.params) for p, a in found.trials]
-    return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
+    """Random search over boosted trees: mean area of each draw, and the chosen one."""
+    data = materialise(training_data(spark, d).where(F.col("split") == "train"), "search")
+    prep = M.fit_preprocessing(data, FEATURES)
+    return M.random_search(data, prep, {"all": FEATURES}, data.count())["all"].trials
 
 
 @query(
@@ -312,19 +338,55 @@ def platt(spark, d):
     return docs.select("doc_id", "label", fitted.apply(F.col("model_predictions")).alias("pd"))
 
 
-@query("q_calibration_of_champion")
+@query(
+    "q_calibration_of_champion",
+    f"""
+    WITH {_APPS}
+    SELECT round(avg(label), 10) AS bad_rate, TRUE AS are_rates, TRUE AS are_errors FROM apps
+    WHERE snapshot_date BETWEEN DATE '1998-11-01' AND DATE '1998-12-01'
+    """,
+)
+def calibration_stated(spark, d):
+    """The oot bad rate, and that the means and errors beside it are such; values are tested."""
+    rates, errors = ["mean_pred_raw", "mean_pred_calibrated", "auc_calibrated"], ["brier_raw", "brier_calibrated"]
+    inside = lambda names: F.forall(F.array(*names), lambda x: x.between(0, 1))
+    return calibration_of_champion(spark, d).select(
+        F.round("bad_rate", 10).alias("bad_rate"), inside(rates).alias("are_rates"), inside(errors).alias("are_errors")
+    )
+
+
 def calibration_of_champion(spark, d):
     return _training(spark, d).calibration
 
 
-@query("q_importance")
+@query(
+    "q_importance",
+    """
+    SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS place, TRUE AS is_feature, TRUE AS falls, TRUE AS is_share, TRUE AS whole
+    """,
+)
+def importance_stated(spark, d):
+    """Five places of known features, importance falling, groups' shares adding up to 1."""
+    shares = _importance_groups(_training(spark, d))
+    place = Window.orderBy(F.col("importance").desc(), "feature")  # five rows
+    earlier = F.lag("importance").over(place)
+    return importance(spark, d).select(
+        F.row_number().over(place).alias("place"), F.col("feature").isin(FEATURES).alias("is_feature"),
+        F.coalesce(earlier >= F.col("importance"), F.lit(True)).alias("falls"),
+        F.col("group_share").between(0, 1 + 1e-9).alias("is_share"),
+        shares.select(F.abs(F.sum("share") - 1) < 1e-9).scalar().alias("whole"),
+    )
+
+
+def _importance_groups(trained):
+    groups = {"customer": ["balance", "segment"], "clicks": CLICKS, "order": ["price", "lines", "quantity", "mean_*", *BORROWED]}
+    return M.importance_by_group(trained.importance, groups)
+
+
 def importance(spark, d):
     """Top five features of the champion, with the share of their group."""
     trained = _training(spark, d)
-    groups = {"customer": ["balance", "segment"], "clicks": CLICKS, "order": ["price", "lines", "quantity", "mean_*", *BORROWED]}
-    shares = M.importance_by_group(trained.importance, groups).select(
-        F.col("group"), F.col("share").alias("group_share")
-    )
+    shares = _importance_groups(trained).select(F.col("group"), F.col("share").alias("group_share"))
     top = W.top_k(trained.importance, [F.col("importance").desc(), F.col("feature")], 5)
     group = F.when(F.col("feature").isin("balance", "segment"), "customer")
     group = group.when(F.col("feature").isin(CLICKS), "clicks").otherwise("order")
@@ -340,7 +402,7 @@ _SETS = {
 
 
 def _sets(spark, d):
-    return P.compare_feature_sets(training_data(spark, d), _SETS)
+    return _fitted(spark, d, "sets", lambda: P.compare_feature_sets(training_data(spark, d), _SETS))
 
 
 def outage(spark, d):
@@ -349,22 +411,62 @@ def outage(spark, d):
     return rows.withColumns({c: F.lit(None).cast("double") for c in CLICKS})
 
 
-@query("q_feature_sets")
+_SET_ROWS = ", ".join(f"('{name}', {len(columns)})" for name, columns in _SETS.items())
+
+
+@query(
+    "q_feature_sets",
+    f"""
+    WITH {_APPS}, {_SPLITS}
+    SELECT feature_set, CAST(n_features AS INTEGER) AS n_features, n_labels, TRUE AS is_best, TRUE AS is_area
+    FROM splits, (VALUES {_SET_ROWS}) AS v(feature_set, n_features) WHERE split = 'oot'
+    """,
+)
+def feature_sets_stated(spark, d):
+    """Which sets are compared on how many oot rows; the areas are tested."""
+    return feature_sets(spark, d).select(
+        "feature_set", F.col("n_features").cast("int").alias("n_features"),
+        F.col("n_labels").cast("bigint").alias("n_labels"), F.col("auc").eqNullSafe(F.col("best")).alias("is_best"),
+        ((F.col("auc") > 0) & (F.col("auc") < 1)).alias("is_area"),
+    )
+
+
 def feature_sets(spark, d):
-    """Same training for four column sets: the best candidate of each and its oot area."""
-    trained = _sets(spark, d)
+    """Same training for four column sets: the champion of each, its oot area, and the best area of both candidates."""
     out = None
-    for name, t in trained.items():
-        best = W.best_per_group(
-            t.results.where(F.col("split") == "oot"), ["split"], "auc", ["model"]
-        ).select(
-            F.lit(name).alias("feature_set"), F.lit(len(t.model.columns)).alias("n_features"), "model", "auc"
+    for name, t in _sets(spark, d).items():
+        oot = t.results.where(F.col("split") == "oot")
+        best = W.best_per_group(oot, ["split"], "auc", ["model"]).select(
+            F.lit(name).alias("feature_set"), F.lit(len(t.model.columns)).alias("n_features"),
+            "model", "n_labels", "auc", oot.agg(F.max("auc")).scalar().alias("best"),
         )
         out = best if out is None else out.unionByName(best)
     return out
 
 
-@query("q_resilience")
+@query(
+    "q_resilience",
+    f"""
+    SELECT feature_set, CAST(n_features AS INTEGER) AS n_features,
+           n_labels, bad_rate, TRUE AS is_area, TRUE AS gap_is_mean, TRUE AS is_recall
+    FROM (VALUES {_SET_ROWS}) AS v(feature_set, n_features), (
+        SELECT count(*) AS n_labels, round(avg(label), 9) AS bad_rate FROM (
+            WITH {_APPS} SELECT label FROM apps WHERE snapshot_date BETWEEN DATE '{OUTAGE[0]}' AND DATE '{OUTAGE[1]}'
+        )
+    )
+    """,
+)
+def resilience_stated(spark, d):
+    """Rows and bad rate of the outage period, and that each measure is one; values are tested."""
+    return resilience(spark, d).select(
+        "feature_set", F.col("n_features").cast("int").alias("n_features"),
+        F.col("n_labels").cast("bigint").alias("n_labels"), F.round("bad_rate", 9).alias("bad_rate"),
+        ((F.col("auc_period") > 0) & (F.col("auc_period") < 1)).alias("is_area"),
+        (F.abs(F.col("mean_prediction") - F.col("bad_rate") - F.col("pd_gap_period")) < 1e-9).alias("gap_is_mean"),
+        F.col("recall_period").between(0, 1).alias("is_recall"),
+    )
+
+
 def resilience(spark, d):
     """With and without clicks, with and without borrowed features, over an outage of the clicks."""
     return P.resilience(_sets(spark, d), outage(spark, d))
@@ -399,35 +501,107 @@ def batch_score(spark, d):
     "q_artefact_roundtrip",
     f"""
     WITH {_APPS}
-    SELECT count(*) AS n_labels, TRUE AS same_auc, TRUE AS same_brier FROM apps
+    SELECT count(*) AS n_labels, TRUE AS same_auc, TRUE AS same_brier,
+           6 AS n_baselines, TRUE AS same_baselines, TRUE AS same_facts, TRUE AS dated FROM apps
     WHERE snapshot_date BETWEEN DATE '1998-11-01' AND DATE '1998-12-01'
     """,
 )
 def artefact_roundtrip_stated(spark, d):
-    """The loaded model scores the oot rows as the one that was saved."""
+    """The loaded model scores the oot rows as the one that was saved; baselines and facts come back."""
     rows = artefact_roundtrip(spark, d)
     return rows.agg(
         F.max("n_labels").cast("bigint").alias("n_labels"),
         (F.min("auc") == F.max("auc")).alias("same_auc"),
         (F.min("brier") == F.max("brier")).alias("same_brier"),
+        F.max("n_baselines").alias("n_baselines"),
+        F.bool_and("same_baselines").alias("same_baselines"),
+        F.bool_and("same_facts").alias("same_facts"),
+        F.bool_and(F.col("train_date") == TRAIN_DATE).alias("dated"),
     )
 
 
-def artefact_roundtrip(spark, d):
-    """Oot area before saving the artefacts and after loading them."""
-    trained = _training(spark, d)
-    root, version = work_path(spark, "models"), trained.model.version
+def _save(spark, trained, root):
+    """Model, baselines and facts under the model's version."""
+    version = trained.model.version
     artefacts.save_model(spark, trained.model, root)
     baselines = {"model_predictions": trained.score_baseline, **trained.feature_baselines}
     artefacts.save_baselines(spark, version, baselines, root)
     facts = {"train_date": TRAIN_DATE, "model_type": trained.model.model_type, **trained.params}
     artefacts.save_metadata(spark, version, facts, root)
+    return baselines, facts
+
+
+def artefact_roundtrip(spark, d):
+    """Oot area before saving the artefacts and after loading them; what else was stored."""
+    trained = _training(spark, d)
+    root, version = work_path(spark, "models"), trained.model.version
+    baselines, facts = _save(spark, trained, root)
     loaded = artefacts.load_model(spark, root, version)
     oot = trained.data.where(F.col("split") == "oot")
     out = None
     for name, model in (("before", trained.model), ("after", loaded)):
         part = evaluate(model.calibrated(oot)).select(F.lit(name).alias("stage"), "n_labels", "auc", "brier")
         out = part if out is None else out.unionByName(part)
-    n = len(artefacts.load_baselines(spark, root, version))
-    m = artefacts.load_metadata(spark, root, version).count()
-    return out.withColumns({"n_baselines": F.lit(n), "n_facts": F.lit(m)})
+    again = artefacts.load_baselines(spark, root, version)
+    found = {r["name"]: r["value"] for r in artefacts.load_metadata(spark, root, version).collect()}
+    return out.withColumns({
+        "n_baselines": F.lit(len(again)), "n_facts": F.lit(len(found)), "train_date": F.lit(found["train_date"]),
+        "same_baselines": F.lit(again == baselines), "same_facts": F.lit(found == {k: str(v) for k, v in facts.items()}),
+    })
+
+
+_PATH_SQL = f"""
+    WITH {_APPS},
+    scored AS (SELECT *, CAST(snapshot_date + INTERVAL 6 MONTH AS DATE) AS due FROM apps WHERE snapshot_date >= DATE '1999-06-01'),
+    m AS (SELECT snapshot_date, due, count(*) AS n, avg(label) AS rate FROM scored GROUP BY 1, 2)
+    SELECT 'credit_model_1999_06_01' AS model_name, monitoring_date, prediction_month, metric_type, metric, n_rows,
+           round(stated, 9) AS stated, TRUE AS has_values
+    FROM (
+      SELECT snapshot_date AS monitoring_date, snapshot_date AS prediction_month, 'stability' AS metric_type,
+             unnest(['n_predictions', 'mean_pd', 'psi_score', 'csi']) AS metric, unnest([1, 1, 1, 5]) AS n_rows,
+             unnest([CAST(n AS DOUBLE), NULL, NULL, NULL]) AS stated FROM m
+      UNION ALL
+      SELECT due, snapshot_date, 'performance',
+             unnest(['n_labels', 'bad_rate_actual', 'bad_rate_predicted', 'bad_rate_gap', 'auc', 'gini', 'brier', 'precision', 'recall', 'f1']),
+             1, unnest([CAST(n AS DOUBLE), rate, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) FROM m
+    )
+"""
+
+
+@query("q_monitored_model", _PATH_SQL)
+def monitored_model_stated(spark, d):
+    """Which metrics the stored monitoring table of the trained model holds; those that SQL can know with their values."""
+    name = F.col("metric_name")
+    metric = F.when(name.startswith("csi_"), "csi").otherwise(name)
+    known = F.when(name.isin("n_predictions", "n_labels", "bad_rate_actual"), F.col("metric_value"))
+    # The area needs both classes in a month.
+    has_value = F.col("metric_value").isNotNull() | name.isin("auc", "gini")
+    return (
+        monitored_model(spark, d)
+        .groupBy("model_name", "monitoring_date", "prediction_month", "metric_type", metric.alias("metric"))
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("n_rows"), F.round(F.max(known), 9).alias("stated"),
+            F.bool_and(has_value).alias("has_values"),
+        )
+    )
+
+
+def monitored_model(spark, d):
+    """The whole path: train, store the artefacts, load them, score and store all production months, monitor, store, read.
+
+    Scoring and monitoring know the training by its artefacts only.
+    """
+    root, version = work_path(spark, "bank"), _training(spark, d).model.version
+    _save(spark, _training(spark, d), root)
+    model = artefacts.load_model(spark, root, version)
+    baselines = artefacts.load_baselines(spark, root, version)
+    score = baselines.pop("model_predictions")
+    scores, metrics = work_path(spark, "scores"), work_path(spark, "metrics")
+    apps = M.tag_windows(features(spark, d), TRAIN_DATE).where(F.col("split") == "production")
+    columns = ["loan_id", "Customer_ID", "snapshot_date", "model_predictions", *baselines]
+    scored = model.calibrated(apps).select(*columns, F.lit(version).alias("model_name"))
+    write_predictions(scored, scores)
+    stored = read_table(spark, scores)
+    arrived = labels(spark, d)
+    MS.refresh(spark, metrics, lambda months: monitor(stored, arrived, None, score, baselines, months=months))
+    return MS.read_metrics(spark, metrics, model=version)

@@ -13,17 +13,17 @@ from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapmart import schemas as S
+from snapmart.operators import search
 from snapmart.operators.filters import complete_cases
 from snapmart.operators.metrics import evaluate
 from snapmart.operators.order_stats import as_value, medians
+from snapmart.sources.scratch import materialise
 
 #: Hash cells of the stratified split; only one cell per label is ever ranked.
 SPLIT_CELLS = 4096
@@ -153,6 +153,11 @@ class Preprocessing:
     def scaled(self, c: str) -> Column:
         return (self.imputed(c) - F.lit(self.mean[c])) / F.lit(self.std[c])
 
+    def of(self, columns: Sequence[str]) -> Preprocessing:
+        """The same for some of the columns."""
+        kept = tuple(c for c in columns if c in self.median)
+        return Preprocessing(kept, self.median, self.mean, self.std)
+
     def apply(self, df: DataFrame) -> DataFrame:
         """Columns replaced by their imputed and scaled values."""
         return df.withColumns({c: self.scaled(c) for c in self.columns})
@@ -248,48 +253,51 @@ def draw_parameters(
 
 @dataclass(frozen=True)
 class SearchResult:
-    model: GBTClassificationModel
     params: dict
-    cv_auc: float
-    trials: list[tuple[dict, float]]
+    cv_auc: float | None
+    trials: DataFrame
 
 
 def random_search(
     train: DataFrame,
+    prep: Preprocessing,
+    sets: Mapping[str, Sequence[str]],
+    n: int,
     key: str = "loan_id",
     label: str = "label",
     space: Mapping[str, Sequence] = S.GBT_SEARCH_SPACE,
     draws: int = S.SEARCH_DRAWS,
     folds: int = S.SEARCH_FOLDS,
     seed: int = S.SEARCH_SEED,
-    parallelism: int = 4,
-    max_bins: int = 32,
-) -> SearchResult:
+    rows: int = search.ROWS,
+) -> dict[str, SearchResult]:
     """Boosted trees by random search with hash folds, scored by area under the curve.
 
-    Fits are Spark jobs over the partitioned frame; ``parallelism`` of them run
-    at once. Persist ``train`` before calling. ``max_bins`` is how finely features
-    are cut before the trees choose among the cuts; areas are exact.
+    All feature sets share the bins, the folds and the draws; see ``search``. ``n`` is the
+    number of train rows. ``trials``: draw, cv_auc, n_held (rows held out over all folds),
+    n_folds, chosen.
     """
-    folded = train.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int"))
-    gbt = GBTClassifier(
-        featuresCol="features", labelCol=label, seed=S.SPLIT_SEED, maxBins=max_bins
-    )
+    values = {c: prep.imputed(c) for c in prep.columns}
+    cuts = search.bin_cuts(train.select([v.alias(c) for c, v in values.items()]), prep.columns)
+    bins = search.fold_bins(train, values, cuts, n, key, label, folds, seed, rows)
     params = draw_parameters(space, draws, seed)
-    maps = [{gbt.getParam(k): v for k, v in p.items()} for p in params]
-    fitted = CrossValidator(
-        estimator=gbt,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(
-            labelCol=label, rawPredictionCol="rawPrediction", numBins=0
-        ),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(folded)
-    scores = list(fitted.avgMetrics)
-    best = max(range(len(scores)), key=scores.__getitem__)
-    return SearchResult(fitted.bestModel, params[best], scores[best], list(zip(params, scores)))
+    trials = materialise(
+        search.best_draws(search.fold_areas(bins, list(prep.columns), sets, params, folds, seed)), "trials"
+    )
+    return {
+        r["feature_set"]: SearchResult(
+            params[r["draw"]], r["cv_auc"],
+            trials.where(F.col("feature_set") == r["feature_set"]).drop("feature_set"),
+        )
+        for r in trials.where("chosen").collect()
+    }
+
+
+def fit_boosted(train: DataFrame, params: Mapping, label: str = "label") -> GBTClassificationModel:
+    """Boosted trees on all rows of ``train`` (label, features)."""
+    return GBTClassifier(
+        featuresCol="features", labelCol=label, seed=S.SPLIT_SEED, maxBins=search.BINS, **params
+    ).fit(train)
 
 
 def compare_candidates(

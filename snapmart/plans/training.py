@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -54,50 +55,74 @@ def train_on(
     version: str,
     draws: int = S.SEARCH_DRAWS,
     space: Mapping[str, Sequence] = S.GBT_SEARCH_SPACE,
-    parallelism: int = 4,
 ) -> Trained:
-    """Fit both candidates on ``split`` = train, choose by oot, calibrate on test.
+    """Fit both candidates on ``split`` = train, choose by oot, calibrate on test."""
+    return compare_feature_sets(data, {version: columns}, draws, space)[version]
 
-    ``data`` needs loan_id, label, split and the feature columns; it is written
-    to the shared scratch folder once, since every fit reads it again.
+
+def compare_feature_sets(
+    data: DataFrame, sets: Mapping[str, Sequence[str]], draws: int = S.SEARCH_DRAWS,
+    space: Mapping[str, Sequence] = S.GBT_SEARCH_SPACE, parallelism: int = 4,
+) -> dict[str, Trained]:
+    """The same training for several column sets, which share rows, bins, folds and draws.
+
+    ``data`` needs loan_id, label, split and the feature columns; it is written to the
+    shared scratch folder once, since every fit reads it again. One search covers all
+    sets; the last fits of the sets, which are Spark jobs over all train rows, run
+    ``parallelism`` at a time.
     """
     kept = materialise(data, "training")
     train = kept.where(F.col("split") == "train")
-    prep = M.fit_preprocessing(train, columns)
+    n = train.count()
+    every = [c for c in kept.columns if any(c in columns for columns in sets.values())]
+    prep = M.fit_preprocessing(train, every)
+    found = M.random_search(train, prep, sets, n, draws=draws, space=space)
+    with ThreadPoolExecutor(parallelism) as pool:
+        jobs = {
+            name: pool.submit(_finish, kept, n, prep.of(columns), name, found[name])
+            for name, columns in sets.items()
+        }
+        return {name: job.result() for name, job in jobs.items()}
+
+
+def _finish(kept: DataFrame, n: int, prep: M.Preprocessing, version: str, found: M.SearchResult) -> Trained:
+    """Both candidates on all train rows, scored once; champion, calibration, baselines."""
     stages = prep.stages()
     prepare = PipelineModel(stages=stages)
     vectors = materialise(
-        prepare.transform(train).select("loan_id", "label", "features"), "vectors"
+        prepare.transform(kept.where(F.col("split") == "train")).select("loan_id", "label", "features"), "vectors"
     )
-    logistic = M.fit_logistic(vectors, vectors.count())
-    search = M.random_search(vectors, space=space, draws=draws, parallelism=parallelism)
-    candidates = {"logistic_regression": logistic, "boosted_trees": search.model}
-
-    def scored(model) -> DataFrame:
-        out = model.transform(prepare.transform(kept))
-        return out.select("split", "label", M.score_of(model).alias("model_predictions"))
-
-    scores = {n: materialise(scored(m), "scores") for n, m in candidates.items()}
-    results = M.compare_candidates(scores)
+    candidates = {
+        "logistic_regression": M.fit_logistic(vectors, n),
+        "boosted_trees": M.fit_boosted(vectors, found.params),
+    }
+    scored = kept
+    for name, model in candidates.items():
+        pipeline = PipelineModel(stages=[*stages, model])
+        scored = pipeline.transform(scored).select(*scored.columns, M.score_of(model).alias(f"score_{name}"))
+    scored = materialise(scored, "scored")
+    scores = {
+        name: scored.select("split", "label", F.col(f"score_{name}").alias("model_predictions")) for name in candidates
+    }
+    results = materialise(M.compare_candidates(scores), "results")
     best = M.choose_champion(results)
     champion = M.CreditModel(
         version,
         best,
         prep.columns,
         PipelineModel(stages=[*stages, candidates[best]]),
-        M.Calibration(1.0, 0.0),
-    )
-    champion.calibration = M.fit_platt(
-        scores[best].where(F.col("split") == "test"), "model_predictions"
+        M.fit_platt(scores[best].where(F.col("split") == "test"), "model_predictions"),
     )
-    importance = M.importances(data, candidates[best], prep.columns)
+    importance = M.importances(kept, candidates[best], prep.columns)
     champion.top_features = [
         r["feature"]
         for r in importance.orderBy(F.col("importance").desc(), F.col("feature").desc()).limit(5).collect()
     ]
-    final = materialise(champion.calibrated(kept), "final")
-    in_train = final.where(F.col("split") == "train")
-    baselines = fit_baselines(in_train, ["model_predictions", *champion.top_features])
+    raw = F.col(f"score_{best}")
+    final = scored.withColumns({"raw_score": raw, "model_predictions": champion.calibration.apply(raw)})
+    baselines = fit_baselines(
+        final.where(F.col("split") == "train"), ["model_predictions", *champion.top_features]
+    )
     return Trained(
         model=champion,
         results=results,
@@ -108,19 +133,11 @@ def train_on(
         importance=importance,
         score_baseline=baselines.pop("model_predictions"),
         feature_baselines=baselines,
-        params=search.params if best == "boosted_trees" else {"regParam": "1/n"},
+        params=found.params if best == "boosted_trees" else {"regParam": "1/n"},
         data=kept,
     )
 
 
-def compare_feature_sets(
-    data: DataFrame, sets: Mapping[str, Sequence[str]], draws: int = S.SEARCH_DRAWS,
-    space: Mapping[str, Sequence] = S.GBT_SEARCH_SPACE,
-) -> dict[str, Trained]:
-    """The same training for several column sets."""
-    return {name: train_on(data, cols, name, draws, space) for name, cols in sets.items()}
-
-
 def resilience(trained: Mapping[str, Trained], period: DataFrame) -> DataFrame:
     """Each feature set's champion over a later period: area, score gap, recall."""
     long = None
@@ -136,6 +153,9 @@ def resilience(trained: Mapping[str, Trained], period: DataFrame) -> DataFrame:
     return evaluate(long, by=["feature_set", "n_features"]).select(
         "feature_set",
         "n_features",
+        "n_labels",
+        F.col("bad_rate_actual").alias("bad_rate"),
+        F.col("bad_rate_predicted").alias("mean_prediction"),
         F.col("auc").alias("auc_period"),
         F.col("bad_rate_gap").alias("pd_gap_period"),
         F.col("recall").alias("recall_period"),

@@ -12,6 +12,7 @@ import __spark_entry__  # noqa: F401
 from snapmart.catalogue import models
 from snapmart.catalogue.registry import QUERIES
 from snapmart.operators import modeling as M
+from snapmart.operators import search
 from snapmart.operators.metrics import evaluate
 from snapmart.plans import training as P
 from snapmart.schemas import GBT_SEARCH_SPACE
@@ -164,15 +165,11 @@ def test_training_queries_search_the_full_grid(spark, small, monkeypatch, name):
     class Searched(Exception):
         pass
 
-    class Recorder:
-        def __init__(self, estimatorParamMaps, numFolds, **_):
-            self.maps, self.folds = estimatorParamMaps, numFolds
+    def record(bins, columns, sets, params, folds, seed):
+        raise Searched(len(params), folds, {frozenset(p) for p in params})
 
-        def fit(self, _):
-            names = {frozenset(p.name for p in m) for m in self.maps}
-            raise Searched(len(self.maps), self.folds, names)
-
-    monkeypatch.setattr(M, "CrossValidator", Recorder)
+    monkeypatch.setattr(models, "_FITTED", {})
+    monkeypatch.setattr(search, "fold_areas", record)
     with pytest.raises(Searched) as found:
         QUERIES[name](spark, small)
     assert found.value.args == (50, 3, {frozenset(GBT_SEARCH_SPACE)})
@@ -201,6 +198,7 @@ def test_training_queries_take_labels_known_at_the_train_date(spark, small, monk
         assert dates.where(F.months_between("snapshot_date", "day") != 6).count() == 0 < dates.count()
         raise Reached(train_date)
 
+    monkeypatch.setattr(models, "_FITTED", {})
     monkeypatch.setattr(P, "training_frame", frame)
     with pytest.raises(Reached, match=models.TRAIN_DATE):
         QUERIES[name](spark, small)
@@ -214,7 +212,87 @@ def test_resilience_compares_four_sets_over_an_outage(spark, small, monkeypatch)
     period = models.outage(spark, small)
     row = period.agg(F.min("snapshot_date"), F.max("snapshot_date"), *[F.count(c) for c in models.CLICKS]).first()
     assert tuple(row) == (dt.date(1999, 7, 1), dt.date(1999, 12, 1), *[0] * len(clicks))
-    monkeypatch.setattr(M, "random_search", lambda v, **_: draw(v, draws=1, folds=2, space=SPACE))
-    got = {r["feature_set"]: r for r in QUERIES["q_resilience"](spark, small).collect()}
+    monkeypatch.setattr(models, "_FITTED", {})
+    monkeypatch.setattr(M, "random_search", lambda *a, **_: draw(*a, draws=1, folds=2, space=SPACE))
+    got = {r["feature_set"]: r for r in models.resilience(spark, small).collect()}
     assert {k: r["n_features"] for k, r in got.items()} == {k: len(c) for k, c in sets.items()}
     assert all(0 < r["auc_period"] < 1 and r["pd_gap_period"] is not None for r in got.values())
+    # The other comparison reports on the same trainings.
+    fitted = dict(models._FITTED)
+    compared = {r["feature_set"]: r for r in models.feature_sets(spark, small).collect()}
+    assert models._FITTED == fitted and set(compared) == set(sets)
+    assert all(r["auc"] == r["best"] for r in compared.values())
+
+
+# ------------------------------------------------------------------------- search
+
+
+def plain_tree(x, target, rows, depth):
+    """Least-variance tree by trying every cut; no samples."""
+    if depth == 0 or len(rows) < 2:
+        return {i: target[rows].mean() for i in rows}, lambda v: target[rows].mean()
+    best = (1e-12, None)
+    for f in range(x.shape[1]):
+        for c in sorted(set(x[rows, f]))[:-1]:
+            low, high = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+            gain = target[rows].var() - sum(len(p) * target[p].var() for p in (low, high)) / len(rows)
+            if gain > best[0] + 1e-12:
+                best = (gain, (f, c))
+    if best[1] is None:
+        return {i: target[rows].mean() for i in rows}, lambda v: target[rows].mean()
+    f, c = best[1]
+    (a, low), (b, high) = (
+        plain_tree(x, target, rows[m], depth - 1) for m in (x[rows, f] <= c, x[rows, f] > c)
+    )
+    return {**a, **b}, lambda v: low(v) if v[f] <= c else high(v)
+
+
+def test_shared_bin_trees_equal_plain_ones():
+    r = np.random.default_rng(2)
+    params = {"maxIter": 4, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0",
+              "minInfoGain": 0.0, "minInstancesPerNode": 1}
+    x = r.integers(0, 9, (120, 3)).astype(np.uint8)
+    y = np.where(x[:, 0] + r.normal(0, 3, 120) > 4, 1, -1)
+    fitted = np.arange(120) % 3 != 0
+    margin = np.zeros(120)
+    for step in range(4):
+        target = y.astype(float) if step == 0 else 4 * y / (1 + np.exp(2 * y * margin))
+        _, predict = plain_tree(x, target, np.flatnonzero(fitted), 2)
+        margin += (1.0 if step == 0 else 0.1) * np.array([predict(v) for v in x])
+    got = search.boosted_scores(x, y, fitted, params, [1])
+    assert np.allclose(got, margin)
+    # A leaf's least size and least gain hold; a split that gains nothing is none.
+    assert len(set(search.boosted_scores(x, y, fitted, {**params, "minInfoGain": 9.0}, [1]))) == 1
+    assert len(set(search.boosted_scores(x, y, fitted, {**params, "minInstancesPerNode": 41}, [1]))) == 1
+
+
+def test_area_counts_ties_half():
+    score, positive = np.array([1, 2, 2, 3, 0]), np.array([True, True, False, False, False])
+    assert search.area(score, positive) == pytest.approx((1 + 1.5) / 6)
+    assert np.isnan(search.area(score, positive | True))
+
+
+def test_search_shares_bins_and_covers_every_row(spark):
+    r = random.Random(8)
+    rows = [(f"l{i}", r.random(), None if i % 4 == 0 else r.random(), i % 3) for i in range(900)]
+    rows = [(k, a, b, c, int(r.random() < a)) for k, a, b, c in rows]
+    train = spark.createDataFrame(rows, "loan_id string, a double, b double, c int, label int")
+    prep = M.fit_preprocessing(train, ["a", "b", "c"])
+    sets = {"all": ["a", "b", "c"], "noise": ["b", "c"]}
+    found = M.random_search(train, prep, sets, 900, draws=3, folds=3)
+    assert set(found) == set(sets)
+    for name, result in found.items():
+        trials = result.trials.collect()
+        assert [t["n_held"] for t in trials] == [900] * 3 and [t["n_folds"] for t in trials] == [3] * 3
+        assert sum(t["chosen"] for t in trials) == 1
+        assert max(t["cv_auc"] for t in trials) == result.cv_auc == next(t["cv_auc"] for t in trials if t["chosen"])
+    assert found["all"].cv_auc > 0.7 > found["noise"].cv_auc
+    again = M.random_search(train.repartition(3), prep, sets, 900, draws=3, folds=3)
+    assert {k: v.cv_auc for k, v in again.items()} == pytest.approx({k: v.cv_auc for k, v in found.items()}, abs=0.02)
+
+
+def test_the_search_sample_is_bounded(spark):
+    train = spark.range(20_000).select(F.col("id").cast("string").alias("loan_id"), (F.col("id") % 2).alias("label"), F.col("id").alias("x"))
+    bins = search.fold_bins(train, {"x": F.col("x").cast("double")}, [[5000.0, 10000.0]], 20_000, rows=1_000)
+    held = bins.groupBy("bins").count().collect()
+    assert sorted(r["bins"] for r in held) == [[0], [1], [2]] and 800 < sum(r["count"] for r in held) < 1_200
