@@ -11,6 +11,9 @@ from snapmart.operators import filters as P
 from snapmart.operators import metrics as K
 from snapmart.operators import modeling as M
 from snapmart.operators import monitoring as G
+from snapmart.plans import metric_store as MS
+from snapmart.sources import artefacts
+from snapmart.sources.scratch import new_path
 
 
 def _round(df, digits, *columns):
@@ -351,8 +354,9 @@ _MONITOR = f"""
 """
 
 
-def _monitoring(spark, d, months=None):
-    scored = table(spark, d, "orders").select(
+def _scored(spark, d):
+    """Predictions with their feature column, by month of order."""
+    return table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("loan_id"),
         F.col("o_custkey").cast("string").alias("Customer_ID"),
         F.trunc(F.col("o_orderdate").cast("date"), "month").alias("snapshot_date"),
@@ -360,6 +364,34 @@ def _monitoring(spark, d, months=None):
         (F.col("o_totalprice") / 700001).alias("model_predictions"),
         F.when(F.col("o_orderkey") % 19 != 0, (F.col("o_custkey") % 50).cast("double")).alias("customer_code"),
     )
+
+
+#: What this session has stored, by (application, table folder, what): artefacts and tables that several queries read.
+_STORED: dict = {}
+
+
+def _stored(spark, d, what, write):
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _STORED:
+        path = new_path(spark, what)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _baselines(spark, d):
+    """Drift baselines of the months before monitoring, fitted once and loaded as artefacts."""
+
+    def fit(root):
+        base = _scored(spark, d).where(F.col("snapshot_date") < F.lit("1996-01-01").cast("date"))
+        found = K.fit_baselines(base, ["model_predictions", "customer_code"])
+        artefacts.save_baselines(spark, "price_model", found, root)
+
+    found = artefacts.load_baselines(spark, _stored(spark, d, "price-model", fit), "price_model")
+    return found["model_predictions"], {"customer_code": found["customer_code"]}
+
+
+def _monitoring(spark, d, months=None, predictions=None):
     labels = (
         table(spark, d, "lineitem")
         .groupBy(
@@ -368,14 +400,14 @@ def _monitoring(spark, d, months=None):
         )
         .agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"))
     )
-    base = scored.where(F.col("snapshot_date") < F.lit("1996-01-01").cast("date"))
-    baselines = K.fit_baselines(base, ["model_predictions", "customer_code"])
-    predictions = scored.drop("customer_code")
-    features = scored.select("snapshot_date", "customer_code")
-    return G.monitor(
-        predictions, labels, features, baselines["model_predictions"],
-        {"customer_code": baselines["customer_code"]}, months=months,
-    )
+    scored = _scored(spark, d) if predictions is None else predictions
+    return G.monitor(scored, labels, None, *_baselines(spark, d), months=months)
+
+
+def _metrics(spark, d, **which):
+    """The stored monitoring table of all months."""
+    path = _stored(spark, d, "monitoring", lambda p: MS.refresh(spark, p, lambda m: _monitoring(spark, d, m)))
+    return MS.read_metrics(spark, path, **which)
 
 
 @query(
@@ -409,6 +441,43 @@ def monitoring_backfill(spark, d):
     return _round(_monitoring(spark, d, ("1997-01-01", "1998-12-01")), 9, "metric_value")
 
 
+@query(
+    "q_monitoring_sink",
+    f"WITH {_MONITOR} SELECT * REPLACE (round(metric_value, 9) AS metric_value) FROM monitoring",
+)
+def monitoring_sink(spark, d):
+    """A stored table: months up to a date, one of them from faulty predictions; it is redone; later months follow."""
+    path = new_path(spark, "metrics")
+    right = _scored(spark, d)
+    may = F.col("snapshot_date") == F.lit("1997-05-01").cast("date")
+    faulty = right.where(~may | (F.col("model_predictions") < 0.2))
+    MS.refresh(spark, path, lambda m: _monitoring(spark, d, m, faulty), ("1900-01-01", "1998-12-01"))
+    # The month's stability, and its performance six months on.
+    MS.refresh(spark, path, lambda m: _monitoring(spark, d, m, right), redo=["1997-05-01", "1997-11-01"])
+    MS.refresh(spark, path, lambda m: _monitoring(spark, d, m, right))
+    columns = _monitoring(spark, d).columns
+    return _round(MS.read_metrics(spark, path).select(*columns), 9, "metric_value")
+
+
+@query(
+    "q_stored_baselines",
+    """SELECT 'price_model' AS model_name, unnest(['model_predictions', 'customer_code']) AS "column", TRUE AS same""",
+)
+def stored_baselines(spark, d):
+    """Baselines that are loaded are those that were fitted."""
+    score, features = _baselines(spark, d)
+    loaded = {"model_predictions": score, **features}
+    base = _scored(spark, d).where(F.col("snapshot_date") < F.lit("1996-01-01").cast("date"))
+    fitted = K.fit_baselines(base, list(loaded))
+    both = artefacts.baselines_frame(spark, "price_model", loaded).withColumnRenamed("cuts", "c").withColumnRenamed("shares", "s")
+    return both.withColumnRenamed("value_bins", "v").join(
+        artefacts.baselines_frame(spark, "price_model", fitted), ["model_name", "column"], "full"
+    ).select(
+        "model_name", "column",
+        (F.col("c").eqNullSafe(F.col("cuts")) & F.col("s").eqNullSafe(F.col("shares")) & F.col("v").eqNullSafe(F.col("value_bins"))).alias("same"),
+    )
+
+
 @query(
     "q_series",
     f"""
@@ -417,7 +486,7 @@ def monitoring_backfill(spark, d):
     """,
 )
 def series(spark, d):
-    found = G.metric_series(_monitoring(spark, d), "performance", "auc", as_of="1999-06-01")
+    found = G.metric_series(_metrics(spark, d, as_of="1999-06-01"), "performance", "auc", as_of="1999-06-01")
     return _round(found, 9, "metric_value")
 
 
@@ -430,7 +499,7 @@ def series(spark, d):
     """,
 )
 def csi_series(spark, d):
-    return _round(G.csi_series(_monitoring(spark, d)), 9, "csi")
+    return _round(G.csi_series(_metrics(spark, d)), 9, "csi")
 
 
 @query(
@@ -445,7 +514,7 @@ def csi_series(spark, d):
 )
 def metric_pivot(spark, d):
     names = ["auc", "psi_score", "bad_rate_gap"]
-    return _round(G.metric_pivot(_monitoring(spark, d), names), 9, *names)
+    return _round(G.metric_pivot(_metrics(spark, d, model="price_model"), names), 9, *names)
 
 
 @query(

@@ -168,19 +168,30 @@ def load_audit(spark, d):
     )
 
 
+_ORDER_TYPES = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+_EVENT_TYPES = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 @query(
     "q_inspect",
-    "SELECT 'orders' AS \"table\", count(*) AS n_rows, 6 AS n_columns FROM orders "
-    "UNION ALL SELECT 'events', count(*), 6 FROM events",
+    f"""
+    SELECT 'orders' AS "table", count(*) AS n_rows, 6 AS n_columns, '{_ORDER_TYPES}' AS "schema" FROM orders
+    UNION ALL SELECT 'events', count(*), 6, '{_EVENT_TYPES}' FROM events
+    """,
 )
 def inspect(spark, d):
     out = None
     for name in ("orders", "events"):
-        part = S.inspect(table(spark, d, name)).select(F.lit(name).alias("table"), "n_rows", "n_columns")
+        part = S.inspect(table(spark, d, name)).select(F.lit(name).alias("table"), "n_rows", "n_columns", "schema")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("q_first_rows", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7")
+def first_rows(spark, d):
+    return S.first_rows(table(spark, d, "orders"), 7, [F.col("o_totalprice").desc(), "o_orderkey"])
+
+
 @query(
     "q_dated_files",
     f"""
@@ -199,7 +210,20 @@ def dated_files(spark, d):
     return S.read_dated_files(spark, f"{root}/*.parquet", "1997-12-31")
 
 
-@query("q_schema_drift")
+@query(
+    "q_schema_drift",
+    """
+    WITH m AS (SELECT count(DISTINCT date_trunc('month', CAST(o_orderdate AS DATE))) AS n FROM orders)
+    SELECT 'o_orderstatus' AS "column", 'string' AS types, n AS n_parts, 1 AS n_mixed FROM m
+    UNION ALL SELECT 'o_totalprice', 'decimal(15,2),double', n, 1 FROM m
+    """,
+)
+def schema_drift_stated(spark, d):
+    return schema_drift(spark, d).select(
+        "column", F.array_join("types", ",").alias("types"), "n_parts", F.col("n_mixed").cast("int").alias("n_mixed")
+    )
+
+
 def schema_drift(spark, d):
     """Differences between and within the months of a stored table; files of one month differ."""
     path = work_path(spark, "months")
@@ -208,7 +232,7 @@ def schema_drift(spark, d):
     later = orders.where(F.col("snapshot_date") == "1997-03-01").drop("snapshot_date", "o_orderstatus")
     later = later.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)"))
     later.write.mode("append").parquet(f"{path}/snapshot_date=1997-03-01")
-    return S.schema_drift(S.schema_report(spark, S.partition_paths(spark, path)))
+    return S.schema_drift(S.schema_report(S.data_files(spark, path)))
 
 
 @query(

@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.functions.tails import chi2_p_value, t_p_value
+from snapmart.operators import comoments
 from snapmart.operators.filters import all_present, complete_cases
 from snapmart.operators.order_stats import as_value
 from snapmart.operators.profiling import per_column
 
-#: Pairs per aggregate; more pairs are split over several aggregates to keep the
-#: generated code of one stage small.
-PAIRS_PER_PASS = 150
-
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of two columns' value pairs, NULLs excluded."""
@@ -169,26 +165,24 @@ def association_ranking(
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every column pair (upper triangle), pairwise complete."""
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        empty = "feature_1 string, feature_2 string, correlation double"
-        return df.sparkSession.createDataFrame([], empty)
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = per_column(
-            df,
-            [
-                F.struct(
-                    F.lit(a).alias("feature_1"),
-                    F.lit(b).alias("feature_2"),
-                    pearson(as_value(a), as_value(b)).alias("correlation"),
-                )
-                for a, b in pairs[start : start + PAIRS_PER_PASS]
-            ],
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Pearson r of every column pair (upper triangle), pairwise complete, in one scan.
+
+    NULL where a pair shares no rows, one of its columns is constant on them, or infinite.
+    """
+    schema = "feature_1 string, feature_2 string, correlation double"
+    names = list(columns)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    states = comoments.states(df.select(*[as_value(c).alias(c) for c in names]), names)
+
+    def ratios(state: comoments.State, i: int) -> dict[str, list]:
+        r, at = state.correlations(), range(i + 1, len(names))
+        return {
+            "feature_1": [names[i] for _ in at], "feature_2": [names[j] for j in at],
+            "correlation": [r[j] for j in at],
+        }
+
+    return comoments.finished(states, ratios, schema)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

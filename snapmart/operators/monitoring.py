@@ -63,18 +63,32 @@ def to_long(df: DataFrame, keys: Sequence[str], names: Mapping[str, str] | Seque
 
 def stability_rows(
     predictions: DataFrame,
-    features: DataFrame,
+    features: DataFrame | None,
     score_baseline: Baseline,
     feature_baselines: Mapping[str, Baseline],
 ) -> DataFrame:
-    """Number of predictions, mean score, score and feature drift by month and model."""
+    """Number of predictions, mean score, score and feature drift by month and model.
+
+    With ``features`` None the feature columns are columns of ``predictions``, and score
+    and features come out of one scan.
+    """
     keys = ["model_name", "snapshot_date"]
-    score = {"model_predictions": score_baseline}
-    volume = stability_index(
-        predictions, score, by=keys, also={"mean_pd": F.avg("model_predictions")}
+    columns = {"model_predictions": score_baseline}
+    if features is None:
+        columns |= feature_baselines
+    found = stability_index(predictions, columns, by=keys, also={"mean_pd": F.avg("model_predictions")})
+
+    def metric(name: Column | str, value: Column) -> Column:
+        name = F.lit(name) if isinstance(name, str) else name
+        return F.struct(name.alias("metric_name"), value.cast("double").alias("metric_value"))
+
+    of_score = F.array(
+        metric("n_predictions", F.col("n")), metric("mean_pd", F.col("mean_pd")), metric("psi_score", F.col("psi"))
     )
-    rows = to_long(volume, keys, {"n": "n_predictions", "mean_pd": "mean_pd", "psi": "psi_score"})
-    if feature_baselines:
+    of_feature = F.array(metric(F.concat(F.lit("csi_"), "column"), F.col("psi")))
+    is_score = F.col("column") == "model_predictions"
+    rows = found.select(*keys, F.inline(F.when(is_score, of_score).otherwise(of_feature)))
+    if features is not None and feature_baselines:
         # Feature drift depends on the month only; it is attached to the models
         # that scored the month (months x models rows).
         csi = stability_index(features, feature_baselines, by=["snapshot_date"]).select(
@@ -82,7 +96,7 @@ def stability_rows(
             F.concat(F.lit("csi_"), "column").alias("metric_name"),
             F.col("psi").alias("metric_value"),
         )
-        scored = volume.select(*keys)
+        scored = found.select(*keys)
         rows = rows.unionByName(scored.join(csi, "snapshot_date").select(*rows.columns))
     return rows.select(
         "model_name",
@@ -94,17 +108,31 @@ def stability_rows(
     )
 
 
+def work_cells(score_baseline: Baseline, per_bin: int = 50) -> list[float]:
+    """Cell edges for ranking scores, between the stored cuts: they spread work, not results."""
+    edges = [0.0, *score_baseline.cuts, 1.0]
+    return sorted({
+        a + (b - a) * k / per_bin for a, b in zip(edges, edges[1:]) for k in range(per_bin)
+    } - {0.0})
+
+
 def performance_rows(
     predictions: DataFrame,
     labels: DataFrame,
     delay: int = S.LABEL_DELAY_MONTHS,
     cutoff: float = S.SCORE_CUTOFF,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Performance of month m, dated at month m + delay when its labels arrive."""
+    """Performance of month m, dated at month m + delay when its labels arrive.
+
+    ``cuts`` are cell edges for the scores; without them the predictions are read once
+    more to find some.
+    """
     keys = ["model_name", "snapshot_date"]
     known = delayed_labels(predictions, labels, delay)
-    # Cell edges come from the predictions alone, so the join runs once.
-    cuts = value_cuts(predictions, ["model_predictions"])["model_predictions"]
+    if cuts is None:
+        # Cell edges come from the predictions alone, so the join runs once.
+        cuts = value_cuts(predictions, ["model_predictions"])["model_predictions"]
     metrics = evaluate(known, by=keys, cutoff=cutoff, cuts=cuts)
     return to_long(metrics, keys, PERFORMANCE_METRICS).select(
         "model_name",
@@ -119,7 +147,7 @@ def performance_rows(
 def monitor(
     predictions: DataFrame,
     labels: DataFrame,
-    features: DataFrame,
+    features: DataFrame | None,
     score_baseline: Baseline,
     feature_baselines: Mapping[str, Baseline],
     delay: int = S.LABEL_DELAY_MONTHS,
@@ -128,18 +156,21 @@ def monitor(
 ) -> DataFrame:
     """Long monitoring table; ``months`` limits it to a closed monitoring range.
 
+    Baselines, as stored with the model, are all that is needed to plan this: no job runs
+    before the result is asked for. With ``features`` None the predictions carry the
+    feature columns, and are read once for stability and once for performance.
     The range is applied to the inputs: stability reads the predictions of those
     months, performance the predictions whose labels arrive in them.
     """
     recent, due = predictions, predictions
     if months:
         recent = between_dates(predictions, *months)
-        features = between_dates(features, *months)
+        features = None if features is None else between_dates(features, *months)
         labels = between_dates(labels, *months)
         first, last = [F.add_months(as_date(m), -delay) for m in months]
         due = between_dates(predictions, first, last)
     rows = stability_rows(recent, features, score_baseline, feature_baselines).unionByName(
-        performance_rows(due, labels, delay, cutoff)
+        performance_rows(due, labels, delay, cutoff, work_cells(score_baseline))
     )
     return with_status(rows)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapmart.operators.filters import as_date, at_snapshot
-from snapmart.sources.tables import replace_partition, write_snapshots
+from snapmart.sources.tables import read_table, replace_partition, write_snapshots
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -38,9 +38,21 @@ def month_spine_of(df: DataFrame, column: str, name: str = "snapshot_date") -> D
     return bounds.select(F.explode(month_sequence(F.col("a"), F.col("b"))).alias(name))
 
 
-def backfill(source: DataFrame, transform: Transform, path: str) -> None:
-    """A whole layer in one job: one scan, one partitioned write."""
-    write_snapshots(transform(source), path)
+def backfill(source: DataFrame, transform: Transform, path: str, key: str = "snapshot_date") -> None:
+    """A whole layer in one job: one scan, one partitioned write.
+
+    Months between the first and the last of the source that the result has no rows for
+    get an empty folder, as they were run like the others.
+    """
+    result = transform(source)
+    write_snapshots(result, path, (key,))
+    if key not in source.columns:
+        return
+    month = F.trunc(F.col(key).cast("date"), "month").alias(key)
+    written = read_table(source.sparkSession, path).select(month).distinct()
+    missing = month_spine_of(source, key).join(written, key, "left_anti")
+    for row in missing.collect():  # calendar months
+        replace_partition(result.where(F.lit(False)), path, {key: row[key]})
 
 
 def rerun_month(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,9 +109,9 @@ def load_audit(
     return counts.groupBy("table", key).agg(F.sum("n").alias("n"))
 
 
-def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """Any ``n`` rows, as they are read."""
-    return df.limit(n)
+def first_rows(df: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows by some columns; any, as they are read, without."""
+    return df.orderBy(*by).limit(n) if by else df.limit(n)
 
 
 def inspect(df: DataFrame) -> DataFrame:
@@ -124,41 +124,59 @@ def inspect(df: DataFrame) -> DataFrame:
     )
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """All data files below a folder; only listed, not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return sorted(r["path"] for r in reader.load(path).select("path").collect())
+def data_files(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    """All data files below a folder, listed and not read: (part, file).
+
+    ``part`` names them; otherwise it is the ``key=value`` part of their folder, or the
+    folder where it has none.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    keys = F.regexp_extract(folder, r"((?:[^/=]+=[^/]*/)*[^/=]+=[^/]*)$", 1)
+    name = F.when(keys == "", folder).otherwise(keys) if part is None else F.lit(part)
+    return listed.select(name.alias("part"), F.col("path").alias("file"))
+
+
+#: Where Spark's writer leaves its own schema in a parquet footer.
+_SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
 
 
-def partition_paths(spark: SparkSession, path: str) -> dict[str, str]:
-    """Folders of a partitioned table that hold files, by their ``key=value`` parts."""
-    folders = sorted({f.rsplit("/", 1)[0] for f in _files(spark, path)})
-    return {re.search(r"(?:[^/=]+=[^/]*/?)*$", f).group() or f: f for f in folders}
+def _columns_of(file: str) -> list[tuple[str, str]]:
+    """Columns and Spark types by a parquet file's footer."""
+    from pyarrow import fs, parquet
+    from pyspark.sql.pandas.types import from_arrow_schema
 
+    local = re.match(r"(?:file:/+)?(?=/)|file:/+", file)
+    if local:
+        system, path = None, "/" + file[local.end():].lstrip("/")
+    else:
+        system, path = fs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", file), safe=":/@%"))
+    arrow = parquet.read_schema(path, filesystem=system)
+    own = (arrow.metadata or {}).get(_SPARK_SCHEMA)
+    schema = T.StructType.fromJson(json.loads(own)) if own else from_arrow_schema(arrow)
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
-def schema_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Column types of each partition by distinct schema: (part, schema, n_files, column, type).
 
-    The footer of every file is read, by one small job a file, several at a time.
-    ``schema`` numbers the distinct schemas of a part from 1, the most frequent first.
+def schema_report(files: DataFrame) -> DataFrame:
+    """Column types of each part by distinct schema: (part, schema, n_files, column, type).
+
+    ``files`` (part, file) are dealt to tasks, which read their footers; what is left of
+    a file is its list of columns, counted per part. ``schema`` numbers the distinct
+    schemas of a part from 1, the most frequent first.
     """
+    kind = "part string, columns array<struct<column:string,type:string>>"
+
+    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [[{"column": c, "type": t} for c, t in _columns_of(f)] for f in batch["file"]]
+            yield pd.DataFrame({"part": batch["part"], "columns": found})
 
-    def footer(file: str) -> tuple:
-        literal = re.sub(r"([\\*?\[\]{}])", r"\\\1", file)
-        return tuple((f.name, f.dataType.simpleString()) for f in spark.read.parquet(literal).schema.fields)
-
-    rows = []
-    with ThreadPoolExecutor(8) as pool:
-        listed = dict(zip(paths, pool.map(lambda p: _files(spark, p), paths.values())))
-        for part, files in listed.items():
-            if not files:
-                raise ValueError(f"no files in {paths[part]}")
-        jobs = {part: [pool.submit(footer, f) for f in files] for part, files in listed.items()}
-        for part, found in jobs.items():
-            counted = Counter(job.result() for job in found)
-            for k, (schema, n) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0])), 1):
-                rows += [(part, k, n, name, kind) for name, kind in schema]
-    return spark.createDataFrame(rows, "part string, schema int, n_files long, column string, type string")
+    counted = (
+        files.repartition("file").mapInPandas(footers, kind)
+        .groupBy("part", "columns").agg(F.count(F.lit(1)).alias("n_files"))
+    )
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("n_files").desc(), F.to_json("columns")))
+    return counted.withColumn("schema", rank).select("part", "schema", "n_files", F.inline("columns"))
 
 
 def schema_drift(report: DataFrame) -> DataFrame:

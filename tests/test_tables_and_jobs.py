@@ -1,6 +1,7 @@
 """Sources, writers, month jobs and the catalogue contract."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from snapmart.plans import jobs as T
 from snapmart.schemas import raw_schema
+from snapmart.plans import metric_store as MS
 from snapmart.sources import scratch
 from snapmart.sources import tables as S
 
@@ -75,9 +77,10 @@ def test_schema_report_and_drift(spark):
     root = scratch.new_path(spark, "schema")
     months_frame(spark).write.parquet(f"{root}/a")
     months_frame(spark).withColumn("x", F.col("x").cast("int")).withColumn("y", F.lit(1)).write.parquet(f"{root}/b")
-    drift = S.schema_drift(S.schema_report(spark, {"a": f"{root}/a", "b": f"{root}/b"}))
+    a, b = (S.data_files(spark, f"{root}/{x}", x) for x in "ab")
+    drift = S.schema_drift(S.schema_report(a.union(b)))
     assert {r["column"]: r["types"] for r in drift.collect()} == {"x": ["double", "int"], "y": ["int"]}
-    assert S.schema_drift(S.schema_report(spark, {"a": f"{root}/a", "a2": f"{root}/a"})).count() == 0
+    assert S.schema_drift(S.schema_report(a.union(S.data_files(spark, f"{root}/a", "a2")))).count() == 0
 
 
 def test_gates(spark):
@@ -151,17 +154,81 @@ def test_schema_drift_within_a_partition(spark):
     folder = f"{path}/snapshot_date=2024-02-01"
     spark.createDataFrame([("l9", 1)], "loan_id string, x int").write.mode("append").parquet(folder)
     spark.createDataFrame([("l9",)], "loan_id string").write.mode("append").parquet(folder)
-    parts = S.partition_paths(spark, path)
-    assert sorted(parts) == [f"snapshot_date=2024-0{k}-01" for k in (1, 2, 3)]
-    report = S.schema_report(spark, parts)
+    files = S.data_files(spark, path)
+    assert sorted({r["part"] for r in files.collect()}) == [f"snapshot_date=2024-0{k}-01" for k in (1, 2, 3)]
+    report = S.schema_report(files)
     got = {(r["part"][-5:], r["schema"]) for r in report.collect()}
     assert got == {("01-01", 1), ("02-01", 1), ("02-01", 2), ("02-01", 3), ("03-01", 1)}
     drift = S.schema_drift(report).collect()
     assert [(r["column"], r["types"], r["n_parts"], r["n_mixed"]) for r in drift] == [("x", ["double", "int"], 3, 1)]
-    assert S.schema_drift(S.schema_report(spark, {"one": folder})).count() == 1
+    assert S.schema_drift(S.schema_report(S.data_files(spark, folder, "one"))).count() == 1
 
 
 def test_schema_drift_query_reads_the_months(spark, small):
-    got = {r["column"]: (r["types"], r["n_mixed"]) for r in entry.queries()["q_schema_drift"](spark, small).collect()}
+    got = {r["column"]: (r["types"].split(","), r["n_mixed"]) for r in entry.queries()["q_schema_drift"](spark, small).collect()}
     assert set(got) == {"o_totalprice", "o_orderstatus"}
-    assert got["o_totalprice"] == (["decimal(15,2)", "double"], 1) and got["o_orderstatus"][1] == 1
+    assert got["o_totalprice"] == (["decimal(15", "2)", "double"], 1) and got["o_orderstatus"][1] == 1
+
+
+def test_footers_are_read_by_tasks(spark, monkeypatch):
+    """Files of other writers, odd folder names, and no job of the driver's per file."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = scratch.new_path(spark, "foot ers")
+    spark.createDataFrame([(1, "x")], "a int, b string").write.parquet(f"{root}/k=1 %2/")
+    os.makedirs(f"{root}/k=2")
+    pq.write_table(pa.table({"a": pa.array([1], pa.int64())}), f"{root}/k=2/other.parquet")
+    report = S.schema_report(S.data_files(spark, root)).collect()
+    assert len({r["part"] for r in report}) == 2
+    assert {(r["column"], r["type"]) for r in report} == {("a", "int"), ("b", "string"), ("a", "bigint")}
+
+
+def test_a_backfill_leaves_a_folder_for_every_month(spark):
+    path = scratch.new_path(spark, "gaps")
+    df = months_frame(spark)
+    T.backfill(df, lambda d: d.where(F.month("snapshot_date") != 2), path)
+    assert sorted(f for f in os.listdir(path) if "=" in f) == [f"snapshot_date=2024-0{k}-01" for k in (1, 2, 3)]
+    assert S.read_table(spark, path).count() == 6
+    assert S.read_snapshot(spark, path, "2024-02-01").count() == 0
+
+
+def test_first_rows_by_columns(spark):
+    assert [r["x"] for r in S.first_rows(months_frame(spark), 2, [F.col("x").desc()]).collect()] == sorted(
+        (r["x"] for r in months_frame(spark).collect()), reverse=True)[:2]
+    assert S.first_rows(months_frame(spark), 4).count() == 4
+
+
+# ------------------------------------------------------------------ metric store
+
+
+def metrics_of(spark, rows):
+    return spark.createDataFrame(
+        [(m, dt.date(2024, k, 1), v) for m, k, v in rows], "model_name string, monitoring_date date, metric_value double"
+    )
+
+
+def test_the_metric_store_writes_only_what_is_due(spark):
+    path, asked = scratch.new_path(spark, "metrics"), []
+
+    def compute(value, models=("a", "b")):
+        def run(months):
+            asked.append(months)
+            all_rows = metrics_of(spark, [(m, k, value) for m in models for k in (1, 2, 3)])
+            return all_rows if months is None else all_rows.where(F.col("monitoring_date").between(*months))
+        return run
+
+    assert MS.stored_partitions(spark, path) == []
+    assert MS.refresh(spark, path, compute(1.0), ("2024-01-01", "2024-02-01")) == 4
+    assert MS.refresh(spark, path, compute(2.0)) == 2  # March alone is due
+    held = lambda: {(r["model_name"], r["monitoring_date"].month): r["metric_value"] for r in MS.read_metrics(spark, path).collect()}
+    assert held() == {(m, k): 2.0 if k == 3 else 1.0 for m in "ab" for k in (1, 2, 3)}
+    # A redone month is replaced, also where a model has no rows in it any more.
+    assert MS.refresh(spark, path, compute(3.0, ("a",)), redo=["2024-02-01"]) == 1
+    assert held() == {("a", 1): 1.0, ("a", 2): 3.0, ("a", 3): 2.0, ("b", 1): 1.0, ("b", 3): 2.0}
+    assert asked[-1] == ("2024-02-01", "2024-02-01")
+    assert MS.refresh(spark, path, compute(9.0, ("a",))) == 0
+    plan = MS.read_metrics(spark, path, model="a", months=("2024-01-01", "2024-02-01"), as_of="2024-01-01")
+    assert [r["metric_value"] for r in plan.collect()] == [1.0]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model_name" in text or "PartitionFilters: [isnotnull(monitoring_date" in text
