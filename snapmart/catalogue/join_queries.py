@@ -15,10 +15,10 @@ from snapmart.operators.asof import asof_aggregate, cumulative_history
 from snapmart.plans.features import feature_store
 
 
-def _at_loan_days(raw, loans):
+def _at_loan_days(rows, loans):
     """Customer rows dated at each of the customer's loan days."""
     days = loans.where(F.col("mob") == 0).select("Customer_ID", "snapshot_date").distinct()
-    return raw.drop("snapshot_date").join(days, "Customer_ID")
+    return rows.drop("snapshot_date").join(days, "Customer_ID")
 
 
 _AS_OF = """
@@ -58,12 +58,35 @@ _FULL = ", ".join(
 )
 def feature_join(spark, d):
     loans = R.loans(spark, d)
-    attributes = C.clean_attributes(_at_loan_days(R.raw_attributes(spark, d), loans))
-    financials = C.clean_financials(_at_loan_days(R.raw_financials(spark, d), loans))
+    # Cleaned once per customer row; only clean rows are copied to the days.
+    attributes = _at_loan_days(C.clean_attributes(R.raw_attributes(spark, d)), loans)
+    financials = _at_loan_days(C.clean_financials(R.raw_financials(spark, d)), loans)
     out = feature_store(loans, attributes, financials, R.clicks(spark, d), R.CLICKS)
     return out.withColumns({f"{c}_mean": F.round(f"{c}_mean", 6) for c in R.CLICKS})
 
 
+@query(
+    "q_versions_at",
+    f"""
+    WITH versions AS (SELECT o_custkey AS key, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS price
+                      FROM orders GROUP BY 1, 2),
+    days AS (SELECT DISTINCT user_id AS key, CAST(CAST(ts AS DATE) - to_months({R.EVENT_SHIFT_MONTHS}) AS DATE) AS day FROM events)
+    SELECT d.key, d.day, v.day AS version_day, v.price
+    FROM days d ASOF LEFT JOIN versions v ON d.key = v.key AND d.day >= v.day
+    """,
+)
+def versions_at(spark, d):
+    """Each customer's dearest order of the last order day up to each of the customer's event days."""
+    day = F.col("o_orderdate").cast("date")
+    versions = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), day.alias("day")).agg(
+        F.max("o_totalprice").alias("price")
+    )
+    days = table(spark, d, "events").select(
+        F.col("user_id").alias("key"), F.add_months(F.col("ts").cast("date"), -R.EVENT_SHIFT_MONTHS).alias("day")
+    ).distinct()
+    return J.versions_at(days, versions, "key", "day")
+
+
 @query(
     "q_pit_mean",
     f"""

@@ -221,7 +221,10 @@ def _direction_sql(c: str) -> str:
     if _DIRECTION[c] == "value":
         group = f"CAST({c} AS DOUBLE)"
         source = "x"
+        each = "concat(CAST(CAST(g AS BIGINT) AS VARCHAR), '=', CAST(CAST(round(rate * 100) AS BIGINT) AS VARCHAR), '%')"
+        note = f"concat('by value: ', string_agg({each}, ', ' ORDER BY g))"
     else:
+        note = f"printf('median %.2f', (SELECT quantile_cont({c}, 0.5) FROM x))"
         group = (
             f"CASE WHEN {c} <= e[2] THEN 0 WHEN {c} <= e[3] THEN 1 WHEN {c} <= e[4] THEN 2 ELSE 3 END"
         )
@@ -229,7 +232,7 @@ def _direction_sql(c: str) -> str:
     return f"""
     SELECT '{c}' AS feature, arg_min(rate, g) AS default_rate_low, arg_max(rate, g) AS default_rate_high,
            count(*) AS n_groups,
-           CASE WHEN arg_max(rate, g) > arg_min(rate, g) THEN 'higher risk' ELSE 'lower risk' END AS higher_value_means
+           CASE WHEN arg_max(rate, g) > arg_min(rate, g) THEN 'higher risk' ELSE 'lower risk' END AS higher_value_means, {note} AS note
     FROM (SELECT {group} AS g, avg(label) AS rate FROM {source} GROUP BY 1)"""
 
 

@@ -64,11 +64,11 @@ class State:
 
     def merged(self, other: State) -> State:
         n = self.n + other.n
-        some = np.maximum(n, 1)
-        weight = self.n * other.n / some
+        share = other.n / np.maximum(n, 1)  # exactly 1 where only the other has rows
+        weight = self.n * share
         dx, dy = other.mean_x - self.mean_x, other.mean_y - self.mean_y
         return State(
-            n, self.mean_x + dx * other.n / some, self.mean_y + dy * other.n / some,
+            n, self.mean_x + dx * share, self.mean_y + dy * share,
             self.square_x + other.square_x + dx * dx * weight,
             self.square_y + other.square_y + dy * dy * weight,
             self.product + other.product + dx * dy * weight,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapmart import schemas as S
@@ -50,6 +50,23 @@ def scores_side_by_side(labels: DataFrame, **scores: DataFrame) -> DataFrame:
     return out
 
 
+def versions_at(days: DataFrame, versions: DataFrame, key: str, day: str) -> DataFrame:
+    """For each (key, day) the version that is valid then: the latest dated at or before it.
+
+    A version is valid until the key's next one, so the sides meet in one join on the key
+    and an interval; the versions' columns are NULL where none is valid yet. ``versions``
+    holds one row per key and date, which becomes ``version_<day>``.
+    """
+    dated = f"version_{day}"
+    until = F.lead(day).over(Window.partitionBy(key).orderBy(day))
+    spans = versions.withColumn("__until", until).withColumnRenamed(day, dated).withColumnRenamed(key, "__key")
+    valid = (
+        (F.col(key) == F.col("__key")) & (F.col(day) >= F.col(dated))
+        & (F.col("__until").isNull() | (F.col(day) < F.col("__until")))
+    )
+    return days.join(spans, valid, "left").drop("__key", "__until")
+
+
 def key_agreement(
     left: DataFrame, right: DataFrame, key: str, a: str, b: str
 ) -> DataFrame:

@@ -6,8 +6,10 @@ are made from its single result row with ``inline``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,46 +258,51 @@ def bad_rate_by(df: DataFrame, keys: Sequence[str], label: str = "label") -> Dat
     )
 
 
-def _few_levels(df: DataFrame, columns: Sequence[str], most: int) -> set[str]:
-    """Columns with at most ``most`` distinct values, found in one aggregate of bounded size.
+def bounded_distinct(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """Distinct values (column, value) of columns that have at most ``most``; of others more than that, not all.
 
-    The smallest value, then the smallest above it and so on: each step is a minimum,
-    so a task keeps one number per column and no distinct values are shuffled.
+    One scan: a task keeps up to ``most`` + 1 values per column, which is enough to know
+    that a column has more, and sets of tasks merge by a distinct over these few rows.
     """
-    found: dict[str, list[float]] = {c: [] for c in columns}
-    more = list(columns)
-    for _ in range(most + 1):
-        if not more:
-            break
-        row = df.agg(
-            *[
-                F.min(F.when(as_value(c) > found[c][-1], as_value(c)) if found[c] else as_value(c)).alias(f"v{i}")
-                for i, c in enumerate(more)
-            ]
-        ).first()
-        more = [c for i, c in enumerate(more) if row[f"v{i}"] is not None and not found[c].append(row[f"v{i}"])]
-    return set(columns) - set(more)
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set[float]] = [set() for _ in names]
+        for batch in batches:
+            for i, found in enumerate(held):
+                if len(found) <= most:
+                    found.update(pc.unique(batch.column(i).drop_null()).to_pylist())
+                    held[i] = set(sorted(found)[: most + 1])
+        rows = [(name, value) for name, found in zip(names, held) for value in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())],
+            names=["column", "value"],
+        )
+
+    values = df.select(*[as_value(c).alias(c) for c in names])
+    return values.mapInArrow(run, "column string, value double").distinct()
 
 
 def quartile_direction(
     df: DataFrame, columns: Sequence[str], label: str = "label", few_levels: int = 4
 ) -> DataFrame:
-    """Bad rate in the lowest and highest quartile of each feature.
+    """Bad rate in the lowest and highest quartile of each feature, and a note on its values.
 
-    Features with few values are taken by value. The bin edges of each feature
-    (five numbers) are the only data on the driver.
+    Features with few values are taken by value. Rows without a label count nowhere. The
+    bin edges of each feature (five numbers) are the only data on the driver.
     """
-    few = _few_levels(df, columns, few_levels)
+    df = df.where(F.col(label).isNotNull())
+    levels = bounded_distinct(df, columns, few_levels).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    few = {r["column"] for r in levels.where(F.col("n") <= few_levels).collect()}
     edges = quantile_table(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0])
     groups = []
     for c in columns:
-        by_value = c in few
         x = as_value(c)
-        group = x if by_value else N.quantile_bin(x, edges[c]).cast("double")
+        group = x if c in few else N.quantile_bin(x, edges[c]).cast("double")
         groups.append(F.struct(F.lit(c).alias("feature"), group.alias("g"), F.col(label).alias("y")))
     rates = (
         df.select(F.inline(F.array(*groups)))
-        .where(F.col("g").isNotNull() & F.col("y").isNotNull())
+        .where(F.col("g").isNotNull())
         .groupBy("feature", "g")
         .agg(F.avg("y").alias("rate"))
     )
@@ -303,6 +310,20 @@ def quartile_direction(
         F.min_by("rate", "g").alias("default_rate_low"),
         F.max_by("rate", "g").alias("default_rate_high"),
         F.count(F.lit(1)).alias("n_groups"),
+        F.array_sort(F.collect_list(F.struct("g", "rate"))).alias("groups"),  # at most four
     )
     risk = F.when(F.col("default_rate_high") > F.col("default_rate_low"), "higher risk")
-    return ends.withColumn("higher_value_means", risk.otherwise("lower risk"))
+
+    def by_value(x: Column) -> Column:
+        whole = x["g"] == F.floor(x["g"])
+        value = F.when(whole, x["g"].cast("long").cast("string")).otherwise(F.round(x["g"], 6).cast("string"))
+        return F.concat(value, F.lit("="), F.round(x["rate"] * 100).cast("long").cast("string"), F.lit("%"))
+
+    note = F.concat(F.lit("by value: "), F.array_join(F.transform("groups", by_value), ", "))
+    for c in columns:
+        if c not in few and edges[c]:
+            note = F.when(F.col("feature") == c, f"median {edges[c][2]:.2f}").otherwise(note)
+    return ends.select(
+        "feature", "default_rate_low", "default_rate_high", "n_groups",
+        risk.otherwise("lower risk").alias("higher_value_means"), note.alias("note"),
+    )
