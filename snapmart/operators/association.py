@@ -42,39 +42,44 @@ def label_cells(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 def chi_square_of_cells(cells: DataFrame) -> DataFrame:
     """Chi-square test per ``column`` from (column, a, b, n).
 
-    Works on counts: expected values come from joined row, column and grand
-    totals. Value pairs that never occur add their expected count. A 2x2 table
-    gets the continuity correction.
+    Works on counts, without joins: the cells of a level ``a`` meet in one group, and the
+    totals of each level ``b``, at most columns times levels of the label, come as a map
+    in a scalar subquery. Value pairs that never occur add their expected count. A 2x2
+    table gets the continuity correction.
     """
-    rows = cells.groupBy("column", "a").agg(F.sum("n").alias("row_n"))
-    cols = cells.groupBy("column", "b").agg(F.sum("n").alias("col_n"))
-    row_side = rows.groupBy("column").agg(
-        F.sum("row_n").alias("total"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(1 / F.col("row_n")).alias("inv_rows"),
-    )
-    col_side = cols.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_cols"), F.sum(1 / F.col("col_n")).alias("inv_cols")
-    )
-    expected = F.col("row_n") * (F.col("col_n") / F.col("total"))
-    gap = F.col("n") - F.col("expected")
-    fit = (
-        cells.join(rows, ["column", "a"])
-        .join(cols, ["column", "b"])
-        .join(row_side, "column")
-        .select("column", "n", expected.alias("expected"))
-        .groupBy("column")
-        .agg(
-            F.sum(gap * gap / F.col("expected")).alias("observed_part"),
-            F.sum("expected").alias("expected_seen"),
-            F.max(F.abs(gap)).alias("gap"),
-        )
-    )
-    joined = fit.join(row_side, "column").join(col_side, "column")
+    totals = cells.groupBy("column", "b").agg(F.sum("n").alias("col_n")).groupBy("column").agg(
+        F.struct(
+            F.sum("col_n").alias("total"), F.count(F.lit(1)).alias("n_cols"), F.sum(1 / F.col("col_n")).alias("inv_cols"),
+            F.map_from_entries(F.collect_list(F.struct("b", "col_n"))).alias("of"),
+        ).alias("t")
+    )
+    known = totals.agg(F.map_from_entries(F.collect_list(F.struct("column", "t"))).alias("m")).scalar()
+    rows = (
+        cells.groupBy("column", "a")
+        .agg(F.sum("n").alias("row_n"), F.collect_list(F.struct("b", "n")).alias("cells"))
+        .withColumn("t", known[F.col("column")])
+    )
+
+    def expected(cell: Column) -> Column:
+        return F.col("row_n") * (F.col("t")["of"][cell["b"]] / F.col("t")["total"])
+
+    def gap(cell: Column) -> Column:
+        return cell["n"] - expected(cell)
+
+    zero = F.lit(0.0)
+    per_row = rows.select(
+        "column", "row_n", "t",
+        F.aggregate("cells", zero, lambda s, x: s + gap(x) * gap(x) / expected(x)).alias("observed_part"),
+        F.aggregate("cells", zero, lambda s, x: s + expected(x)).alias("expected_seen"),
+        F.array_max(F.transform("cells", lambda x: F.abs(gap(x)))).alias("gap"),
+    )
+    joined = per_row.groupBy("column").agg(
+        F.sum("observed_part").alias("observed_part"), F.sum("expected_seen").alias("expected_seen"),
+        F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n_rows"), F.sum(1 / F.col("row_n")).alias("inv_rows"),
+        F.first("t").alias("t"),
+    ).select("*", F.col("t")["total"].alias("total"), F.col("t")["n_cols"].alias("n_cols"), F.col("t")["inv_cols"].alias("inv_cols"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
-    plain = F.col("observed_part") + F.greatest(
-        F.col("total") - F.col("expected_seen"), F.lit(0.0)
-    )
+    plain = F.col("observed_part") + F.greatest(F.col("total") - F.col("expected_seen"), zero)
     corrected_gap = F.col("gap") - F.least(F.col("gap"), F.lit(0.5))
     corrected = (
         corrected_gap * corrected_gap * F.col("total") * F.col("inv_rows") * F.col("inv_cols")
@@ -85,7 +90,7 @@ def chi_square_of_cells(cells: DataFrame) -> DataFrame:
         "n_rows",
         "n_cols",
         dof.alias("dof"),
-        F.when(dof == 0, F.lit(0.0)).when(dof == 1, corrected).otherwise(plain).alias("chi2"),
+        F.when(dof == 0, zero).when(dof == 1, corrected).otherwise(plain).alias("chi2"),
     )
 
 

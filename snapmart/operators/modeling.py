@@ -25,8 +25,8 @@ from snapmart.operators.metrics import evaluate
 from snapmart.operators.order_stats import as_value, medians
 from snapmart.sources.scratch import materialise
 
-#: Hash cells of the stratified split; only one cell per label is ever ranked.
-SPLIT_CELLS = 4096
+#: Cells per hash digit of the stratified split (a power of two), and digits taken before ranking.
+SPLIT_CELLS, SPLIT_DIGITS = 4096, 2
 
 
 # ----------------------------------------------------------------- time windows
@@ -91,40 +91,36 @@ def stratified_split(
 ) -> DataFrame:
     """Seeded split with the exact share per label: ``split`` = train or test.
 
-    Rows are ordered by (cell, hash, key), the cell being the hash modulo
-    ``SPLIT_CELLS``. Cell counts tell in which cell each label's cut falls; only
-    the rows of those cells are ranked, to find the last train row. The cuts
-    (one per label) come back as a map in a scalar subquery, so the table itself
-    is neither shuffled nor joined. Keys identify rows.
+    Rows are ordered by the digits of their hash in base ``SPLIT_CELLS`` and by their
+    key. Counts per first digit tell in which cell each label's cut falls; the rows of
+    that cell alone are counted by the next digit, and so on for ``SPLIT_DIGITS`` digits.
+    Only what shares all digits with the cut, one row in ``SPLIT_CELLS`` to that power,
+    is ranked. The cuts (one per label) come back as maps in scalar subqueries, so the
+    table itself is neither shuffled nor joined. Keys identify rows.
     """
     stratum = F.coalesce(F.col(label).cast("string"), F.lit(""))
     hashed = df.withColumns({"__h": F.xxhash64(F.col(key), F.lit(seed)), "__s": stratum})
-    hashed = hashed.withColumn("__cell", F.pmod(F.col("__h"), F.lit(SPLIT_CELLS)))
-
-    counts = hashed.groupBy("__s", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    of_label = Window.partitionBy("__s")
-    before = F.sum("__n").over(of_label.orderBy("__cell")) - F.col("__n")
-    wanted = F.round(F.sum("__n").over(of_label) * F.lit(float(ratio))).cast("bigint")
-    cut_cells = counts.select(
-        "__s", "__cell", "__n", before.alias("__before"), wanted.alias("__wanted")
-    ).where(
-        (F.col("__before") < F.col("__wanted"))
-        & (F.col("__before") + F.col("__n") >= F.col("__wanted"))
-    )
-    cut_cell = _label_map(
-        cut_cells, F.struct("__cell", (F.col("__wanted") - F.col("__before")).alias("__take"))
-    )[F.col("__s")]
-
-    in_cut_cell = (
-        hashed.select("__s", "__cell", "__h", F.col(key).alias("__k"), cut_cell.alias("__cut"))
-        .where(F.col("__cell") == F.col("__cut")["__cell"])
+    bits = SPLIT_CELLS.bit_length() - 1
+    digits = [f"__d{i}" for i in range(SPLIT_DIGITS)]
+    hashed = hashed.withColumns(
+        {d: F.pmod(F.shiftrightunsigned("__h", bits * i), F.lit(SPLIT_CELLS)) for i, d in enumerate(digits)}
     )
-    rank = F.row_number().over(Window.partitionBy("__s").orderBy("__h", "__k"))
-    last_rows = in_cut_cell.withColumn("__rank", rank).where(
-        F.col("__rank") == F.col("__cut")["__take"]
-    )
-    last = _label_map(last_rows, F.struct("__cell", "__h", "__k"))[F.col("__s")]
-    here = F.struct(F.col("__cell"), F.col("__h"), F.col(key).alias("__k"))
+    of_label = Window.partitionBy("__s")
+    inside, take = hashed, None
+    for digit in digits:
+        counts = inside.groupBy("__s", digit).agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(of_label.orderBy(digit)) - F.col("__n")
+        wanted = take if take is not None else F.round(F.sum("__n").over(of_label) * F.lit(float(ratio))).cast("bigint")
+        cut = counts.select("__s", digit, "__n", before.alias("__before"), wanted.alias("__wanted")).where(
+            (F.col("__before") < F.col("__wanted")) & (F.col("__before") + F.col("__n") >= F.col("__wanted"))
+        )
+        left = (F.col("__wanted") - F.col("__before")).alias("__take")
+        found = _label_map(cut, F.struct(F.col(digit).alias("__digit"), left))[F.col("__s")]
+        inside, take = inside.where(F.col(digit) == found["__digit"]), found["__take"]
+    rank = F.row_number().over(of_label.orderBy("__h", key))
+    last_rows = inside.withColumn("__rank", rank).where(F.col("__rank") == take)
+    here = F.struct(*digits, F.col("__h"), F.col(key).alias("__k"))
+    last = _label_map(last_rows, here)[F.col("__s")]
     side = F.when(here <= last, "train").otherwise("test")
     return hashed.select(*df.columns, side.alias("split"))
 

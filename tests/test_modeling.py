@@ -296,3 +296,15 @@ def test_the_search_sample_is_bounded(spark):
     bins = search.fold_bins(train, {"x": F.col("x").cast("double")}, [[5000.0, 10000.0]], 20_000, rows=1_000)
     held = bins.groupBy("bins").count().collect()
     assert sorted(r["bins"] for r in held) == [[0], [1], [2]] and 800 < sum(r["count"] for r in held) < 1_200
+
+
+@pytest.mark.parametrize("cells, digits", [(4, 1), (4, 3), (2, 5), (4096, 2)])
+def test_split_is_exact_however_finely_cells_cut(spark, monkeypatch, cells, digits):
+    monkeypatch.setattr(M, "SPLIT_CELLS", cells)
+    monkeypatch.setattr(M, "SPLIT_DIGITS", digits)
+    rows = [(f"k{i}", None if i % 10 == 0 else i % 3) for i in range(2_000)]
+    found = M.stratified_split(spark.createDataFrame(rows, "loan_id string, label int"))
+    counts = {(r["label"], r["split"]): r["count"] for r in found.groupBy("label", "split").count().collect()}
+    for label in (None, 0, 1, 2):
+        n = sum(x == label for _, x in rows)
+        assert counts[label, "train"] == round(n * 0.8) and counts[label, "test"] == n - round(n * 0.8)
