@@ -229,10 +229,13 @@ def _meetings(families: DataFrame) -> DataFrame:
 
 
 def _confirmed(meetings: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Forest edges (a, b) of the links on full sets; texts travel to their blocks."""
+    """Forest edges (a, b) of the links on full sets; texts travel to their blocks.
+
+    Meetings grow with the corpus, so they meet their texts in a sorted join at every size.
+    """
     keys = ["family", "c1", "a1", "c2", "a2"]
     texts = (
-        meetings.withColumnRenamed("rep", "doc_id").join(docs, "doc_id")
+        docs.join(meetings.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
         .repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "side", "doc_id")
     )
 
