@@ -17,7 +17,7 @@ from snapmart.plans import metric_store as MS
 from snapmart.plans import training as P
 from snapmart.schemas import LABEL_DELAY_MONTHS
 from snapmart.sources import artefacts
-from snapmart.sources.scratch import materialise
+from snapmart.sources.scratch import kept, materialise
 from snapmart.sources.scratch import new_path as work_path
 from snapmart.sources.tables import read_table, write_predictions
 
@@ -125,7 +125,8 @@ _FITTED: dict = {}
 def _fitted(spark, d, what, fit):
     key = (spark.sparkContext.applicationId, d, what)
     if key not in _FITTED:
-        _FITTED[key] = fit()
+        with kept():
+            _FITTED[key] = fit()
     return _FITTED[key]
 
 

@@ -13,7 +13,7 @@ from snapmart.operators import modeling as M
 from snapmart.operators import monitoring as G
 from snapmart.plans import metric_store as MS
 from snapmart.sources import artefacts
-from snapmart.sources.scratch import new_path
+from snapmart.sources.scratch import kept, new_path
 
 
 def _round(df, digits, *columns):
@@ -373,8 +373,9 @@ _STORED: dict = {}
 def _stored(spark, d, what, write):
     key = (spark.sparkContext.applicationId, d, what)
     if key not in _STORED:
-        path = new_path(spark, what)
-        write(path)
+        with kept():
+            path = new_path(spark, what)
+            write(path)
         _STORED[key] = path
     return _STORED[key]
 

@@ -232,3 +232,15 @@ def test_the_metric_store_writes_only_what_is_due(spark):
     assert [r["metric_value"] for r in plan.collect()] == [1.0]
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(model_name" in text or "PartitionFilters: [isnotnull(monitoring_date" in text
+
+
+def test_leased_tables_are_dropped_after_a_query(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path))
+    with scratch.leased(spark):
+        with scratch.kept():
+            shared = scratch.materialise(spark.range(3), "shared")
+        assert entry.queries()["q_rerun_month"](spark, small).count() > 0
+        with scratch.leased(spark):
+            scratch.materialise(spark.range(2), "inner")
+        assert not [f for f in os.listdir(tmp_path) if "inner" in f] and len(os.listdir(tmp_path)) > 1
+    assert [f.split("-")[1] for f in os.listdir(tmp_path)] == ["shared"] and shared.count() == 3
