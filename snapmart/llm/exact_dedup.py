@@ -8,10 +8,12 @@ Only DataFrame operations. Texts are equal when identical after lower-casing A-Z
    above ``capacity`` keys are split by one more bit, which doubles the directory
    where its depth is exceeded; slots whose bits are used up are counted again by
    their next bits. The directory has about ``2 * keys / capacity`` rows.
-3. *Index.* Keys (already reduced by a map-side combine, so a group of copies is
-   one row) go to the owner of their bucket's key range and are written there,
-   with the row that stays and the group's size. Texts that share the 64-bit key
-   but not the digest are links of a chain inside the bucket.
+3. *Index.* Every entry is sent to its bucket by the directory, and all that follows
+   happens inside (bucket, key): entries become one row per text with the row that stays
+   and the group's size (a map-side combine makes a group of copies few rows before
+   they travel), texts that share the 64-bit key but not the digest are links of a chain
+   there, and members look their group up there. The index is written by owners of key
+   ranges.
 4. *Bytes.* Each member of a group is compared with the text of the row that
    stays. The texts of large groups' representatives are replicated in
    proportion to the group (one copy per ``block`` members), so a group that
@@ -25,14 +27,16 @@ NULL doc_id loses against every other and equals another NULL.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapmart.llm.common import ascii_lower, stored
 
-#: Keys that one bucket (one owner task) may hold.
-CAPACITY = 1_000_000
+#: Keys that one bucket may hold.
+CAPACITY = 50_000
 #: Members compared with one copy of their representative's text.
 BLOCK = 2_000
 #: Key bits counted at a time while the directory grows.
@@ -52,30 +56,31 @@ def grow_directory(keys: DataFrame, capacity: int = CAPACITY) -> list[str]:
     """
     done: list[str] = []
     open_, depth = [""], 0
-    total = keys.count()
-    if total <= capacity:
-        return open_
-    while open_:
-        if depth + STEP_BITS > 64:
-            return done + open_
-        below = keys.withColumn("at", _prefix(F.col("key"), depth)).where(F.col("at").isin(open_)) if depth else keys
-        counts = {
-            r["slot"]: r["n"]
-            for r in below.groupBy(_prefix(F.col("key"), depth + STEP_BITS).alias("slot"))
+    while open_ and depth + STEP_BITS <= 64:
+        below = keys
+        if depth:
+            schema = T.StructType([T.StructField("bucket", T.StringType())])
+            overfull = keys.sparkSession.createDataFrame([(b,) for b in open_], schema)
+            below = keys.join(overfull, _prefix(F.col("key"), depth) == F.col("bucket"), "left_semi")
+        rows = (
+            below.groupBy(_prefix(F.col("key"), depth + STEP_BITS).alias("slot"))
             .agg(F.count("*").alias("n")).collect()
-        }
+        )
+        held: Counter[str] = Counter()
+        for r in rows:
+            for bits in range(depth, depth + STEP_BITS + 1):
+                held[r["slot"][:bits]] += r["n"]
         todo, open_ = list(open_), []
         while todo:
             bucket = todo.pop()
-            held = sum(n for slot, n in counts.items() if slot.startswith(bucket))
-            if held <= capacity:
+            if held[bucket] <= capacity:
                 done.append(bucket)
             elif len(bucket) == depth + STEP_BITS:
                 open_.append(bucket)
             else:
                 todo += [bucket + "0", bucket + "1"]
         depth += STEP_BITS
-    return sorted(done)
+    return sorted(done + open_)
 
 
 def with_bucket(keys: DataFrame, directory: list[str]) -> DataFrame:
@@ -104,18 +109,16 @@ def exact_dedup(
         ),
         "entries",
     )
-    grouped = entries.groupBy("key", "digest").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    keys = stored(grouped, "keys")
-    directory = grow_directory(keys.select("key").distinct(), capacity)
+    directory = grow_directory(entries.select("key").distinct(), capacity)
+    placed = with_bucket(entries, directory)
     index = stored(
-        with_bucket(keys, directory)
+        placed.groupBy("bucket", "key", "digest")
+        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .repartitionByRange(F.col("bucket"), F.col("key"))
         .sortWithinPartitions("bucket", "key", "digest"),
         "index",
     )
-    found = stored(entries.join(index, ["key", "digest"]), "found")
+    found = stored(placed.join(index, ["bucket", "key", "digest"]), "found")
 
     # Bytes of the members against the bytes of the row that stays.
     member = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("doc_id").isNotNull())
@@ -128,8 +131,9 @@ def exact_dedup(
             )
         )
     )
+    # A row repeated with its doc_id is asked for once and found as often as it occurs.
     texts = (
-        wanted.join(source, "doc_id")
+        wanted.dropDuplicates(["doc_id", "key", "digest", "is_keep"]).join(source, "doc_id")
         .withColumn("body", ascii_lower(F.col("text")))
         .where(F.xxhash64("body") == F.col("key"))
     )
