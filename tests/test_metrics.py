@@ -188,10 +188,11 @@ def test_correlation_skips_missing_pairs_and_constants(spark):
     assert got[("a", "c")] is None
 
 
-def test_many_pairs_are_split_over_passes(spark, monkeypatch):
-    monkeypatch.setattr(A, "PAIRS_PER_PASS", 2)
+def test_all_pairs_come_from_one_scan(spark):
     df = spark.range(20).select(*[(F.col("id") % (i + 3)).alias(f"x{i}") for i in range(4)])
-    assert A.correlations(df, [f"x{i}" for i in range(4)]).count() == 6
+    found = A.correlations(df, [f"x{i}" for i in range(4)])
+    assert found.count() == 6
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 20") == 1
 
 
 def test_model_comparison_has_drift_per_model(spark):
