@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from snapmart.llm.chunks import Recent
+from snapmart.llm.chunks import ChunkTable, laid
 from snapmart.llm.common import stored
 from snapmart.llm.prefix_counts import byte_of
 from snapmart.llm.text_map import built, parts, slices
@@ -95,18 +95,17 @@ def runs(a: list[int], b: list[int]) -> list[Run]:
 
 
 class Aligned(NamedTuple):
-    """A chunk or a text: tokens of both sides, groups, groups as text, keys of the linked pairs."""
+    """Texts: tokens of both sides and groups (counts), groups as text, keys of the linked pairs."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: bytes
+    n_a: list[int]
+    n_b: list[int]
+    n_groups: list[int]
+    groups: list[str]
+    pairs: list[np.ndarray]
 
 
-NOTHING = Aligned(0, 0, 0, "", b"")
 #: What a chunk has whose bytes are not given back.
-LOST = (-1, -1, -1, "", b"")
+LOST = (-1, 0, 0, "", b"")
 
 
 class Aligner:
@@ -123,7 +122,9 @@ class Aligner:
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.names = [str(i) for i in range(max(size_a, self.size_b))]
-        self.known = Recent()
+        self.table = ChunkTable(
+            self._new, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        )
 
     @staticmethod
     def _entry(token: str | None) -> bytes:
@@ -176,31 +177,35 @@ class Aligner:
         out, at = {}, 0
         for chunk, n_a, n_b, n in zip(chunks, *counts):
             end = at + n
-            out[chunk] = (n_a, n_b, n, ";".join(groups[at:end]), pairs[8 * at : 8 * end])
+            out[chunk] = (n_a, n_b, n, ";".join(groups[at:end]) + ";", pairs[8 * at : 8 * end])
             at = end
         return out
 
-    def align(self, texts: list[str]) -> list[Aligned]:
+    def _new(self, chunks: list[str]) -> list[list]:
+        # Chunks with white space at their ends would meet their neighbours.
+        alone = {c for c in chunks if not c or c[0].isspace() or c[-1].isspace()}
+        solved = self.learn([c for c in chunks if c not in alone])
+        for c in alone:
+            solved.update(self.learn([c]))
+        return [list(column) for column in zip(*map(solved.__getitem__, chunks))]
+
+    def align(self, texts: list[str]) -> Aligned:
+        """Whole texts from their chunks' groups."""
         cut = [chunks_of(t) if t else [] for t in texts]
-        known, fresh = self.known.take(set(chain.from_iterable(cut)))
-        if fresh:
-            # Chunks with white space at their ends would meet their neighbours.
-            alone = {c for c in fresh if not c or c[0].isspace() or c[-1].isspace()}
-            solved = self.learn([c for c in fresh if c not in alone])
-            for c in alone:
-                solved.update(self.learn([c]))
-            known.update(solved)
-            self.known.add(solved)
-        get, lost = known.__getitem__, LOST in known.values()
-        out = []
-        for chunks in cut:
-            found = list(map(get, chunks))
-            if not found or (lost and LOST in found):
-                out.append(NOTHING)
-                continue
-            n_a, n_b, n_groups, groups, pairs = zip(*found)
-            out.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(pairs)))
-        return out
+        cuts = np.cumsum([0, *map(len, cut)])
+        n_a, n_b, n_groups, groups, pairs = self.table(pa.array(list(chain.from_iterable(cut)), pa.string()))
+
+        def sums(column: pa.Array) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(column.to_numpy())])[cuts])
+
+        # A text with a chunk that is not given back has no tokens.
+        whole = np.diff(np.concatenate([[0], np.cumsum(n_a.to_numpy() < 0)])[cuts]) == 0
+        texts_of, pairs_of = laid(groups, cuts), laid(pairs, cuts)
+        return Aligned(
+            *(np.where(whole, sums(c), 0).tolist() for c in (n_a, n_b, n_groups)),
+            [str(g[:-1], "utf-8") if fine else "" for g, fine in zip(texts_of, whole)],
+            [np.frombuffer(p if fine else b"", np.int64) for p, fine in zip(pairs_of, whole)],
+        )
 
 
 # ------------------------------------------------------------------ places in a dictionary
@@ -255,13 +260,13 @@ def aligned_buckets(
                     yield closed()
                     bucket, rows, keys, chars = bucket + 1, [], [], 0
                 chars += size
-                for i, found in zip(some_ids, aligner.align(some_texts)):
-                    keys.append(np.frombuffer(found.pairs, np.int64))
+                found = aligner.align(some_texts)
+                keys += [p.copy() for p in found.pairs]
+                for i, n_a, n_b, n, groups, pairs in zip(some_ids, *found):
                     rows.append({
-                        "doc_id": i, "n_a": found.n_a, "n_b": found.n_b, "n_groups": found.n_groups,
-                        "n_links": len(keys[-1]),
-                        "groups_sha256": hashlib.sha256(found.groups.encode()).hexdigest() if found.groups else "",
-                        "groups": found.groups if keep_groups else None,
+                        "doc_id": i, "n_a": n_a, "n_b": n_b, "n_groups": n, "n_links": len(pairs),
+                        "groups_sha256": hashlib.sha256(groups.encode()).hexdigest() if groups else "",
+                        "groups": groups if keep_groups else None,
                     })
         if rows:
             yield closed()

@@ -148,7 +148,7 @@ class Laid:
         return self.data[self.at[i] : self.at[i + 1]]
 
 
-def _laid(values: pa.Array, cuts: np.ndarray) -> Laid:
+def laid(values: pa.Array, cuts: np.ndarray) -> Laid:
     """Runs of ``values``, bounded by ``cuts``, each joined."""
     if not len(values):
         return Laid(memoryview(b""), [0] * len(cuts))
@@ -176,7 +176,7 @@ class ChunkEncoder:
         else:
             cut = pc.utf8_split_whitespace(texts)
         cuts = cut.offsets.to_numpy().astype(np.int64)
-        return [_laid(v, cuts - cuts[0]) for v in self.table(cut.flatten())]
+        return [laid(v, cuts - cuts[0]) for v in self.table(cut.flatten())]
 
     def _solved(self, chunks: list[str]) -> list[list]:
         """New chunks, by the keys that they share."""

@@ -108,12 +108,12 @@ def test_places_are_packed_by_planes():
 def test_known_chunks_are_bounded(monkeypatch):
     aligner = Aligner(A, B)
     rows = [t for t in texts(40) if t]
-    whole = [x.groups for x in aligner.align(rows)]
-    monkeypatch.setattr(chunks, "KNOWN", 5)
-    assert [aligner.align([t])[0].groups for t in rows] == whole
+    whole = aligner.align(rows).groups
+    monkeypatch.setattr(chunks, "TABLE", 5)
+    assert [aligner.align([t]).groups[0] for t in rows] == whole
     fresh = Aligner(A, B)
-    assert [fresh.align([t])[0].groups for t in rows] == whole
-    assert len(fresh.known) <= 10 and all(len(c) <= chunks.LONG for c in [*fresh.known.new, *fresh.known.old])
+    assert [fresh.align([t]).groups[0] for t in rows] == whole
+    assert len(fresh.table.keys) <= 10 and all(len(c) <= chunks.LONG for c in fresh.table.keys.to_pylist())
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(None, "one text"), (None, "one text"), ("x", "")]])
