@@ -183,6 +183,11 @@ def cut_split(spark, d):
     return M.cut_split(days, TRAIN_DATE)
 
 
+def _sides(spark, d):
+    """All applications with their side; the labels are stored, as the split reads them several times."""
+    return M.stratified_split(materialise(labels(spark, d).select("loan_id", "label"), "labels"))
+
+
 @query(
     "q_split",
     f"""
@@ -195,7 +200,7 @@ def split(spark, d):
 
     Which rows are taken is a Spark hash, so the side itself has no SQL form.
     """
-    rows = M.stratified_split(labels(spark, d).select("loan_id", "label"))
+    rows = _sides(spark, d)
     sizes = rows.groupBy("label").agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
         F.count_if(F.col("split") == "test").alias("n_test"),
@@ -216,8 +221,7 @@ def split(spark, d):
     """,
 )
 def split_sizes(spark, d):
-    found = M.stratified_split(labels(spark, d).select("loan_id", "label"))
-    return found.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    return _sides(spark, d).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

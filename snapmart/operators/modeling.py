@@ -95,8 +95,10 @@ def stratified_split(
     key. Counts per first digit tell in which cell each label's cut falls; the rows of
     that cell alone are counted by the next digit, and so on for ``SPLIT_DIGITS`` digits.
     Only what shares all digits with the cut, one row in ``SPLIT_CELLS`` to that power,
-    is ranked. The cuts (one per label) come back as maps in scalar subqueries, so the
-    table itself is neither shuffled nor joined. Keys identify rows.
+    is ranked. Each step's cuts, one row per label, are found before the next step and
+    come back as literals, so the table itself is neither shuffled nor joined, and no
+    step's plan holds that of another. ``df`` is read once per step: hand on a stored one.
+    Keys identify rows.
     """
     stratum = F.coalesce(F.col(label).cast("string"), F.lit(""))
     hashed = df.withColumns({"__h": F.xxhash64(F.col(key), F.lit(seed)), "__s": stratum})
@@ -115,20 +117,26 @@ def stratified_split(
             (F.col("__before") < F.col("__wanted")) & (F.col("__before") + F.col("__n") >= F.col("__wanted"))
         )
         left = (F.col("__wanted") - F.col("__before")).alias("__take")
-        found = _label_map(cut, F.struct(F.col(digit).alias("__digit"), left))[F.col("__s")]
+        found = _of_label(cut.select("__s", F.col(digit).alias("__digit"), left))
         inside, take = inside.where(F.col(digit) == found["__digit"]), found["__take"]
     rank = F.row_number().over(of_label.orderBy("__h", key))
     last_rows = inside.withColumn("__rank", rank).where(F.col("__rank") == take)
-    here = F.struct(*digits, F.col("__h"), F.col(key).alias("__k"))
-    last = _label_map(last_rows, here)[F.col("__s")]
-    side = F.when(here <= last, "train").otherwise("test")
+    here = [*digits, "__h", F.col(key).alias("__k")]
+    last = _of_label(last_rows.select("__s", *here))
+    side = F.when(F.struct(*here) <= last, "train").otherwise("test")
     return hashed.select(*df.columns, side.alias("split"))
 
 
-def _label_map(rows: DataFrame, value: Column) -> Column:
-    """One value per label as a map; ``rows`` holds one row per label."""
-    entries = F.collect_list(F.struct(F.col("__s"), value))
-    return rows.agg(F.map_from_entries(entries).alias("m")).scalar()
+def _of_label(rows: DataFrame) -> Column:
+    """The other columns of ``rows``, which holds one row per label, as a struct by the label ``__s``."""
+    names = rows.columns[1:]
+    kinds = {c: rows.schema[c].dataType for c in names}
+    found = {
+        r["__s"]: F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in names]) for r in rows.collect()
+    }
+    if not found:
+        return F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in names])
+    return F.map_from_arrays(F.array(*map(F.lit, found)), F.array(*found.values()))[F.col("__s")]
 
 
 # ---------------------------------------------------------------- preprocessing

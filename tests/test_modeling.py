@@ -308,3 +308,33 @@ def test_split_is_exact_however_finely_cells_cut(spark, monkeypatch, cells, digi
     for label in (None, 0, 1, 2):
         n = sum(x == label for _, x in rows)
         assert counts[label, "train"] == round(n * 0.8) and counts[label, "test"] == n - round(n * 0.8)
+
+
+@pytest.mark.parametrize("name", ["q_split_sizes", "q_split"])
+def test_split_of_tables_too_large_to_broadcast(spark, tmp_path, name):
+    """The cuts of a split are known before the next step is planned, also where the tables meet by a shuffle."""
+    orders = spark.range(1, 2001).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 50).alias("o_custkey"),
+        F.lit(dt.datetime(1998, 3, 5)).alias("o_orderdate"),
+    )
+    flag = F.when(F.col("id") % 4 == 0, "R").otherwise("N")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, 2001).select(F.col("id").alias("l_orderkey"), flag.alias("l_returnflag")).write.parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES[name](spark, str(tmp_path))
+        # Nested subqueries of shuffled joins ended in "Subquery has not finished" on large tables.
+        assert "scalar-subquery" not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    if name == "q_split_sizes":
+        assert {(r["label"], r["split"], r["n"]) for r in rows} == {
+            (0, "train", 1200), (0, "test", 300), (1, "train", 400), (1, "test", 100)
+        }
+    else:
+        assert len(rows) == 2000 and all(r["one_side"] for r in rows)
+        assert {(r["label"], r["n_train"], r["n_test"]) for r in rows} == {(0, 1200, 300), (1, 400, 100)}
