@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from snapmart.llm import text_map
 from snapmart.llm import chunks
 from snapmart.llm.bpe import Merges
 from snapmart.llm.bpe_codec import Codec, bpe_round_trip
@@ -212,3 +213,15 @@ def test_triples_are_found_as_stock_runs_down():
     stock = _Stock(counts)
     counts[[14, 5, 1]] = 0
     assert stock.triple(9, 11) == (3, 3, 3)
+
+
+def test_freed_memory_is_returned_while_texts_are_handled(monkeypatch):
+    """After the first slice, from time to time and at the end, not only when another operator starts."""
+    calls = []
+    monkeypatch.setattr(text_map, "_release", lambda: calls.append(1))
+    monkeypatch.setattr(text_map, "_BUILT", {})
+    monkeypatch.setattr(text_map, "RETURN_EVERY", 1000.0)
+    assert list(text_map.released(range(5))) == list(range(5)) and len(calls) == 2
+    monkeypatch.setattr(text_map, "RETURN_EVERY", 0.0)
+    assert list(text_map.released(range(5))) == list(range(5)) and len(calls) == 8
+    assert text_map.built(("some library",), lambda: 1) == 1 and len(calls) == 9
