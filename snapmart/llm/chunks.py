@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from operator import add
 from typing import Any
 
 import numpy as np
@@ -40,9 +41,8 @@ def key_of(chunk: str) -> tuple[str, str]:
     True of Latin letters: the patterns cut before the mark, lower-casing keeps letters
     letters, and normalisation leaves both alone. Other chunks are keys of their own.
     """
-    mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
-    word = chunk[:-1] if mark else chunk
-    if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+    word, mark = (chunk[:-1], chunk[-1]) if chunk.endswith((".", ",")) else (chunk, "")
+    if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
         return word.lower(), mark
     return chunk, ""
 
@@ -103,9 +103,12 @@ class ChunkTable:
         """The values of every occurrence, in order."""
         coded = flat.dictionary_encode()
         distinct, n = coded.dictionary, len(self.keys)
-        at = pc.index_in(distinct, value_set=self.keys)
-        new = distinct.filter(at.is_null())
-        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        # The side that is hashed for the look-up is the slice's, which is the smaller one.
+        at = pc.index_in(self.keys, value_set=distinct).fill_null(-1).to_numpy()
+        held = np.flatnonzero(at >= 0)
+        place = np.full(len(distinct), -1, np.int64)
+        place[at[held]] = held
+        new = distinct.filter(pa.array(place < 0))
         self.clock += 1
         self.used[place[place >= 0]] = self.clock
         values = self.values
@@ -180,13 +183,16 @@ class ChunkEncoder:
 
     def _solved(self, chunks: list[str]) -> list[list]:
         """New chunks, by the keys that they share."""
-        keys = [key_of(c) for c in chunks]
+        keys, marks = zip(*map(key_of, chunks)) if chunks else ((), ())
         # White space at a text's ends leaves empty chunks.
-        entries, wanted = self.keys.take({".", ",", *(k for k, _ in keys)} - {""})
-        decode = self.decode or (lambda ids: "")
-        new = {k: (ids, decode(ids)) for k, ids in zip(wanted, self.encode(wanted))}
+        entries, wanted = self.keys.take({".", ",", *keys} - {""})
+        ids = self.encode(wanted)
+        new = dict(zip(wanted, zip(ids, map(self.decode, ids)) if self.decode else ids))
         self.keys.add(new)
-        entries |= {**new, "": (b"", "")}
-        both = [(entries[key], entries[mark]) for key, mark in keys]
-        ids = [a + b for (a, _), (b, _) in both]
-        return [ids, [a + b for (_, a), (_, b) in both]] if self.decode else [ids]
+        entries.update(new)
+        entries[""] = (b"", "") if self.decode else b""
+        heads, tails = map(entries.__getitem__, keys), map(entries.__getitem__, marks)
+        if not self.decode:
+            return [list(map(add, heads, tails))]
+        both = list(zip(heads, tails))
+        return [[a + b for (a, _), (b, _) in both], [a + b for (_, a), (_, b) in both]]

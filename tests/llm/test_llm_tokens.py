@@ -109,6 +109,29 @@ def test_chunk_table_forgets_what_was_used_least(monkeypatch):
     assert asked.count("a") == 1 and asked[:4] == ["a", "bb", "c", "d"]
 
 
+def test_chunk_table_hashes_a_slice_and_not_what_it_remembers(monkeypatch):
+    hashed, index_in = [], pc.index_in
+
+    def counted(values, value_set):
+        hashed.append(len(value_set))
+        return index_in(values, value_set=value_set)
+
+    monkeypatch.setattr(chunks.pc, "index_in", counted)
+    table = ChunkTable(lambda new: [[len(c) for c in new]], [pa.int64()])
+    for words in ([str(i) for i in range(2000)], ["1999", "x", "7", "x"], [], ["", "1"]):
+        (sizes,) = table(pa.array(words, pa.string()))
+        assert sizes.to_pylist() == list(map(len, words))
+        assert hashed[-1] <= len(set(words))
+
+
+def test_key_of_splits_off_marks_of_latin_words_only():
+    for chunk, key in {
+        "Word.": ("word", "."), "a,": ("a", ","), "\u00c9t\u00e9": ("\u00e9t\u00e9", ""), ".": (".", ""), "": ("", ""),
+        "\u0130x.": ("\u0130x.", ""), "\u0394x": ("\u0394x", ""), "a..": ("a..", ""), "a1.": ("a1.", ""),
+    }.items():
+        assert chunks.key_of(chunk) == key
+
+
 def test_arrow_splits_where_python_does():
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
     for text in (f"a{'b'.join(every)}", " lead", "trail ", "", "  ", "a  b"):
