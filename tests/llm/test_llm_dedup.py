@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -150,6 +151,65 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def without_repeats(rows, length=100):
+    """Per (doc_id, text), by comparing all strings with those that start earlier."""
+    rows = sorted(set(rows), key=lambda row: (row[0] is not None, row[0] or 0))
+    first, out = {}, {}
+    for i, t in rows:
+        b, place = (t or "").encode(), (i is not None, i or 0)
+        for k in range(len(b) - length + 1):
+            first[b[k : k + length]] = min(first.get(b[k : k + length], (place, k)), (place, k))
+    for i, t in rows:
+        b, place = (t or "").encode(), (i is not None, i or 0)
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < (place, k):
+                gone[k : k + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
+        out.setdefault(i, []).append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def suffix_results(df, **options):
+    got = {}
+    for row in suffix_dedup(df, **options).distinct().collect():
+        got.setdefault(row[0], []).append(tuple(row)[1:])
+    return {i: sorted(x) for i, x in got.items()}
+
+
+def test_suffix_dedup_over_tasks_ids_and_lengths(spark):
+    r = random.Random(11)
+    passage = " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(90))
+    rows = [(i, f"{r.random()} {passage[a : a + r.randrange(90, 260)]} {r.random()}")
+            for i, a in enumerate(r.randrange(300) for _ in range(60))]
+    rows += [(100, " " * 700 + passage), (101, "ab" * 150 + "x" + "abc" * 100), (102, passage), (103, passage)]
+    rows += [(None, passage[50:300]), (7, passage[:200] + "other text"), (102, passage), (8, None), (200, "é" * 300)]
+    r.shuffle(rows)
+    df = frame(spark, rows).repartition(7)
+    assert suffix_results(df) == without_repeats(rows)
+    assert suffix_dedup(df).count() == len(rows)
+    for length in (1, 5, 33, 150):
+        assert suffix_results(df, length=length) == without_repeats(rows, length)
+
+
+def test_suffix_dedup_of_a_text_longer_than_a_slab(spark):
+    r = random.Random(12)
+    text = "".join(r.choice("abcdefgh") for _ in range(150_000))
+    rows = [(1, text), (2, text[60_000:70_000] + "-" + text[65_000:65_099]), (3, "z" * 130_000)]
+    assert suffix_results(frame(spark, rows)) == without_repeats(rows)
+
+
+def test_suffix_dedup_stores_less_than_its_texts(spark):
+    r = random.Random(13)
+    texts = ["".join(r.choice(WORDS) + r.choice("0123456789abcdef ") for _ in range(900)) for _ in range(100)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = size()
+    assert suffix_dedup(frame(spark, list(enumerate(texts)))).count() == 100
+    assert size() - before < sum(map(len, texts))
+
+
 def test_suffix_dedup(spark):
     r = random.Random(10)
     passage = " ".join(r.choice(WORDS) for _ in range(60))
