@@ -273,13 +273,13 @@ def random_search(
     draws: int = S.SEARCH_DRAWS,
     folds: int = S.SEARCH_FOLDS,
     seed: int = S.SEARCH_SEED,
-    rows: int = search.ROWS,
+    rows: int | None = None,
 ) -> dict[str, SearchResult]:
     """Boosted trees by random search with hash folds, scored by area under the curve.
 
     All feature sets share the bins, the folds and the draws; see ``search``. ``n`` is the
-    number of train rows. ``trials``: draw, cv_auc, n_held (rows held out over all folds),
-    n_folds, chosen.
+    number of train rows, all of which the fits use unless ``rows`` asks for fewer.
+    ``trials``: draw, cv_auc, n_held (rows held out over all folds), n_folds, chosen.
     """
     values = {c: prep.imputed(c) for c in prep.columns}
     cuts = search.bin_cuts(train.select([v.alias(c) for c, v in values.items()]), prep.columns)

@@ -298,6 +298,60 @@ def test_the_search_sample_is_bounded(spark):
     assert sorted(r["bins"] for r in held) == [[0], [1], [2]] and 800 < sum(r["count"] for r in held) < 1_200
 
 
+def test_the_search_takes_every_row(spark):
+    train = spark.range(60_000).select(F.col("id").cast("string").alias("loan_id"), (F.col("id") % 2).alias("label"), F.col("id").alias("x"))
+    bins = search.fold_bins(train, {"x": F.col("x").cast("double")}, [[5000.0, 10000.0]], 60_000)
+    held = {r["bins"][0]: r["count"] for r in bins.groupBy("bins").count().collect()}
+    assert held == {0: 5_001, 1: 5_000, 2: 49_999}
+
+
+@pytest.mark.parametrize("short", [0, 1_000])
+def test_search_areas_equal_those_of_plain_trees(spark, short):
+    """Fits whose rows lie in many tasks, and fits that a task does whole, grow the same trees as plain ones."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 9, (400, 3))
+    label = [None if i % 50 == 0 else int(v) for i, v in enumerate(x[:, 0] + r.normal(0, 3, 400) > 4)]
+    fold = np.arange(400) % 4 % 3
+    rows = [(v, int(f), i, [int(b) for b in xs]) for i, (v, f, xs) in enumerate(zip(label, fold, x))]
+    bins = spark.createDataFrame(rows, "label tinyint, fold tinyint, salt int, bins array<tinyint>").repartition(5)
+    sets, params = {"all": ["a", "b", "c"], "two": ["b", "a"]}, [{"maxIter": 4, "maxDepth": 2}, {"maxIter": 1, "maxDepth": 1}]
+    found = search.fold_areas(bins, ["a", "b", "c"], sets, params, short=short).collect()
+    assert len(found) == 12
+    y = np.array([1 if v else -1 for v in label])
+    for row in found:
+        mine, p = x[:, : len(sets[row["feature_set"]])], params[row["draw"]]
+        held, margin = fold == row["fold"], np.zeros(400)
+        for step in range(p["maxIter"]):
+            target = y.astype(float) if step == 0 else 4 * y / (1 + np.exp(2 * y * margin))
+            _, predict = plain_tree(mine, target, np.flatnonzero(~held), p["maxDepth"])
+            margin += (1.0 if step == 0 else 0.1) * np.array([predict(v) for v in mine])
+        want = search.area(margin[held].round(6), y[held] > 0)
+        assert (row["n_held"], row["auc"]) == (held.sum(), pytest.approx(want, abs=1e-9))
+
+
+def test_a_search_does_not_depend_on_the_size_or_the_tasks(spark):
+    """The same draws with samples of rows and columns: whole in a task, level by level, and dealt otherwise."""
+    x = [F.pmod(F.xxhash64(F.lit(j), "id"), F.lit(20)) for j in range(3)]
+    bins = materialise(spark.range(700).select(
+        F.when(F.col("id") % 9 > 0, (x[0] + x[1] * x[1] / 20 + F.pmod(F.hash("id"), F.lit(9)) > 21).cast("tinyint")).alias("label"),
+        F.pmod(F.xxhash64("id"), F.lit(3)).cast("tinyint").alias("fold"), F.hash("id").alias("salt"),
+        F.array(*x).cast("array<tinyint>").alias("bins"),
+    ), "bins")
+    params = M.draw_parameters({**GBT_SEARCH_SPACE, "maxIter": [3, 5]}, 4)
+
+    def areas(df, **how):
+        found = search.fold_areas(df, ["a", "b", "c"], {"all": ["a", "b", "c"], "one": ["c"]}, params, **how).collect()
+        return {(r["feature_set"], r["draw"], r["fold"]): (r["n_held"], r["auc"]) for r in found}
+
+    whole = areas(bins)
+    assert len(whole) == 24 and sum(n for n, _ in whole.values()) == 8 * 700 and len(set(whole.values())) > 12
+    assert areas(bins, short=0) == whole == areas(bins.repartition(7), short=699)
+    # A fold without rows, and a table without rows.
+    none = areas(bins.where("fold < 2"), short=0)
+    assert all((none[k] == (0, None)) == (k[2] == 2) for k in none)
+    assert set(areas(bins.where("fold > 2")).values()) == set(areas(bins.where("fold > 2"), short=-1).values()) == {(0, None)}
+
+
 @pytest.mark.parametrize("cells, digits", [(4, 1), (4, 3), (2, 5), (4096, 2)])
 def test_split_is_exact_however_finely_cells_cut(spark, monkeypatch, cells, digits):
     monkeypatch.setattr(M, "SPLIT_CELLS", cells)
